@@ -8,12 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import leakage, repetition, tokens
+from . import leakage, repetition, tokens, truncation
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "pr"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    pr = table(spark, d, "pr")
+    return truncation.truncation_report(pr, truncation.truncated(pr))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -39,6 +48,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p7_found": p7_found,
+    "p7_report": p7_report,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
     "p9_found": p9_found,
