@@ -8,12 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import leakage, repetition, tokens, truncation
+from . import leakage, markup, repetition, tokens, truncation
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.used_markup(table(spark, d, "pr"))
+
+
+def p4_text(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_text(table(spark, d, "pr"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "pr"))
 
@@ -48,6 +56,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_text": p4_text,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p8_ids": p8_ids,
