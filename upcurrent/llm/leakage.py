@@ -8,8 +8,8 @@ largest size turns the required containment into the least Jaccard similarity, a
 that are compared, so that a window is missed with a chance below MISS. Partitions too small to hold the required number
 of shingles are empty by arithmetic.
 
-A candidate (document, item) is verified exactly: common runs of words, shingles first, are chained in order, and a chain
-counts if it holds at least `least` words of the item and at most one in `slack` of the words it spans is replaced or left
+A candidate (document, item) is verified exactly: the window must hold the required number of the item's shingles, then
+common runs of words are chained in order, and a chain counts if it holds at least `least` words of the item and at most one in `slack` of the words it spans is replaced or left
 out. Only verified pairs leave a task; documents are never shuffled.
 
 Words are what is left between blanks when tags, link targets, character references and punctuation are gone, folded. Null, empty and too short
@@ -34,7 +34,7 @@ WINDOW, STRIDE = 2 * PIECE, PIECE - SHINGLE
 MISS = 1e-6
 #: Upper sizes of the partitions of windows, in shingles known to items.
 SIZES = (9, 12, 16, 22, WINDOW)
-ITEMS_PER_BLOCK = 2000
+ITEMS_PER_BLOCK = 500
 
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>", re.S)
 _LINK = re.compile(r"\]\([^()\s]*\)|\{\{|\}\}")
@@ -42,14 +42,44 @@ _REFERENCE = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);")
 _DROP = re.compile(r"[\W_]+")
 
 
-def words(text: str) -> list[str]:
+def plain(text: str) -> str:
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "](" in text or "{{" in text:
         text = _LINK.sub(" ", text)
     if "&" in text:
         text = _REFERENCE.sub(" ", text)
-    return [w for x in text.casefold().split() if (w := x if x.isalnum() else _DROP.sub("", x))]
+    return text
+
+
+def word(token: str) -> str:
+    """What a token between blanks says; empty for mere punctuation."""
+    return _DROP.sub("", token.casefold())
+
+
+def words(text: str) -> list[str]:
+    return [w for x in plain(text).split() if (w := word(x))]
+
+
+class Codes(dict):
+    """Token -> code of its word: 0 for words no item has, -1 for tokens without one. Emptied when it holds LIMIT tokens."""
+
+    LIMIT = 200_000
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, token: str) -> int:
+        w = word(token)
+        code = self.vocabulary.get(w, 0) if w else -1
+        if len(token) <= 64:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[token] = code
+        return code
+
+    def __reduce__(self):
+        return type(self), (self.vocabulary,)
 
 
 def least_overlap() -> int:
@@ -119,6 +149,7 @@ class ItemIndex:
         self.vocabulary: dict[str, int] = {}
         coded = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64) for _, ws in texts]
         self.base = len(self.vocabulary) + 1
+        self.codes = Codes(self.vocabulary)
         self.places = []
         for c in coded:
             at: dict[int, list[int]] = {}
@@ -131,6 +162,9 @@ class ItemIndex:
                 pieces.append(self.shingles(c[s : s + PIECE]))
                 owner.append(k)
         self.universe = np.unique(np.concatenate(pieces)) if pieces else np.empty(0, np.int64)
+        self.contains = np.zeros((len(self.universe), len(texts)), bool)
+        for p, k in zip(pieces, owner):
+            self.contains[np.searchsorted(self.universe, p), k] = True
         rng = np.random.default_rng(20)
         n = max(rows_needed(s) for s in SIZES)
         self.hashes = rng.integers(0, 2**32, (len(self.universe), n), np.uint64).astype(np.uint32)
@@ -159,8 +193,8 @@ class ItemIndex:
         """Ids of the items that leaked into text."""
         if not text or not self.ids:
             return []
-        get = self.vocabulary.get
-        coded = [get(w, 0) for w in words(text)]
+        codes = self.codes
+        coded = [c for x in plain(text).split() if (c := codes[x]) >= 0]
         n = len(coded) - SHINGLE + 1
         if n < least_overlap():
             return []
@@ -188,7 +222,10 @@ class ItemIndex:
             found = set()
             for q in p.tolist():
                 found.update(self.owners[self.starts[q] : self.starts[q + 1]].tolist())
-            for k in found:
+            # Exact shingle containment of what the rows proposed.
+            found = np.array(sorted(found), np.int64)
+            overlap = self.contains[at[s:e][hit[s:e]]][:, found].sum(0)
+            for k in found[overlap >= least_overlap()].tolist():
                 spans = regions.setdefault(k, [])
                 if spans and s <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], s + WINDOW)
