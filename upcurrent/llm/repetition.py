@@ -30,50 +30,63 @@ TRUSTED = 0.1
 LLR_LEAST = 0.0
 CASE_SHARE = 0.4
 
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]|(?:(?![぀-ヿ㐀-鿿가-힯฀-๿])\w)+(?:[.-](?=\d)\w+)*")
+#: Scripts without blanks between words.
+_WIDE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af"
+_TOKEN = re.compile(rf"[{_WIDE}]|[^\W{_WIDE}]+(?:[.-]\d\w*)*")
 _NUMBER = re.compile(r"\d+(?:[.\-\w]*\d)?")
 
 
-def tokens(text: str) -> list[str]:
-    return [_NUMBER.sub("0", t) for t in _TOKEN.findall(text.casefold())]
+class Codes(dict):
+    """Token -> hash of its folded form with all numbers alike, the same on every machine. Emptied when it holds LIMIT tokens."""
 
+    LIMIT = 200_000
 
-def recurring(text: str | None, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each n-gram its first token's code and whether it recurs, and the tokens' lengths. Shorter texts have no n-grams."""
-    ws = tokens(text) if text else []
-    lengths = np.fromiter(map(len, ws), np.int64, len(ws))
-    m = len(ws) - n + 1
+    def __missing__(self, token: str) -> int:
+        w = _NUMBER.sub("0", token.casefold()).encode("utf-8", "surrogatepass")
+        code = crc32(w) << 32 | crc32(w, 0x5BD1E995)
+        if len(token) <= 64:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[token] = code
+        return code
+
+    def __reduce__(self):
+        return Codes, ()
+
+
+CODES = Codes()
+
+
+def grams(tokens: list[str], n: int = NGRAM) -> np.ndarray:
+    """64-bit hashes of the n-grams; two different ones of a text share theirs with a chance of 2**-64 a pair."""
+    m = len(tokens) - n + 1
     if m <= 0:
-        return np.empty(0, np.int64), np.empty(0, bool), lengths
-    seen: dict[str, int] = {}
-    codes = np.fromiter((seen.setdefault(w, len(seen)) for w in ws), np.int64, len(ws))
-    gram = codes[:m]
-    for k in range(1, n):  # renumbered after each word, so that codes never overflow
-        _, gram = np.unique(gram * (len(seen) + 1) + codes[k : k + m], return_inverse=True)
-    _, first = np.unique(gram, return_index=True)
-    again = np.ones(m, bool)
-    again[first] = False
-    return gram, again, lengths
-
-
-def buckets(text: str, n: int = NGRAM) -> np.ndarray:
-    """The hash bucket of each n-gram, the same on every machine."""
-    ws = tokens(text)
-    h = {w: crc32(w.encode("utf-8", "surrogatepass")) for w in set(ws)}
-    a = np.fromiter((h[w] for w in ws), np.uint64, len(ws))
-    m = len(ws) - n + 1
-    code = np.zeros(m, np.uint64)
-    for k in range(n):
-        code = code * np.uint64(0x9E3779B97F4A7C15) + a[k : k + m]
-    return ((code >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
+        return np.empty(0, np.uint64)
+    a = np.fromiter(map(CODES.__getitem__, tokens), np.uint64, len(tokens))
+    code = a[:m].copy()
+    for k in range(1, n):
+        code *= np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(31)
+        code += a[k : k + m]
+    code *= np.uint64(0xD6E8FEB86659FD93)
+    return code
+
+
+def recurring(code: np.ndarray) -> np.ndarray:
+    """Whether each n-gram stood earlier."""
+    again = np.ones(len(code), bool)
+    again[np.unique(code, return_index=True)[1]] = False
+    return again
 
 
 def share(text: str | None, n: int = NGRAM) -> float:
     """Share of the text's word characters in n-grams that stood earlier in it."""
-    _, again, lengths = recurring(text, n)
+    ws = _TOKEN.findall(text) if text else []
+    again = recurring(grams(ws, n))
     if not again.any():
         return 0.0
-    covered = np.zeros(len(lengths) + 1, np.int64)
+    lengths = np.fromiter(map(len, ws), np.int64, len(ws))
+    covered = np.zeros(len(ws) + 1, np.int64)
     at = np.flatnonzero(again)
     np.add.at(covered, at, 1)
     np.add.at(covered, at + n, -1)
@@ -82,10 +95,11 @@ def share(text: str | None, n: int = NGRAM) -> float:
 
 def features(text: str | None) -> tuple[np.ndarray, float]:
     """Cells of the document's n-grams, 2 * bucket + recurs, and the share that recurs."""
-    _, again, _ = recurring(text)
-    if not len(again):
+    code = grams(_TOKEN.findall(text)) if text else np.empty(0, np.uint64)
+    if not len(code):
         return np.empty(0, np.int64), 0.0
-    return 2 * buckets(text) + again, float(again.mean())
+    again = recurring(code)
+    return (code >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64) * 2 + again, float(again.mean())
 
 
 def multinomials(documents: DataFrame, text: str = "text") -> np.ndarray:
@@ -95,12 +109,13 @@ def multinomials(documents: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
         for batch in batches:
+            trusted, other = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for t in batch.column(0).to_pylist():
                 cells, part = features(t)
-                n = np.bincount(cells, minlength=2 * BUCKETS)
-                raw += n
-                if part <= TRUSTED:
-                    target += n
+                (trusted if part <= TRUSTED else other).append(cells)
+            n = np.bincount(np.concatenate(trusted), minlength=2 * BUCKETS)
+            target += n
+            raw += n + np.bincount(np.concatenate(other), minlength=2 * BUCKETS)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(target[used])], schema=schema)
 
