@@ -134,6 +134,10 @@ class Model:
         self.inside, self.ends, self.marked, self.rates = inside, ends, marked, rates or {}
         self.places, self.total = int(inside[0].sum()), int(ends[0].sum())
 
+    def __reduce__(self):
+        """Mostly empty tables travel compressed."""
+        return _unpacked, ([[zlib.compress(t.astype(np.int64).tobytes(), 1) for t in ts] for ts in (self.inside, self.ends, self.marked)], self.rates)
+
     def score(self, tails: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of an end after each tail, its own end left out, and the share of marked values among those that end so."""
         q = np.full(len(tails), max(self.total - 1, 1) / max(self.places + self.total, 1))
@@ -157,6 +161,14 @@ class Model:
         return (odds < limit) | (marks & (usual < 0.5))
 
 
+def _unpacked(packed: list[list[bytes]], rates: dict[int, float]) -> Model:
+    return Model(*([_narrow(np.frombuffer(zlib.decompress(t), np.int64)) for t in ts] for ts in packed), rates)
+
+
+def _narrow(t: np.ndarray) -> np.ndarray:
+    return t.astype(np.int32) if t.max(initial=0) < 2**31 else t
+
+
 def tail_of(text: str) -> tuple[str, bool]:
     """The normalised end of a value without its mark, its last line's first character kept, and whether it had a mark."""
     short, mark = stripped(text)
@@ -279,8 +291,7 @@ def train(rows: DataFrame, fields: tuple[str, ...], source: str, limits: dict) -
             sizes[r["field"]][r["block"]] = data[0] / max(data[1], 1)
         else:
             got[r["field"]][r["kind"]][r["tab"]][r["block"] * BLOCK : r["block"] * BLOCK + len(data)] = data
-    small = lambda ts: [t.astype(np.int32) if t.max(initial=0) < 2**31 else t for t in ts]
-    return {f: Model(small(got[f]["inside"]), small(got[f]["ends"]), small(got[f]["marked"]), {s: x for s, x in sizes[f].items() if x > 0}) for f in fields}
+    return {f: Model(*([_narrow(t) for t in got[f][k]] for k in ("inside", "ends", "marked")), {s: x for s, x in sizes[f].items() if x > 0}) for f in fields}
 
 
 def truncated(rows: DataFrame, row_id: str = "id", source: str = "fetched_via", fields: tuple[str, ...] = FIELDS) -> DataFrame:
