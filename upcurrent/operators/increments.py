@@ -7,7 +7,7 @@ manifests therefore give the record delta without reading what they share:
     added    rows of added files, and positions that left a deletion vector
     removed  rows of removed files, and positions that entered one
 
-Deletion vectors are kept as words of 64 positions, (file_id, word, bits): building one is a map-side bit_or, comparing
+Deletion vectors are kept as words of 64 positions, (__file, __word, bits): building one is a map-side bit_or, comparing
 two is integer arithmetic. The version that a run has processed is stored in the commit of its output, in one atomic
 step, so a run that fails before it leaves nothing behind and the next one gets the same delta.
 """
@@ -22,43 +22,43 @@ from ..functions.text import blank, instant
 
 
 def positions(rows: DataFrame, *columns: str | Column) -> DataFrame:
-    """columns, file_id, pos of rows read straight from files."""
-    return rows.select(*columns, F.xxhash64("_metadata.file_path").alias("file_id"), F.col("_metadata.row_index").alias("pos"))
+    """columns, __file, __pos of rows read straight from files."""
+    return rows.select(*columns, F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
 
 
 def files(rows: DataFrame) -> DataFrame:
-    """file, file_id, n_rows of a table read from files; no column is read."""
+    """file, __file, n_rows of a table read from files; no column is read."""
     f = F.col("_metadata.file_path")
-    return rows.groupBy(f.alias("file")).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("file_id", F.xxhash64("file"))
+    return rows.groupBy(f.alias("file")).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("__file", F.xxhash64("file"))
 
 
 def word_no() -> Column:
-    return F.shiftright(F.col("pos"), 6)
+    return F.shiftright(F.col("__pos"), 6)
 
 
 def bit_no() -> Column:
-    return F.pmod(F.col("pos"), F.lit(64)).cast("int")
+    return F.pmod(F.col("__pos"), F.lit(64)).cast("int")
 
 
 def vectors(rows: DataFrame, **hidden: Column) -> DataFrame:
-    """file_id, word and for each name the bits of the rows it hides. rows: file_id, pos and what the conditions need; null hides nothing."""
+    """__file, __word and for each name the bits of the rows it hides. rows: __file, __pos and what the conditions need; null hides nothing."""
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit_no())
     bits = [F.coalesce(F.bit_or(F.when(c, one)), F.lit(0).cast("bigint")).alias(name) for name, c in hidden.items()]
-    return rows.groupBy("file_id", word_no().alias("word")).agg(*bits)
+    return rows.groupBy("__file", word_no().alias("__word")).agg(*bits)
 
 
 def record_delta(rows: DataFrame, words: DataFrame, old: str, new: str) -> DataFrame:
-    """rows (with file_id, pos) and _change: '+' for rows that new shows and old does not, '-' for the reverse.
+    """rows (with __file, __pos) and _change: '+' for rows that new shows and old does not, '-' for the reverse.
 
-    words: file_id, word and the hidden bits of both versions; a file one version lacks has all bits hidden there.
+    words: __file, __word and the hidden bits of both versions; a file one version lacks has all bits hidden there.
     Only words that differ are joined back to the rows.
     """
     entered, left = F.col(new).bitwiseAND(F.bitwise_not(F.col(old))), F.col(old).bitwiseAND(F.bitwise_not(F.col(new)))
-    changed = words.select("file_id", "word", left.alias("__plus"), entered.alias("__minus")).where("__plus <> 0 OR __minus <> 0")
+    changed = words.select("__file", "__word", left.alias("__plus"), entered.alias("__minus")).where("__plus <> 0 OR __minus <> 0")
     at = lambda c: F.call_function("shiftrightunsigned", F.col(c), bit_no()).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    hit = rows.withColumn("word", word_no()).join(changed, ["file_id", "word"])
+    hit = rows.withColumn("__word", word_no()).join(changed, ["__file", "__word"])
     hit = hit.withColumn("_change", F.when(at("__plus"), "+").when(at("__minus"), "-")).where("_change IS NOT NULL")
-    return hit.drop("word", "__plus", "__minus")
+    return hit.drop("__word", "__plus", "__minus")
 
 
 def parse_runs(pipeline_run: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def parse_runs(pipeline_run: DataFrame) -> DataFrame:
 
 
 def parse_state(pr: DataFrame, pipeline_run: DataFrame) -> DataFrame:
-    """file_id, pos, id, ready, done of pr: enriched, and parsed by a successful run since.
+    """__file, __pos, id, ready, done of pr: enriched, and parsed by a successful run since.
 
     An attempt belongs to the run that started last at or before it; an attempt before any run counts as successful.
     An enrichment time that cannot be read counts as newer than any attempt.
@@ -86,7 +86,7 @@ def parse_state(pr: DataFrame, pipeline_run: DataFrame) -> DataFrame:
     # The run log has a fixed size of some hundred rows (TESTDATA.md), so it is sent to all tasks.
     rows = rows.join(F.broadcast(runs), hit, "left")
     done = F.coalesce((F.col("attempted") >= F.col("enriched")) & F.coalesce(F.col("ok"), F.lit(True)), F.lit(False))
-    return rows.select("file_id", "pos", "id", "ready", done.alias("done"))
+    return rows.select("__file", "__pos", "id", "ready", done.alias("done"))
 
 
 def next_parse(pr: DataFrame, pipeline_run: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ class VersionedTable:
         rows = positions(self.spark.read.parquet(*(f["path"] for f in now["files"])).where(condition))
         words = {}
         for r in vectors(rows, hit=F.lit(True)).where("hit <> 0").collect():  # 64 rows a word
-            words.setdefault(r["file_id"], {})[r["word"]] = r["hit"]
+            words.setdefault(r["__file"], {})[r["__word"]] = r["hit"]
         ids = self._ids(now["files"])
         out = []
         for f in now["files"]:
@@ -178,7 +178,7 @@ class VersionedTable:
         paths = self.spark.createDataFrame([(f["path"],) for f in entries], "path string")
         ids = {r["path"]: r["i"] for r in paths.select("path", F.xxhash64("path").alias("i")).collect()}
         if len(set(ids.values())) != len(ids):
-            raise RuntimeError("two files share a file_id; rename one of them")
+            raise RuntimeError("two files share an id; rename one of them")
         return ids
 
     def changes(self, old: int | None, new: int) -> DataFrame:
@@ -191,12 +191,12 @@ class VersionedTable:
         ids = self._ids([{"path": p} for p in touched])
         rows = self.spark.read.parquet(*touched)
         rows = positions(rows, *rows.columns)
-        vec, schema = [], "file_id bigint, word bigint, old bigint, new bigint"
+        vec, schema = [], "__file bigint, __word bigint, old bigint, new bigint"
         for p in touched:
             x, y = (dict(map(tuple, side[p]["deleted"])) if p in side else None for side in (a, b))
             vec += [(ids[p], w, -1 if x is None else x.get(w, 0), -1 if y is None else y.get(w, 0)) for w in range((a.get(p) or b[p])["rows"] // 64 + 1)]
         words = self.spark.createDataFrame(vec, schema)
-        return record_delta(rows, words, "old", "new").drop("file_id", "pos")
+        return record_delta(rows, words, "old", "new").drop("__file", "__pos")
 
 
 def run_increment(source: VersionedTable, name: str, sink: VersionedTable, process) -> int | None:
