@@ -7,7 +7,7 @@ blocks: headings, list items, quotes, code, table rows, formulas and text.
 Which prose is content is then decided by line-block distribution: text lengths of the stripped lines are summed over a
 sliding window of WINDOW lines; where the sum rises from nothing to at least SURGE characters a part begins, where it
 falls back to nothing it ends, and text between is kept. Lines that carry structure are kept wherever they stand; lines
-that were nothing but markup have no text and leave.
+that were nothing but markup have no text and leave. A text without any surge is kept whole.
 
 Null and blank texts use no syntax and give an empty text. Markup cut off at the end of a text counts if its opening is
 unmistakable. Texts of any length are read whole; every pattern is bounded to a line or a tag.
@@ -54,8 +54,8 @@ _QUOTE = re.compile(r"^ {0,3}>[ \t]?(.*)$")
 _NOTE = re.compile(r"^ {0,3}\[\^[^\]\s]{1,40}\]:\s*(.*)$")
 _DEFINITION = re.compile(r"^ {0,3}\[([^\]^\n]{1,80})\]:\s+<?(?:https?://|/|#|mailto:)\S*.*$")
 _IMAGE = re.compile(r"!\[([^\]\n]*)\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\)")
-_LINK = re.compile(r"(?<![\]\\!])\[([^\[\]\n]+)\]\(([^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+\"[^\"\n]*\")?\)")
-_LINK_AT_END = re.compile(r"!?\[([^\[\]\n]+)\]\(\S*\Z")
+_LINK = re.compile(r"(?<![\]\\!A-Za-z0-9_])\[([^\[\]\n]+)\]\(([^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+\"[^\"\n]*\")?\)")
+_LINK_AT_END = re.compile(r"(?<![A-Za-z0-9_\]])!?\[([^\[\]\n]+)\]\((?:[a-z#/.][^\s()]*)?\Z")
 _REF_LINK = re.compile(r"(?<!\])\[([^\[\]\n]{2,})\]\[([^\[\]\n]*)\]")
 _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
 _NOTE_REF = re.compile(r"\[\^[^\]\s]{1,40}\]")
@@ -397,6 +397,8 @@ def keep(lengths: list[int]) -> list[bool]:
     """Line-block distribution: which lines lie between a surge of the windowed text length and the next dive."""
     n = len(lengths)
     sums = [sum(lengths[k : k + WINDOW]) for k in range(n)]
+    if max(sums, default=0) < SURGE:
+        return [x > 0 for x in lengths]
     out, inside = [False] * n, False
     for k in range(n):
         if not inside and sums[k] >= SURGE:

@@ -52,7 +52,7 @@ _DIGITS = re.compile(r"\d+")
 
 def normal(text: str) -> str:
     """Lower case; three-part versions, long and short numbers are one character each."""
-    return _DIGITS.sub("0", _YEAR.sub("\x02", _VERSION.sub("\x01", text.replace("\r", "").lower())))
+    return _DIGITS.sub("0", _YEAR.sub("\x02", _VERSION.sub("\x01", text.replace("\r", "").replace("\x00", "\x05").lower())))
 
 
 def stripped(text: str) -> tuple[str, bool]:
@@ -101,29 +101,31 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+_GAP = "\x00" * ORDERS[-1]
+
+
 def tables() -> list[np.ndarray]:
     return [np.zeros(1 << b, np.int64) for b, _ in TABLES]
 
 
 def add_inside(counts: list[np.ndarray], texts: list[str]) -> None:
-    """Adds the places of texts after which they go on: all places less the last ones. Texts are taken together, kept apart by a character of their own."""
+    """Adds the places of texts after which they go on. Texts are taken together, with gaps as long as the longest context between them."""
     chunk, size = [], 0
     for k, t in enumerate(texts):
         chunk.append(t)
         size += len(t) + 1
         if size > 1_000_000 or k + 1 == len(texts):
-            chars = codes("\x00".join(chunk) + "\x00")
-            last = np.flatnonzero(chars == 0) - 1
+            chars = codes(_GAP + _GAP.join(chunk) + _GAP)
+            inside = np.flatnonzero((chars[:-1] != 0) & (chars[1:] != 0))
             for table, cell in zip(counts, contexts(chars)):
-                table += np.bincount(cell, minlength=len(table))
-                np.subtract.at(table, cell[last], 1)
+                table += np.bincount(cell[inside], minlength=len(table))
             chunk, size = [], 0
 
 
 def end_cells(tails: list[str]) -> list[np.ndarray]:
     """For each table, the cells of the tails' final contexts."""
-    chars = codes("\x00" + "\x00".join(tails) + "\x00")
-    last = np.flatnonzero(chars == 0)[1:] - 1
+    chars = codes(_GAP + _GAP.join(tails) + _GAP)
+    last = np.flatnonzero((chars[:-1] != 0) & (chars[1:] == 0))
     return [cell[last] for cell in contexts(chars)]
 
 
@@ -176,7 +178,7 @@ def tail_of(text: str) -> tuple[str, bool]:
     end = normal(short[-2 * TAIL :])[-TAIL:]
     if len(short) - line > 2 * TAIL or len(end) == TAIL and "\n" not in end[:-1]:
         end = normal(short[line : line + 1]) + "\x03" + end
-    return end, mark
+    return end or "\x04", mark
 
 
 # --- Over a table ---
@@ -203,7 +205,7 @@ def source_limits(rows: DataFrame, source: str, fields: tuple[str, ...]) -> dict
         raise ValueError(f"more than {MAX_LIMITS} limits; {source} does not name a source")
     out: dict = {}
     for (src, field), group in pd.DataFrame(found, columns=["source", "field", "unit", "n", "c", "beyond", "near"]).groupby(["source", "field"]) if found else []:
-        best = group.sort_values(["c"], ascending=False).iloc[0]  # characters and bytes agree for plain text: the larger peak tells
+        best = group.sort_values(["c", "unit"], ascending=[False, False]).iloc[0]  # characters and bytes agree for plain text: the larger peak tells
         out[src, field] = [(best["unit"], int(best["n"]))]
     return out
 
