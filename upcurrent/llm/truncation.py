@@ -31,9 +31,9 @@ ORDERS = (1, 2, 3, 4, 6, 8)
 #: log2 of the cells of each table, and its order. Long contexts have two tables with different hashes: the lower count is the better one.
 TABLES = ((14, 1), (17, 2), (19, 3), (19, 4), (19, 4), (19, 6), (19, 6), (19, 8), (19, 8))
 #: Pseudo-observations with which a context's odds start from the shorter context's.
-PRIOR = 5.0
+PRIOR = 20.0
 #: Log-odds above the rate of random cuts from which an end counts as whole.
-MARGIN = 2.5
+MARGIN = 3.5
 #: Share of values taken to be cut where their length does not tell; it moves the threshold by its logarithm only.
 CUT_SHARE = 0.1
 TAIL = 48
@@ -144,7 +144,7 @@ class Model:
         """Log-odds of an end after each tail, its own end left out, and the share of marked values among those that end so."""
         q = np.full(len(tails), max(self.total - 1, 1) / max(self.places + self.total, 1))
         usual = np.full(len(tails), 0.0)
-        cells, k = end_cells(tails), 0
+        cells, k, levels = end_cells(tails), 0, []
         for order in ORDERS:
             e = i = m = None
             while k < len(TABLES) and TABLES[k][1] == order:
@@ -152,8 +152,12 @@ class Model:
                 e, i, m = at if e is None else (np.minimum(e, at[0]), np.minimum(i, at[1]), np.minimum(m, at[2]))
                 k += 1
             e, m = np.maximum(e - 1, 0), np.maximum(m - marks, 0)
-            q = (e + PRIOR * q) / (e + i + PRIOR)
+            levels.append((e, i))
             usual = np.where(e > 0, m / np.maximum(e, 1), usual * 0.5)
+        # What a longer context saw is taken out of the shorter one, so that no end or place counts twice.
+        for (e, i), (e2, i2) in zip(levels, [*levels[1:], (0, 0)]):
+            e, i = np.maximum(e - e2, 0), np.maximum(i - i2, 0)
+            q = (e + PRIOR * q) / (e + i + PRIOR)
         return np.log(q) - np.log1p(-q), usual
 
     def cut(self, tails: list[str], marks: np.ndarray, scripts: list[int]) -> np.ndarray:
