@@ -33,7 +33,7 @@ TABLES = ((14, 1), (17, 2), (19, 3), (19, 4), (19, 4), (19, 6), (19, 6), (19, 8)
 #: Pseudo-observations with which a context's odds start from the shorter context's.
 PRIOR = 20.0
 #: Log-odds above the rate of random cuts from which an end counts as whole.
-MARGIN = 3.5
+MARGIN = 2.5
 #: Share of values taken to be cut where their length does not tell; it moves the threshold by its logarithm only.
 CUT_SHARE = 0.1
 TAIL = 48
