@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import classifiers, comments, paths, versions
 from ..operators import alignment as al, diagnose as dg, discovery, labels as lb, stats
+from ..operators import enrich, gold, store
+from ..sources import diffs
 from ..sources.tables import table
 
 VERSION = 1
@@ -142,6 +144,70 @@ def supersession_match(spark: SparkSession, d: str) -> DataFrame:
     return m.where("m IS NOT NULL").select("pr_id", "m.reason", "m.bot_family", "m.pattern_name", "m.created_at")
 
 
+def diff_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A diff for each change, in the format of its ecosystem; a lockfile one where the change says so. Line formats, so that whole and partial hunks read alike."""
+    c = change(spark, d).select("change_id", F.lower(F.trim("ecosystem")).alias("e"), F.trim("package").alias("p"), F.coalesce("from_version", F.lit("0")).alias("a"), F.col("to_version").alias("b"), F.coalesce("is_lockfile", F.lit(False)).alias("l"))
+    f = lambda *xs: F.concat(*(F.col(x) if x in "pabl" else F.lit(x) for x in xs))
+    two = lambda path, before, name, after: f(f"diff --git a/{path} b/{path}\nindex 1..2 100644\n--- a/{path}\n+++ b/{path}\n@@ -7,3 +7,3 @@ x\n {before}\n-{name[0]}", *name[1], "\n", f"+{name[0]}", *name[2], f"\n {after}\n")
+    text = (
+        F.when((F.col("e") == "npm") & F.col("l"), f('--- a/package-lock.json\n+++ b/package-lock.json\n@@ -1,2 +1,2 @@\n     "node_modules/', "p", '": {\n-      "version": "', "a", '",\n+      "version": "', "b", '",\n'))
+        .when(F.col("e") == "npm", two("web/package.json", '  "dependencies": {', ('    "', ("p", '": "', "a", '",'), ("p", '": "', "b", '",')), "  }"))
+        .when((F.col("e") == "cargo"), f('--- a/Cargo.lock\n+++ b/Cargo.lock\n@@ -1,2 +1,2 @@\n name = "', "p", '"\n-version = "', "a", '"\n+version = "', "b", '"\n'))
+        .when((F.col("e") == "pip"), two("requirements.txt", "# pins", ("", ("p", "==", "a"), ("p", "==", "b")), ""))
+        .when((F.col("e") == "go"), two("go.mod", "require (", ("\t", ("p", " ", "a"), ("p", " ", "b")), ")"))
+        .when((F.col("e") == "maven"), two("build.gradle", "dependencies {", ("    implementation '", ("p", ":", "a", "'"), ("p", ":", "b", "'")), "}"))
+    )
+    return c.select("change_id", text.alias("diff"))
+
+
+def parsed_changes(spark: SparkSession, d: str) -> DataFrame:
+    return diffs.diff_changes(diff_texts(spark, d), "change_id").select(F.col("pr_id").alias("change_id"), "ecosystem", "package", "from_version", "to_version", "is_lockfile", "group_size", "error")
+
+
+def with_ids(spark: SparkSession, d: str) -> DataFrame:
+    return pr(spark, d).select("id", *discovery.KEY, "passes_manifest_only_filter", "parse_priority", "parse_attempted_at")
+
+
+def errors(spark: SparkSession, d: str) -> DataFrame:
+    """Parse errors made of failed bot comments: every message of a repository named in one."""
+    e = documents(spark, d).where("source = 'bot_comment' AND repo IS NOT NULL")
+    kind = F.when(F.col("doc_id") % 4 == 0, F.lit(None)).when(F.col("doc_id") % 4 == 1, "timeout").otherwise("bad_diff")
+    return e.select(F.when(F.col("doc_id") % 3 == 0, "enrich").otherwise("parse").alias("stage"), F.substring_index("repo", "/", 1).alias("repo_owner"), F.substring_index("repo", "/", -1).alias("repo_name"), (F.col("doc_id") % 5 + 1).alias("pr_number"), kind.alias("error_type"))
+
+
+def parse_retry(spark: SparkSession, d: str) -> DataFrame:
+    return store.needs_parse_retry(with_ids(spark, d), change(spark, d), errors(spark, d)).select("id")
+
+
+def updated_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Stored labels without version 1's outcomes, and version 2's put in their place."""
+    s = lb.stored_labels(classification(spark, d)).select(*store.LABEL_KEY, "label")
+    kept = store.delete_labels(s, ["outcome"], 1)
+    new = s.where("classifier_version = 2").withColumn("classifier_version", F.lit(1))
+    return kept.unionByName(store.insert_labels(kept, new))
+
+
+def manifest_filter(spark: SparkSession, d: str) -> DataFrame:
+    m = enrich.manifest_filter("files", "files_has_next_page", F.lit(False))
+    p = pr(spark, d).where("files_json IS NOT NULL").withColumn("files", F.filter(dg.files_array("files_json"), lambda f: F.coalesce(f["path"] != "", F.lit(False))))
+    return p.select("id", m["passes"].alias("passes"), m["reason"].alias("reason"), m["files"].cast("bigint").alias("n_files"), m["manifests"].cast("bigint").alias("n_manifests"), enrich.parse_priority("files", m["passes"], ["npm", "go"]).alias("priority"))
+
+
+def group_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return store.with_group_size(change(spark, d).select("change_id", "pr_id")).select("change_id", F.col("group_size").cast("bigint").alias("n"))
+
+
+def gold_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Rows for the hand-labelled set made of labelled pull requests, every seventh of them broken, with what is wrong."""
+    c = change(spark, d).join(wide(spark, d), "change_id").select("pr_id", "change_id", "package", "from_version", "to_version", "manifest_path", "semver_tier", F.col("direct_transitive").alias("direct_or_transitive"), "ecosystem", "source", "outcome", "security")
+    labels = F.sort_array(F.collect_list(F.struct("change_id", "package", "from_version", "to_version", "manifest_path", "semver_tier", "direct_or_transitive")))
+    g = c.groupBy("pr_id").agg(labels.alias("change_labels"), F.sort_array(F.collect_set("ecosystem")).alias("ecosystem_summary"), F.struct(F.min("source").alias("source"), F.min("outcome").alias("outcome"), F.min("security").alias("security")).alias("pr_labels"))
+    g = g.join(pr(spark, d).select(F.col("id").alias("pr_id"), F.concat_ws("/", "repo_owner", "repo_name").alias("repo"), "pr_number"), "pr_id")
+    bad = F.col("pr_id") % 7 == 0
+    rows = g.select("*", F.transform("change_labels", lambda x: x["change_id"]).alias("change_ids"), F.size("change_labels").cast("bigint").alias("group_size"), F.lit("https://code.example/pr").alias("pr_url"), F.col("pr_labels").alias("heuristic_pr_labels"), F.transform("change_labels", lambda x: F.struct(x["change_id"].alias("change_id"), x["semver_tier"].alias("semver_tier"), x["direct_or_transitive"].alias("direct_or_transitive"))).alias("heuristic_change_labels"), F.when(bad, "someday").otherwise("human_verified").alias("label_status"), F.lit("manual").alias("label_source"), F.lit(True).alias("reviewed_by_human"), F.lit("high").alias("confidence"))
+    return gold.validate(gold.make_rows(rows)).select("pr_id", F.array_join("errors", "; ").alias("errors"))
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
     w = wide(spark, d, complete=False)
     return stats.cells(stats.pr_records(change(spark, d), pr(spark, d), w), stats.change_records(change(spark, d), w))
@@ -190,6 +256,14 @@ QUERIES: dict[str, Q] = {
     "pr_weighted_by_ecosystem": lambda s, d: dg.pr_weighted_by_ecosystem(change(s, d), pr(s, d), classification(s, d), VERSION),
     "consistency": lambda s, d: dg.consistency(change(s, d), pr(s, d), classification(s, d), VERSION),
     "group_size_bins": lambda s, d: dg.group_size_bins(change(s, d), pr(s, d), classification(s, d), VERSION),
+    "parsed_changes": parsed_changes,
+    "parse_retry": parse_retry,
+    "error_counts": lambda s, d: dg.error_counts(errors(s, d)),
+    "updated_labels": updated_labels,
+    "manifest_filter": manifest_filter,
+    "group_sizes": group_sizes,
+    "gold_validation": gold_validation,
+    "unmatched_comments": lambda s, d: lb.unmatched_bot_comments(change(s, d), classification(s, d), lb.ordered_comments(comment_table(s, d).withColumn("pr_id", F.col("pr_id") + 1000))).select("bot_family", "n", F.size("samples").alias("n_samples")),
     "contingency": cells,
     "cramers_v": lambda s, d: stats.cramers_v(cells(s, d), TABLE_KEYS),
     "pairwise_cramers_v": lambda s, d: stats.pairwise_v(cells(s, d)),
@@ -299,6 +373,8 @@ _COMMENTS = """cm AS (
   SELECT doc_id AS id, doc_id // 4 AS pr_id, CASE WHEN source = 'bot_comment' THEN CASE WHEN doc_id % 3 = 0 THEN 'renovate' ELSE 'dependabot' END ELSE 'human' END AS family,
     CASE WHEN doc_id % 5 = 0 THEN 'Superseded by #' || doc_id ELSE coalesce(text, '') END AS body, strftime(make_timestamp(epoch_us(collected_at)), '%Y-%m-%dT%H:%M:%S') AS created_at
   FROM documents WHERE source IN ('bot_comment', 'review_thread'))"""
+_ERRORS = """err AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'enrich' ELSE 'parse' END AS stage, split_part(repo, '/', 1) AS repo_owner, split_part(repo, '/', -1) AS repo_name, doc_id % 5 + 1 AS pr_number,
+  CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'timeout' ELSE 'bad_diff' END AS error_type FROM documents WHERE source = 'bot_comment' AND repo IS NOT NULL)"""
 _RECORDS = (
     _WIDE
     + """,
@@ -373,6 +449,12 @@ SELECT change_id, CASE WHEN from_version IS NULL THEN 'unknown'
     "classify_outcome": f"""WITH x AS (SELECT id, coalesce(merged, false) AS m, lower(coalesce(state, '')) AS s, regexp_matches({_TEXT}), '{classifiers.SUPERSEDED}') AS said FROM pr)
 SELECT id, CASE WHEN m THEN 'merged' WHEN s = 'open' THEN 'open' WHEN s = 'closed' AND said THEN 'superseded' WHEN s = 'closed' THEN 'closed-unmerged' ELSE 'unknown' END AS label,
   CASE WHEN NOT m AND s = 'closed' AND said THEN 'title_body' END AS reason FROM x""",
+    "classify_direct": f"""WITH f AS (SELECT id, {_TEXT}) AS text, {_FILES} AS files FROM pr),
+c AS (SELECT c.*, f.text, f.files, EXISTS (SELECT 1 FROM pr_change s WHERE s.pr_id = c.pr_id AND s.ecosystem = c.ecosystem AND s.package = c.package AND NOT coalesce(s.is_lockfile, false)) AS sibling FROM pr_change c JOIN f ON f.id = c.pr_id),
+n AS (SELECT *, [lower(package), lower(split_part(package, ':', -1)), replace(lower(package), '_', '-'), replace(lower(package), '-', '_')] AS forms FROM c)
+SELECT change_id, CASE WHEN NOT coalesce(is_lockfile, false) OR sibling THEN 'direct'
+  WHEN len(list_filter(files, lambda x: coalesce({_eco('x.path')} = ecosystem AND NOT {_LOCK('x.path')} AND {_DIR('x.path')} = {_DIR('manifest_path')}, false))) > 0
+    AND len(list_filter(forms, lambda x: regexp_matches(lower(text), '(^|[^a-z0-9_./-])' || regexp_escape(x) || '($|[^a-z0-9_./-])'))) > 0 THEN 'direct' ELSE 'transitive' END AS label FROM n""",
     "label_distribution": f"SELECT dimension, label, count(*) AS n FROM ({_FIRST}) WHERE classifier_version = {VERSION} GROUP BY ALL",
     "label_flips": f"WITH s AS ({_FIRST}) SELECT o.dimension, o.label AS old_label, n.label AS new_label, count(*) AS n FROM s o JOIN s n USING (change_id, dimension) WHERE o.classifier_version = 1 AND n.classifier_version = 2 AND o.label <> n.label GROUP BY ALL",
     "path_ecosystems": f"SELECT DISTINCT manifest_path, {_eco('manifest_path')} AS ecosystem, {_LOCK('manifest_path')} AS is_lockfile, {_DIR('manifest_path')} AS folder FROM pr_change",
@@ -416,6 +498,22 @@ SELECT dimension, label, coalesce(a.n, 0) AS n_prs, coalesce(b.n, 0) AS n_change
 UNION ALL SELECT 'cross_ecosystem', count(*) FROM (SELECT pr_id FROM cl GROUP BY pr_id HAVING count(DISTINCT ecosystem) > 1)""",
     "group_size_bins": f"""WITH {_CLASSIFIED}, b AS (SELECT DISTINCT change_id, CASE WHEN group_size IS NULL OR group_size < 1 THEN 'unknown' ELSE {_BINS('group_size', '>50')} END AS bin FROM cl)
 SELECT v AS bin, count(b.bin) AS n FROM (SELECT unnest([{', '.join(map(repr, dg.GROUP_SIZE_BINS))}]) AS v) LEFT JOIN b ON b.bin = v GROUP BY v UNION ALL SELECT bin, count(*) FROM b WHERE bin = 'unknown' GROUP BY bin""",
+    "parsed_changes": """WITH c AS (SELECT change_id, lower(trim(ecosystem)) AS e, trim(package) AS p, coalesce(from_version, '0') AS a, to_version AS b, coalesce(is_lockfile, false) AS l FROM pr_change)
+SELECT change_id, e AS ecosystem, p AS package, a AS from_version, b AS to_version, e = 'cargo' OR (e = 'npm' AND l) AS is_lockfile, 1 AS group_size, CAST(NULL AS VARCHAR) AS error FROM c
+WHERE a <> b AND e IN ('npm', 'cargo', 'pip', 'go', 'maven') AND (e <> 'maven' OR regexp_full_match(p, '[^:]+:[^:]+'))""",
+    "parse_retry": f"""WITH {_ERRORS} SELECT id FROM pr WHERE passes_manifest_only_filter AND (parse_priority IS NULL OR parse_priority = 'priority') AND NOT EXISTS (SELECT 1 FROM pr_change c WHERE c.pr_id = pr.id)
+  AND EXISTS (SELECT 1 FROM err e WHERE e.stage = 'parse' AND e.repo_owner = pr.repo_owner AND e.repo_name = pr.repo_name AND e.pr_number = pr.pr_number)""",
+    "error_counts": f"WITH {_ERRORS} SELECT stage, coalesce(error_type, 'unknown') AS error_type, count(*) AS n FROM err GROUP BY ALL",
+    "updated_labels": f"""WITH s AS ({_FIRST}), kept AS (SELECT * FROM s WHERE NOT (classifier_version = 1 AND dimension = 'outcome'))
+SELECT * FROM kept UNION ALL SELECT change_id, dimension, 1, label FROM s WHERE classifier_version = 2 AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.change_id = s.change_id AND k.dimension = s.dimension AND k.classifier_version = 1)""",
+    "manifest_filter": f"""WITH f AS (SELECT id, coalesce(files_has_next_page, false) AS more, list_filter({_FILES}, lambda x: coalesce(x.path, '') <> '') AS files FROM pr WHERE files_json IS NOT NULL),
+g AS (SELECT *, len(files) AS n, list_filter(list_transform(files, lambda x: {_eco('x.path')}), lambda e: e IS NOT NULL) AS ecos FROM f),
+h AS (SELECT *, len(ecos) AS m, len(ecos) > 0 AND len(ecos) = n AND NOT more AS passes FROM g)
+SELECT id, passes, CASE WHEN passes THEN 'passed' WHEN more THEN 'too_many_files' WHEN m = 0 THEN 'no_manifest_files' WHEN m < n THEN 'mixed_manifest_and_non_manifest_files' ELSE 'other' END AS reason, n AS n_files, m AS n_manifests,
+  CASE WHEN passes THEN CASE WHEN list_has_any(ecos, ['npm', 'go']) THEN 'priority' ELSE 'deferred_non_priority' END END AS priority FROM h""",
+    "group_sizes": "SELECT change_id, count(*) OVER (PARTITION BY pr_id) AS n FROM pr_change WHERE pr_id IS NOT NULL",
+    "gold_validation": f"""WITH {_WIDE} SELECT DISTINCT c.pr_id, CASE WHEN c.pr_id % 7 = 0 THEN 'invalid label_status' ELSE '' END AS errors FROM pr_change c JOIN wide w USING (change_id) JOIN pr p ON p.id = c.pr_id
+WHERE source IS NOT NULL AND semver_tier IS NOT NULL AND security IS NOT NULL AND direct_transitive IS NOT NULL AND outcome IS NOT NULL""",
     "contingency": f"WITH {_RECORDS} SELECT * FROM cell",
     "cramers_v": f"WITH {_RECORDS}, {_v('cell', 'dimension, stratifier, unit')}",
     "pairwise_cramers_v": f"""WITH {_RECORDS}, lv AS (SELECT dimension, stratifier, unit, "row" AS lv, sum(n) AS n, {_LEVEL_ORDER.replace('lv ', '"row" ', 1)} AS o FROM cell GROUP BY ALL HAVING sum(n) >= 30),
@@ -428,3 +526,7 @@ res AS (WITH {_v('pc', 'dimension, stratifier, unit, a, b, n_a, n_b')}) SELECT *
 rk AS (SELECT *, rank() OVER (PARTITION BY scope ORDER BY x) + (count(*) OVER (PARTITION BY scope, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY scope ORDER BY y) + (count(*) OVER (PARTITION BY scope, y) - 1) / 2 AS ry FROM x)
 SELECT scope, count(*) AS n, CASE WHEN count(*) >= 3 AND count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN round(corr(x, y), 6) END AS pearson, CASE WHEN count(*) >= 3 AND count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN round(corr(rx, ry), 6) END AS spearman FROM rk GROUP BY scope""",
 }
+
+_OF_PR = " UNION ALL ".join(f"SELECT c.change_id, '{d}' AS dimension, x.label FROM pr_change c JOIN ({SQL[q]}) x ON x.id = c.pr_id" for d, q in (("source", "classify_source"), ("security", "classify_security"), ("outcome", "classify_outcome")))
+_OF_CHANGE = " UNION ALL ".join(f"SELECT c.change_id, '{d}' AS dimension, x.label FROM pr_change c JOIN ({SQL[q]}) x USING (change_id) WHERE EXISTS (SELECT 1 FROM pr p WHERE p.id = c.pr_id)" for d, q in (("semver_tier", "classify_semver"), ("direct_transitive", "classify_direct")))
+SQL["classified_labels"] = f"SELECT *, {VERSION} AS classifier_version FROM ({_OF_PR} UNION ALL {_OF_CHANGE})"
