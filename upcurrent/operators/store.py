@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from ..model import BACKUPS, ENRICHED, METRICS
 from .alignment import TRIPLE, same_triple
@@ -54,7 +55,7 @@ def number_changes(parsed: DataFrame, after: int = 0) -> DataFrame:
     zipWithIndex over a range-partitioned sort numbers rows without a global window; partitions are counted once.
     """
     ordered = parsed.repartitionByRange("pr_id").sortWithinPartitions("pr_id", "change_no")
-    schema = ordered.schema.add("change_id", "bigint")
+    schema = ordered.schema.add("change_id", LongType())
     return ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + after + 1)).toDF(schema)
 
 
