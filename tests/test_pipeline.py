@@ -272,3 +272,10 @@ def test_registered_queries(spark):
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q) and len(q) > 50
     assert "SELECT" in s["alignment"]
+
+
+def test_closing_comments(spark, rows):
+    nodes = [{"author": {"login": f"u{i}", "__typename": "User"}, "body": str(i), "createdAt": "t"} for i in range(20)] + [{"author": None, "body": None, "createdAt": None}]
+    df = spark.createDataFrame([(1, json.dumps({"comments": {"nodes": nodes}})), (2, "bad"), (3, None), (4, json.dumps({"comments": {"nodes": []}}))], "pr_id bigint, payload string")
+    out = enrich.closing_comments(df, fetched_at="now").orderBy("id").collect()
+    assert [r.body for r in out] == [str(i) for i in range(6, 20)] + [None] and {r.pr_id for r in out} == {1} and out[-1].author_login is None

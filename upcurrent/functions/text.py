@@ -11,9 +11,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f(value), value being computed once however often f uses it: Spark shares no subexpressions across the branches of a CASE."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
-    """White space of any kind off both ends; F.trim takes off spaces only."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """White space of any kind off both ends; F.trim alone takes off spaces only."""
+    return F.btrim(col(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def folded(c: Column | str) -> Column:
@@ -41,3 +46,17 @@ def instant(c: Column | str) -> Column:
     zoned = t.rlike(r"T.*" + ISO_OFFSET)
     full = F.when(zoned, F.upper(t)).otherwise(F.concat(t, F.lit("Z")))
     return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"), full.try_cast("timestamp"))
+
+
+def utc_month(c: Column | str) -> Column:
+    """yyyy-MM of a timestamp in UTC, whatever the session's zone."""
+    return F.date_format(F.date_from_unix_date(F.floor(F.unix_seconds(col(c)) / 86400).cast("int")), "yyyy-MM")
+
+
+def utc_text(c: Column | str) -> Column:
+    """A timestamp as yyyy-MM-ddTHH:mm:ss in UTC; one without a zone as it stands."""
+    t = F.unix_seconds(col(c).cast("timestamp"))
+    day = F.date_format(F.date_from_unix_date(F.floor(t / 86400).cast("int")), "yyyy-MM-dd")
+    s = F.pmod(t, F.lit(86400))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    return F.concat(day, F.lit("T"), two(F.floor(s / 3600)), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60))

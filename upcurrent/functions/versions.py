@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import col, strip
+from .text import col, let, strip
 
 #: Fixed value: the version grammar of PEP 440, as a pattern over lower-case text; group 2 is the release.
 PEP440 = (
@@ -14,6 +14,8 @@ PEP440 = (
     r"(?:[-_.]?dev[-_.]?(?:[0-9]+)?)?)"
     r"(?:\+[a-z0-9]+(?:[-_.][a-z0-9]+)*)?$"
 )
+#: What most versions look like; saves them the long pattern.
+PLAIN = r"^[0-9]+(?:\.[0-9]+)*$"
 #: The shapes that settle a tier before numbers are compared.
 SHA = r"(?i)^[0-9a-f]{40}$"
 CALVER = r"^[0-9]{4}\.[0-9]{1,2}(?:\.[0-9]{1,2})?$"
@@ -21,7 +23,7 @@ PRERELEASE = r"-[0-9A-Za-z]"
 
 
 def _quotes(c: Column) -> Column:
-    return F.regexp_replace(c, r"""^["']+|["']+$""", "")
+    return F.btrim(c, F.lit("\"'"))
 
 
 def normalise_version(c: Column | str) -> Column:
@@ -35,28 +37,34 @@ def release(c: Column | str) -> Column:
 
     Numbers stay text, so that none is too long to compare.
     """
-    v = F.lower(strip(c))
-    parts = F.when(v.rlike(PEP440), F.split(F.regexp_extract(v, PEP440, 2), r"\.")).otherwise(F.regexp_extract_all(col(c), F.lit(r"(\d+)"), 1))
-    parts = F.transform(parts, lambda x: F.regexp_replace(x, r"^0+(?=\d)", ""))
-    return F.when(F.size(parts) > 0, F.slice(F.concat(parts, F.array(F.lit("0"), F.lit("0"))), 1, 3))
+    found = lambda v: F.when(v.rlike(PLAIN), v).otherwise(F.regexp_extract(v, PEP440, 2))
+    digits = lambda v: let(found(v), lambda r: F.when(r != "", F.split(r, r"\.")).otherwise(F.regexp_extract_all(v, F.lit(r"(\d+)"), 1)))
+    bare = lambda parts: F.transform(parts, lambda x: F.when(x.startswith("0"), F.regexp_replace(x, r"^0+(?=\d)", "")).otherwise(x))
+    padded = lambda parts: F.when(F.size(parts) > 0, F.slice(F.concat(parts, F.array(F.lit("0"), F.lit("0"))), 1, 3))
+    return let(let(F.lower(strip(c)), lambda v: bare(digits(v))), padded)
 
 
 def semver_tier(old: Column | str, new: Column | str) -> Column:
     """sha-pin, calver, prerelease, major, minor, patch or unknown; the first that holds for either side."""
-    a, b = normalise_version(old), normalise_version(new)
-    p, q = release(a), release(b)
-    shape = lambda pattern: a.rlike(pattern) | b.rlike(pattern)
-    return (
-        F.when(col(old).isNull(), "unknown")
-        .when(shape(SHA), "sha-pin")
-        .when(shape(CALVER), "calver")
-        .when(shape(PRERELEASE), "prerelease")
-        .when(p.isNull() | q.isNull(), "unknown")
-        .when(F.get(p, F.lit(0)) != F.get(q, F.lit(0)), "major")
-        .when(F.get(p, F.lit(1)) != F.get(q, F.lit(1)), "minor")
-        .when(F.get(p, F.lit(2)) != F.get(q, F.lit(2)), "patch")
-        .otherwise("unknown")
-    )
+
+    def tier(v: Column) -> Column:
+        a, b, p, q = v["a"], v["b"], v["p"], v["q"]
+        shape = lambda pattern: a.rlike(pattern) | b.rlike(pattern)
+        differ = lambda i: F.get(p, F.lit(i)) != F.get(q, F.lit(i))
+        return (
+            F.when(shape(SHA), "sha-pin")
+            .when(shape(CALVER), "calver")
+            .when(shape(PRERELEASE), "prerelease")
+            .when(p.isNull() | q.isNull(), "unknown")
+            .when(differ(0), "major")
+            .when(differ(1), "minor")
+            .when(differ(2), "patch")
+            .otherwise("unknown")
+        )
+
+    pair = F.struct(normalise_version(old).alias("a"), normalise_version(new).alias("b"))
+    parts = lambda v: F.struct(v["a"].alias("a"), v["b"].alias("b"), release(v["a"]).alias("p"), release(v["b"]).alias("q"))
+    return F.when(col(old).isNull() | col(new).isNull(), "unknown").otherwise(let(let(pair, parts), tier))
 
 
 def version_key(c: Column | str) -> Column:

@@ -124,3 +124,18 @@ def fetch(rows: DataFrame, call: Callable[[list[dict]], list[tuple[str | None, s
                 yield part.assign(payload=list(payload), error=list(error), status=state)
 
     return rows.select(*keys).mapInPandas(run, schema)
+
+
+COMMENTS_PAYLOAD = "comments struct<nodes:array<struct<author:struct<login:string,__typename:string>,body:string,createdAt:string>>>"
+
+
+def closing_comments(rows: DataFrame, payload: str = "payload", fetched_at: str | None = None) -> DataFrame:
+    """pr_id and a row for each of the payload's last COMMENTS comments, in the order of their table. rows: pr_id, payload.
+
+    Ids follow (pr_id, place), so that sorting by (created_at, id) keeps the payload's order among equal times. Unreadable payloads give none.
+    """
+    nodes = F.coalesce(F.from_json(payload, COMMENTS_PAYLOAD)["comments"]["nodes"], F.array())
+    last = F.slice(nodes, F.greatest(F.size(nodes) - COMMENTS + 1, F.lit(1)), COMMENTS)
+    each = rows.select("pr_id", F.posexplode(last).alias("place", "c"))
+    at = F.lit(fetched_at) if fetched_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return each.select((F.col("pr_id") * COMMENTS + F.col("place")).alias("id"), "pr_id", F.col("c.author.login").alias("author_login"), F.col("c.author.__typename").alias("author_type"), F.col("c.body").alias("body"), F.col("c.createdAt").alias("created_at"), at.alias("fetched_at"))

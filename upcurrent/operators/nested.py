@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import spread
+
 NODE_SCHEMA = """id bigint, level string, variant string, file_no int, hunk_no int, bump_no int, label_no int, path string,
 previous_path string, additions bigint, deletions bigint, header string, package string, from_version string,
 to_version string, dimension string, label string"""
@@ -159,7 +161,7 @@ def flatten(df: DataFrame, row_id: str, payload: str, levels: tuple[str, ...] =
         if rows:
             yield make(rows)
 
-    return df.where(F.col(payload).isNotNull()).select(F.col(row_id).cast("bigint"), F.col(payload)).mapInArrow(run, NODE_SCHEMA)
+    return spread(df.where(F.col(payload).isNotNull()).select(F.col(row_id).cast("bigint"), F.col(payload))).mapInArrow(run, NODE_SCHEMA)
 
 
 def level_table(flat: DataFrame, level: str) -> DataFrame:

@@ -17,7 +17,7 @@ from itertools import product
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import instant
+from ..functions.text import instant, utc_month
 
 
 def live(parent: DataFrame, key: str, tombstones: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def pipeline_orphans(pr: DataFrame, pr_change: DataFrame, classification: DataFr
 
 def orphan_report(found: DataFrame, references: DataFrame) -> DataFrame:
     """table_name, period, n_orphans, n_references: per table and month; both inputs shrink to one row a month first."""
-    month = F.date_format("at", "yyyy-MM").alias("period")
+    month = utc_month("at").alias("period")
     a = found.groupBy("table_name", month).agg(F.count(F.lit(1)).alias("n_orphans"))
     b = references.where("ref is not null").groupBy("table_name", month).agg(F.count(F.lit(1)).alias("n_references"))
     period = lambda x: F.coalesce(F.col("period"), F.lit("unknown"))

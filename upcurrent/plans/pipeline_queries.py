@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import classifiers, comments, paths, versions
+from ..functions.text import utc_text
 from ..operators import alignment as al, diagnose as dg, discovery, labels as lb, stats
 from ..operators import enrich, gold, store
 from ..sources import diffs
@@ -131,7 +132,7 @@ def comment_table(spark: SparkSession, d: str) -> DataFrame:
     login = F.when(F.col("source") == "bot_comment", F.when(F.col("doc_id") % 3 == 0, "renovate[bot]").otherwise("dependabot[bot]")).otherwise("reviewer")
     # No text speaks of superseded pull requests, so every fifth comment gets a closing phrase.
     said = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Superseded by #"), F.col("doc_id").cast("string"))).otherwise(F.coalesce("text", F.lit("")))
-    return c.select(F.col("doc_id").alias("id"), F.expr("doc_id div 4").alias("pr_id"), login.alias("author_login"), F.lit(None).cast("string").alias("author_type"), said.alias("body"), F.date_format("collected_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"))
+    return c.select(F.col("doc_id").alias("id"), F.expr("doc_id div 4").alias("pr_id"), login.alias("author_login"), F.lit(None).cast("string").alias("author_type"), said.alias("body"), utc_text("collected_at").alias("created_at"))
 
 
 def ordered_comments(spark: SparkSession, d: str) -> DataFrame:

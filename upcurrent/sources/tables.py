@@ -29,3 +29,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(scratch(spark, "rdd"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for maps that spend their time in Python.
+
+    A file of few row groups is read by few tasks however many cores are free. Inputs with a split for each core, as all large ones have, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
