@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import spread
+
 SHINGLE = 3
 LEAST, SLACK = 15, 6
 #: An item's piece: LEAST words that are in the document, and those left out among them.
@@ -238,7 +240,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """doc_id, item_id: one row for each document and item that leaked into it."""
     rows = items.select(F.col(item_id).cast("bigint"), F.col(item_text)).where(F.col(item_text).isNotNull())
     block, out = [], None
-    docs = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint"), F.col(text))
+    docs = spread(documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint"), F.col(text)))
     for r in rows.toLocalIterator():
         block.append(tuple(r))
         if len(block) == ITEMS_PER_BLOCK:

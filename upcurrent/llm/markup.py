@@ -10,7 +10,8 @@ falls back to nothing it ends, and text between is kept. Lines that carry struct
 that were nothing but markup have no text and leave. A text without any surge is kept whole.
 
 Null and blank texts use no syntax and give an empty text. Markup cut off at the end of a text counts if its opening is
-unmistakable. Texts of any length are read whole; every pattern is bounded to a line or a tag.
+unmistakable. Texts of any length are read whole; inline markup may span
+1,000 characters, formulas 2,000, a code element's text 5,000 between tags; blocks may have any length.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from html.entities import html5
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import spread
+
 WINDOW = 3
 SURGE = 20
 
@@ -40,7 +43,7 @@ _TAG = re.compile(r"<(/?)(" + "|".join(sorted(TAGS, key=len, reverse=True)) + r"
 _OPEN_TAG_AT_END = re.compile(r"<(?:" + "|".join(sorted(TAGS, key=len, reverse=True)) + r")\s+[\w:-]+\s*=\s*[\"'][^<>\n]*\Z|</(?:" + "|".join(TAGS) + r")\Z", re.I)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _PRE = re.compile(r"<pre\b[^<>]*>(.*?)(?:</pre\s*>|\Z)", re.S | re.I)
-_INLINE_CODE_TAG = re.compile(r"<(code|kbd|samp|tt)\b[^<>]*>(.*?)</\1\s*>", re.S | re.I)
+_INLINE_CODE_TAG = re.compile(r"<(code|kbd|samp|tt)\b[^<>]*>([^<]{0,5000}(?:<(?!/)[^<]{0,5000}){0,50})</\1\s*>", re.I)
 _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
 _WIKI_TAG = re.compile(r"<(nowiki|syntaxhighlight|source|ref|gallery|math)\b[^<>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
 _URL = re.compile(r"\b(?:https?|ftp|git|ssh)://[^\s<>\"'`\])}|]+[^\s<>\"'`\])}|.,;:!?]")
@@ -66,13 +69,13 @@ _EM = re.compile(r"(?<![\w*\\/.])\*(?=[\w\"'(])([^*\n]+?)(?<=[\w.!?\"')])\*(?![\
 
 _WIKI_HEAD = re.compile(r"^\s*(={1,6})\s*([^=\n].*?)\s*\1\s*$")
 _JIRA_HEAD = re.compile(r"^\s*h([1-6])\.[ \t]+(\S.*)$")
-_WIKI_BOLD = re.compile(r"'''(?=\S)(.+?)(?<=\S)'''|(?<!['\w])''(?=[^\s'])([^'\n]+?)(?<=[^\s'])''(?!['\w])")
+_WIKI_BOLD = re.compile(r"'''(?=\S)(.{1,1000}?)(?<=\S)'''|(?<!['\w])''(?=[^\s'])([^'\n]+?)(?<=[^\s'])''(?!['\w])")
 _WIKI_LINK = re.compile(r"\[\[([^\[\]\n|]+)(?:\|([^\[\]\n]*))?\]\]")
 _JIRA_LINK = re.compile(r"(?<![\[\w])\[([^\[\]|\n]+)\|((?:https?://|mailto:|#|\^|~)[^\[\]\n]*)\]")
 _SITE_LINK = re.compile(r"(?<![\[\w\]])\[(?:https?|ftp)://[^\s\]]+\s+([^\[\]\n]+)\](?!\()")
 _TEMPLATE = re.compile(r"\{\{(?:([A-Z#][^\s{}|][^{}|\n]*|[A-Z])(\|[^{}]*)?|([a-z][\w -]*)(\|[^{}]*))\}\}")
 _WIKI_CODE = re.compile(r"^\s*(\{\{\{|\{(?:code|noformat)(?::[^}\n]*)?\})")
-_WIKI_CODE_INLINE = re.compile(r"\{\{\{(.+?)\}\}\}|\{(?:code|noformat)(?::[^}\n]*)?\}(.+?)\{(?:code|noformat)\}")
+_WIKI_CODE_INLINE = re.compile(r"\{\{\{(.{1,1000}?)\}\}\}|\{(?:code|noformat)(?::[^}\n]{0,100})?\}(.{1,1000}?)\{(?:code|noformat)\}")
 _JIRA_ROW = re.compile(r"^\s*\|\|.+\|\|\s*$")
 _CREOLE_ROW = re.compile(r"^\s*\|=.+")
 _PIPE_ROW = re.compile(r"^\s*\|.*\|\s*$")
@@ -80,10 +83,10 @@ _PIPE_ROW = re.compile(r"^\s*\|.*\|\s*$")
 _SECTION = re.compile(r"\\((?:sub){0,2}section|chapter|paragraph|title)\*?\{([^{}\n]*)\}?")
 _BEGIN = re.compile(r"\\(begin|end)\{([a-zA-Z]+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
 _BEGIN_AT_END = re.compile(r"\\(?:begin|end)\{[a-zA-Z]*\Z")
-_COMMAND = re.compile(r"\\(?:text(?:bf|it|tt|sc|rm|sf|sl|md|up)?|emph|underline|cite[pt]?|ref|eqref|label|footnote|href|url|caption|mbox|includegraphics|usepackage|documentclass|bf|it|tt|item)\b\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*")
+_COMMAND = re.compile(r"\\(?:text(?:bf|it|tt|sc|rm|sf|sl|md|up)?|emph|underline|cite[pt]?|ref|eqref|label|footnote|href|url|caption|mbox|includegraphics|usepackage|documentclass|bf|it|tt|item)\b\*?(?:\[[^\]\n]{0,300}\])?(?:\{[^{}\n]{0,2000}\})*")
 _COMMAND_ARGUMENT = re.compile(r"\{([^{}]*)\}")
-_DISPLAY = re.compile(r"\$\$(?=\S|\s)(.+?)\$\$|\\\[(.+?)\\\]", re.S)
-_PAREN = re.compile(r"\\\((?=\s*\S)(.+?)\\\)")
+_DISPLAY = re.compile(r"\$\$(.{1,2000}?)\$\$|\\\[(.{1,2000}?)\\\]", re.S)
+_PAREN = re.compile(r"\\\((?=\s*\S)(.{1,1000}?)\\\)")
 _DOLLAR = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]{1,200}?)(?<![\s\\])\$(?![\w$])")
 _MATH_SIGN = re.compile(r"[\\^_{}=<>]|^[A-Za-z]'?$|^[A-Za-z]\([^()]*\)$|[A-Za-z]\s*[-+*/]\s*\w")
 _MATH_ENVS = {"equation", "align", "gather", "multline", "displaymath", "math", "eqnarray", "alignat", "flalign"}
@@ -426,7 +429,7 @@ def used_markup(rows: DataFrame, row_id: str = "id", text: str = "body") -> Data
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    return rows.where(F.col(text).isNotNull()).select(F.col(row_id).cast("bigint"), F.col(text)).mapInArrow(run, "id bigint, markup string")
+    return spread(rows.where(F.col(text).isNotNull()).select(F.col(row_id).cast("bigint"), F.col(text))).mapInArrow(run, "id bigint, markup string")
 
 
 def clean_text(rows: DataFrame, row_id: str = "id", text: str = "body") -> DataFrame:
@@ -444,4 +447,4 @@ def clean_text(rows: DataFrame, row_id: str = "id", text: str = "body") -> DataF
                     c.append(sum(b[0] == k for b in s.blocks) if s else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cleaned, pa.string()), *(pa.array(c, pa.int32()) for c in counts)], schema=schema)
 
-    return rows.select(F.col(row_id).cast("bigint"), F.col(text)).mapInArrow(run, "id bigint, clean string, n_heading int, n_list int, n_code int, n_table int, n_formula int")
+    return spread(rows.select(F.col(row_id).cast("bigint"), F.col(text))).mapInArrow(run, "id bigint, clean string, n_heading int, n_list int, n_code int, n_table int, n_formula int")

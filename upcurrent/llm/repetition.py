@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import spread
+
 NGRAM = 4
 BUCKETS = 4096
 #: Documents with at most this share of recurring n-grams make up the trusted target.
@@ -119,7 +121,7 @@ def multinomials(documents: DataFrame, text: str = "text") -> np.ndarray:
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(target[used])], schema=schema)
 
-    cells = documents.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "cell int, raw bigint, target bigint")
+    cells = spread(documents.where(F.col(text).isNotNull()).select(text)).mapInArrow(count, "cell int, raw bigint, target bigint")
     n = np.zeros((2, 2 * BUCKETS))
     for r in cells.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         n[:, r["cell"]] = r["raw"], r["target"]
@@ -150,4 +152,4 @@ def repetition(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 shares.append(share(t) if x > LLR_LEAST else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(llr, pa.float64()), pa.array(shares, pa.float64())], schema=schema)
 
-    return documents.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, "doc_id bigint, llr double, share double")
+    return spread(documents.select(F.col(doc_id).cast("bigint"), F.col(text))).mapInArrow(run, "doc_id bigint, llr double, share double")

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import spread
+
 #: Fixed value: the pattern the byte_bpe_50k vocabulary was built with.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their ids in one task; the memory is emptied beyond that.
@@ -139,4 +141,4 @@ def encode(documents: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
                 ids = bpe.encode_batch(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, schema.field("ids").type)], schema=schema)
 
-    return documents.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(documents.select(F.col(doc_id).cast("bigint"), F.col(text))).mapInArrow(run, "doc_id bigint, ids array<int>")

@@ -27,6 +27,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
+from ..sources.tables import spread
+
 ORDERS = (1, 2, 3, 4, 6, 8)
 #: log2 of the cells of each table, and its order. Long contexts have two tables with different hashes: the lower count is the better one.
 TABLES = ((14, 1), (17, 2), (19, 3), (19, 4), (19, 4), (19, 6), (19, 6), (19, 8), (19, 8))
@@ -242,7 +244,7 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def train(rows: DataFrame, fields: tuple[str, ...], source: str, limits: dict) -> dict[str, Model]:
     """A model for each field, from all values. Ends of values at their source's limit are left out: those were cut."""
-    texts = rows.select(F.col(source), *fields)
+    texts = spread(rows.select(F.col(source), *fields))
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, sizes = {f: tables() for f in fields}, np.zeros((len(fields), len(SCRIPTS), 2), np.int64)
@@ -328,7 +330,7 @@ def truncated(rows: DataFrame, row_id: str = "id", source: str = "fetched_via",
             if out:
                 yield _batch(out, schema)
 
-    return rows.select(F.col(row_id).cast("bigint"), F.col(source), *fields).mapInArrow(run, "id bigint, field string")
+    return spread(rows.select(F.col(row_id).cast("bigint"), F.col(source), *fields)).mapInArrow(run, "id bigint, field string")
 
 
 def truncation_report(rows: DataFrame, found: DataFrame, row_id: str = "id", source: str = "fetched_via", fields: tuple[str, ...] = FIELDS) -> DataFrame:
