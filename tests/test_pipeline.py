@@ -12,7 +12,7 @@ from upcurrent.functions import classifiers, comments, paths, versions
 from upcurrent.operators import alignment as al, diagnose as dg, discovery, enrich, gold, labels as lb, stats, store
 from upcurrent.plans import reports
 from upcurrent.sources import jsonl
-from upcurrent.streaming.first_event import append_new
+from upcurrent.streaming.first_event import append_new, first_events_stream
 
 
 def column(spark, values, make, kind="string"):
@@ -61,6 +61,8 @@ def test_comments_and_unmatched(spark, rows):
     o = lb.ordered_comments(t)
     got = {r.pr_id: r.m for r in o.select("pr_id", comments.supersession("comments").alias("m")).collect()}
     assert got[1].pattern_name == "dependabot_up_to_date_now" and got[2].reason == "comment_grouped" and got[3] is None and set(got) == {1, 2, 3}
+    flat = {r.pr_id: (r.reason, r.pattern_name, r.comment_text, r.created_at) for r in lb.supersessions(t).collect()}
+    assert flat == {i: (got[i].reason, got[i].pattern_name, got[i].comment_text, got[i].created_at) for i in (1, 2)}
     text = json.dumps([{"author_login": "dependabot[bot]", "body": "no longer needed"}, None])
     parsed = column(spark, [(text,), ("nonsense",), (None,), ("{}",), ("[1,")], F.size(comments.parse_comments("a")))
     assert parsed[0] >= 1 and parsed[1:] == [0, 0, 0, 0]
@@ -279,3 +281,23 @@ def test_closing_comments(spark, rows):
     df = spark.createDataFrame([(1, json.dumps({"comments": {"nodes": nodes}})), (2, "bad"), (3, None), (4, json.dumps({"comments": {"nodes": []}}))], "pr_id bigint, payload string")
     out = enrich.closing_comments(df, fetched_at="now").orderBy("id").collect()
     assert [r.body for r in out] == [str(i) for i in range(6, 20)] + [None] and {r.pr_id for r in out} == {1} and out[-1].author_login is None
+
+
+def test_classify_with_comments(spark, rows):
+    pr = spark.createDataFrame([(1, "dependabot[bot]", None, None, "t", "", None, "CLOSED", False, [("web/package.json",)]), (2, None, "me", "User", "bump left-pad", None, None, "closed", None, None)], "id bigint, actor_login string, author_login string, author_type string, title string, body string, commit_messages_concat string, state string, merged boolean, files array<struct<path:string>>")
+    change = spark.createDataFrame([(10, 1, "npm", "a", "1.0", "2.0", "web/package-lock.json", True), (11, 1, "npm", "a", "1.0", "1.1", "web/package.json", False), (12, 2, "npm", "left-pad", None, "1", "package-lock.json", True), (13, 9, "npm", "x", "1", "2", "p", False)], "change_id bigint, pr_id bigint, ecosystem string, package string, from_version string, to_version string, manifest_path string, is_lockfile boolean")
+    said = spark.createDataFrame([(1, 1, "dependabot[bot]", None, "No longer needed", "t")], "id bigint, pr_id bigint, author_login string, author_type string, body string, created_at string")
+    out = rows(lb.classify(change, pr, said))
+    assert out == [(10, 1, "dependabot", "major", "non-security", "direct", "superseded", "comment_grouped"), (11, 1, "dependabot", "minor", "non-security", "direct", "superseded", "comment_grouped"), (12, 2, "human", "unknown", "non-security", "transitive", "closed-unmerged", None)]
+    assert lb.classify(change, pr, dimensions=["source", "source"]).columns == ["change_id", "pr_id", "source"]
+    with pytest.raises(ValueError):
+        lb.selected_dimensions(["nothing"])
+
+
+def test_stream_drops_repeats_within_the_watermark(spark, tmp_path, rows):
+    src, out, ck = (str(tmp_path / n) for n in ("s", "o", "c"))
+    data = [(1, "a", "2025-01-01T00:00:00"), (2, "a", "2025-01-01T00:10:00"), (3, "b", "2025-01-01T00:00:00"), (4, None, "2025-01-01T00:00:00"), (5, None, "2025-01-01T00:00:01")]
+    spark.createDataFrame(data, "id bigint, k string, t string").withColumn("at", F.col("t").cast("timestamp")).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("id bigint, k string, t string, at timestamp").parquet(src)
+    first_events_stream(stream, ["k"], "at").writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(out).select("k").distinct()) == [("a",), ("b",), (None,)] and spark.read.parquet(out).count() == 3

@@ -51,14 +51,28 @@ def with_sibling(change: DataFrame) -> DataFrame:
 
 
 def ordered_comments(comment: DataFrame) -> DataFrame:
-    """pr_id, comments: each pull request's comments in order of time, null times first, then of id."""
+    """pr_id, comments: each pull request's comments in order of time, null times first, then of id.
+
+    The source gives at most enrich.COMMENTS comments of a pull request, which bounds the lists; supersessions needs none.
+    """
     entry = F.struct("created_at", "id", "author_login", "author_type", "body")
     arr = F.sort_array(F.collect_list(entry))
     cast = F.transform(arr, lambda c: F.struct(c["id"].alias("id"), c["author_login"].alias("author_login"), c["author_type"].alias("author_type"), c["body"].alias("body"), c["created_at"].alias("created_at")))
     return comment.where(F.col("pr_id").isNotNull()).groupBy("pr_id").agg(cast.alias("comments"))
 
 
-def classify(change: DataFrame, pr: DataFrame, comments_by_pr: DataFrame | None = None, dimensions: list[str] | None = None) -> DataFrame:
+def supersessions(comment: DataFrame) -> DataFrame:
+    """pr_id, reason, bot_family, pattern_name, comment_text, created_at of each pull request's latest comment that fits a pattern.
+
+    Comments are matched row by row and only the latest match is kept while aggregating, so no list of comments is built.
+    """
+    c = F.struct("author_login", "author_type", "body")
+    rows = comment.where(F.col("pr_id").isNotNull()).select("pr_id", "id", "created_at", "body", comments.comment_pattern(c).alias("m")).where("m IS NOT NULL")
+    x = F.struct("m.reason", "m.bot_family", "m.pattern_name", F.col("body").alias("comment_text"), "created_at")
+    return rows.groupBy("pr_id").agg(F.max_by(x, F.struct("created_at", "id")).alias("x")).select("pr_id", "x.*")
+
+
+def classify(change: DataFrame, pr: DataFrame, comment: DataFrame | None = None, dimensions: list[str] | None = None) -> DataFrame:
     """change_id, pr_id, labels and the superseded reason, a column per dimension. pr: with an array of structs `files`.
 
     Changes whose pull request is missing get no row, like in an inner join.
@@ -66,8 +80,8 @@ def classify(change: DataFrame, pr: DataFrame, comments_by_pr: DataFrame | None
     want = selected_dimensions(dimensions)
     p = pr.select(F.col("id").alias("pr_id"), "actor_login", "author_login", "author_type", "title", "body", "commit_messages_concat", "state", "merged", "files")
     rows = with_sibling(change).join(p, "pr_id")
-    if comments_by_pr is not None:
-        rows = rows.join(comments_by_pr, "pr_id", "left").withColumn("__reason", comments.supersession("comments")["reason"])
+    if comment is not None:
+        rows = rows.join(supersessions(comment).select("pr_id", F.col("reason").alias("__reason")), "pr_id", "left")
     else:
         rows = rows.withColumn("__reason", F.lit(None).cast("string"))
     done = classifiers.outcome("state", "merged", "title", "body", "__reason")

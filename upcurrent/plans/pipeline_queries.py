@@ -141,8 +141,7 @@ def ordered_comments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supersession_match(spark: SparkSession, d: str) -> DataFrame:
-    m = lb.ordered_comments(comment_table(spark, d)).select("pr_id", comments.supersession("comments").alias("m"))
-    return m.where("m IS NOT NULL").select("pr_id", "m.reason", "m.bot_family", "m.pattern_name", "m.created_at")
+    return lb.supersessions(comment_table(spark, d)).drop("comment_text")
 
 
 def diff_texts(spark: SparkSession, d: str) -> DataFrame:
