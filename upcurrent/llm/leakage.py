@@ -12,14 +12,15 @@ A candidate (document, item) is verified exactly: the window must hold the requi
 common runs of words are chained in order, and a chain counts if it holds at least `least` words of the item and at most one in `slack` of the words it spans is replaced or left
 out. Only verified pairs leave a task; documents are never shuffled.
 
-Words are what is left between blanks when tags, link targets, character references and punctuation are gone, folded. Null, empty and too short
-texts yield nothing, like items shorter than `least`; an item given twice is reported for each of its ids.
+Words are what is left between blanks when tags, link targets, commands and punctuation are gone and character references are read, folded.
+Null, empty and too short texts yield nothing, like items shorter than `least`; an item given twice is reported for each of its ids.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ ITEMS_PER_BLOCK = 500
 
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>", re.S)
 _LINK = re.compile(r"\]\([^()\s]*\)|\{\{|\}\}")
-_REFERENCE = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);")
+_COMMAND = re.compile(r"\\[a-zA-Z]+\*?")
 _DROP = re.compile(r"[\W_]+")
 
 
@@ -49,8 +50,10 @@ def plain(text: str) -> str:
         text = _TAG.sub(" ", text)
     if "](" in text or "{{" in text:
         text = _LINK.sub(" ", text)
+    if "\\" in text:
+        text = _COMMAND.sub(" ", text)
     if "&" in text:
-        text = _REFERENCE.sub(" ", text)
+        text = unescape(text)
     return text
 
 
