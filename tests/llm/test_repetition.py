@@ -66,3 +66,27 @@ def test_every_heavy_document_passes_the_ratio(spark, rows):
     assert {k for k, r in out.items() if r["share"] >= rp.CASE_SHARE} == {k for k, s in truth.items() if s >= rp.CASE_SHARE}
     assert all(r["llr"] == 0 == r["share"] for k, r in out.items() if k >= 500)
     assert rp.repetition(df.limit(0)).count() == 0
+
+
+def test_share_of_every_document_is_measured(spark):
+    rng = random.Random(6)
+    data = [(k, " ".join(sentence(rng) for _ in range(12))) for k in range(100)]
+    for k in range(100, 140):
+        own = [sentence(rng) for _ in range(30)]
+        data.append((k, " ".join(own + own[: rng.randint(1, 3)])))
+    out = {r.doc_id: r for r in rp.repetition(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    truth = {k: brute(t) for k, t in data}
+    assert any(s > 0 and out[k].llr <= 0 for k, s in truth.items())
+    assert {k: r["share"] for k, r in out.items()} == pytest.approx(truth)
+
+
+def test_heavy_documents_are_found_whatever_the_ratio(spark):
+    """All documents repeat: the target is empty, and the ratio says nothing."""
+    rng = random.Random(7)
+    data = []
+    for k in range(60):
+        own = " ".join(sentence(rng) for _ in range(6))
+        data.append((k, " ".join([own] * rng.choice([2, 2, 2, 9]))))
+    out = rp.repetition(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert any(r.llr <= 0 for r in out)
+    assert {r.doc_id for r in out if r["share"] >= rp.CASE_SHARE} == {k for k, t in data if brute(t) >= rp.CASE_SHARE} == set(range(60))

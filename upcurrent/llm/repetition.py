@@ -3,11 +3,11 @@
 Every document is scored by the length-normalised log-likelihood ratio of its hashed word n-grams between two
 multinomials: one over the raw corpus, one over a trusted target, the documents whose n-grams hardly recur. A feature is
 the n-gram's hash bucket together with whether it stood earlier in the same document, so a document that says the same
-again moves mass to features the trusted part rarely has. Scores above LLR_LEAST make a document a candidate.
+again moves mass to features the trusted part rarely has.
 
-The ratio ranks documents but does not measure a share, so each candidate's share of repeated characters is then measured
-exactly, and the case threshold is put on that. A document with no more recurrence than the corpus cannot pass the ratio; one whose
-share is near the case threshold passes it by far, as the target has next to no recurring n-grams (see the tests).
+The ratio ranks documents but does not measure a share, and nothing bounds it from below for a given share: where all documents repeat,
+or repeat what trusted ones repeat too, it is low for heavy ones. So the share of repeated characters is measured exactly for every
+document, from the same hashes, and the case threshold is put on that alone.
 
 Words are compared folded, with every number or version as one value; scripts without blanks are taken by character.
 Blank, null and short texts have share 0. The multinomials have a fixed number of cells, summed over all documents.
@@ -29,7 +29,6 @@ NGRAM = 4
 BUCKETS = 4096
 #: Documents with at most this share of recurring n-grams make up the trusted target.
 TRUSTED = 0.1
-LLR_LEAST = 0.0
 CASE_SHARE = 0.4
 
 #: Scripts without blanks between words.
@@ -81,27 +80,35 @@ def recurring(code: np.ndarray) -> np.ndarray:
     return again
 
 
-def share(text: str | None, n: int = NGRAM) -> float:
-    """Share of the text's word characters in n-grams that stood earlier in it."""
-    ws = _TOKEN.findall(text) if text else []
-    again = recurring(grams(ws, n))
+def covered(ws: list[str], again: np.ndarray, n: int = NGRAM) -> float:
+    """Share of the words' characters in n-grams that stood earlier."""
     if not again.any():
         return 0.0
     lengths = np.fromiter(map(len, ws), np.int64, len(ws))
-    covered = np.zeros(len(ws) + 1, np.int64)
-    at = np.flatnonzero(again)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + n, -1)
-    return float(lengths[np.cumsum(covered[:-1]) > 0].sum() / lengths.sum())
+    at = np.zeros(len(ws) + 1, np.int64)
+    at[:-n][again] += 1
+    at[n:][again] -= 1
+    return float(lengths[np.cumsum(at[:-1]) > 0].sum() / lengths.sum())
+
+
+def share(text: str | None, n: int = NGRAM) -> float:
+    """Share of the text's word characters in n-grams that stood earlier in it."""
+    ws = _TOKEN.findall(text) if text else []
+    return covered(ws, recurring(grams(ws, n)), n)
+
+
+def cells_of(code: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Cells of n-grams, 2 * bucket + recurs."""
+    return (code >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64) * 2 + again
 
 
 def features(text: str | None) -> tuple[np.ndarray, float]:
-    """Cells of the document's n-grams, 2 * bucket + recurs, and the share that recurs."""
+    """Cells of the document's n-grams and the share of n-grams that recur."""
     code = grams(_TOKEN.findall(text)) if text else np.empty(0, np.uint64)
     if not len(code):
         return np.empty(0, np.int64), 0.0
     again = recurring(code)
-    return (code >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64) * 2 + again, float(again.mean())
+    return cells_of(code, again), float(again.mean())
 
 
 def multinomials(documents: DataFrame, text: str = "text") -> np.ndarray:
@@ -138,7 +145,7 @@ def log_ratio(n: np.ndarray) -> np.ndarray:
 
 
 def repetition(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, llr, share of every document; share is measured for candidates and 0 for all others, llr is 0 without n-grams."""
+    """doc_id, llr, share of every document; both are 0 without n-grams."""
     ratio = multinomials(documents, text)
     schema = pa.schema([("doc_id", pa.int64()), ("llr", pa.float64()), ("share", pa.float64())])
 
@@ -146,10 +153,11 @@ def repetition(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for batch in batches:
             llr, shares = [], []
             for t in batch.column(1).to_pylist():
-                cells, _ = features(t)
-                x = float(ratio[cells].mean()) if len(cells) else 0.0
-                llr.append(x)
-                shares.append(share(t) if x > LLR_LEAST else 0.0)
+                ws = _TOKEN.findall(t) if t else []
+                code = grams(ws)
+                again = recurring(code)
+                llr.append(float(ratio[cells_of(code, again)].mean()) if len(code) else 0.0)
+                shares.append(covered(ws, again))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(llr, pa.float64()), pa.array(shares, pa.float64())], schema=schema)
 
     return spread(documents.select(F.col(doc_id).cast("bigint"), F.col(text))).mapInArrow(run, "doc_id bigint, llr double, share double")
