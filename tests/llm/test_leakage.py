@@ -90,3 +90,67 @@ def test_over_tables(spark, rows, monkeypatch):
     assert rows(leakage.leaks(docs.limit(0), items)) == [] == rows(leakage.leaks(docs, items.limit(0)))
     report = rows(leakage.leak_report(leakage.leaks(docs, items), items))
     assert ("s", 3, 3) in report and len(report) == len(ITEMS) and ("s", 98, 0) in report
+
+
+def meets_the_rule(doc, item, least=15, slack=6):
+    """Independent of chained: over all pairs of equal words, every (words, errors) that no other one beats, without bounds."""
+    chains = []
+    for i, w in enumerate(doc):
+        for j in item.get(w, ()):
+            every = {(1, 0)}
+            for i0, j0, front in chains:
+                if i0 < i and j0 < j:
+                    lost = max(i - i0, j - j0) - 1
+                    every |= {(m + 1, e + lost) for m, e in front}
+            front, best = [], 0
+            for m, e in sorted(every, key=lambda c: (c[1], -c[0])):
+                if m > best:
+                    front.append((m, e))
+                    best = m
+            if any(m >= least and e * slack <= m + e for m, e in front):
+                return True
+            chains.append((i, j, front))
+    return False
+
+
+def found_in(passage):
+    item = " ".join(f"a{k}" for k in range(40))
+    return ItemIndex([(1, item)]).find(" ".join([f"x{k}" for k in range(33)] + passage + [f"y{k}" for k in range(50)])) == [1]
+
+
+def test_long_gaps_and_single_words():
+    a = [f"a{k}" for k in range(40)]
+    assert found_in(a[:10] + a[14:24]) and found_in(a[:10] + ["o"] * 4 + a[14:24])
+    assert not found_in(a[:10] + a[15:25]) and not found_in(a[:10] + a[14:23])
+    assert found_in(a[:6] + ["o"] + a[7:8] + ["o"] + a[9:17])
+    assert found_in(a[:7] + ["o"] + a[8:10] + ["o"] + a[11:13] + ["o"] + a[14:16] + ["o"] + a[17:24])
+    loop = " ".join(["b c d"] * 5)
+    assert ItemIndex([(1, loop)]).find("before " + loop + " after") == [1]
+
+
+def test_chained_same_as_independent_program():
+    rng, met = random.Random(11), 0
+    for _ in range(1500):
+        ws = list(range(1, 41)) if rng.random() < 0.5 else [rng.randint(1, 25) for _ in range(40)]
+        item = {}
+        for j, w in enumerate(ws):
+            item.setdefault(w, []).append(j)
+        doc, rate = [], rng.uniform(0.05, 0.3)
+        for w in ws:
+            doc += [w] if rng.random() > rate else rng.choice([[], [0], [0, 0], [0, w], [rng.randint(1, 25)]])
+        start = rng.randint(0, 20)
+        doc = doc[start : start + rng.randint(14, 40)]
+        assert chained(doc, item, 15, 6) == meets_the_rule(doc, item)
+        met += meets_the_rule(doc, item)
+    assert 300 < met < 1200
+
+
+def test_found_same_as_independent_program():
+    rng, index = random.Random(12), ItemIndex(ITEMS)
+    for _ in range(100):
+        ws = ITEMS[rng.randrange(30)][1].split()
+        s = rng.randint(0, max(0, len(ws) - 24))
+        part = [w if rng.random() > 0.17 else "other" for w in ws[s : s + rng.randint(15, 40)]]
+        parts = text(rng.randint(0, 40), rng) + part + text(rng.randint(0, 40), rng)
+        coded = [index.vocabulary.get(w, 0) for w in parts]
+        assert set(index.find(" ".join(parts))) == {index.ids[k] for k, p in enumerate(index.places) if meets_the_rule(coded, p)}

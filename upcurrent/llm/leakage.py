@@ -9,9 +9,13 @@ that are compared, so that a window is missed with a chance below MISS. Partitio
 of shingles are empty by arithmetic.
 
 A candidate (document, item) is verified exactly: the window must hold the required number of the item's shingles, then
-common runs of words are chained in order, and a chain counts if it holds at least `least` words of the item and at most one in `slack` of the words it spans is replaced or left
+common words are chained in order around it, and a chain counts if it holds at least `least` words of the item and at most one in `slack` of the words it spans is replaced or left
 out. Only verified pairs leave a task; documents are never shuffled.
 
+No passage needs more than longest() words. Of one that is longer, cut in two where both parts have at least `least` words besides the errors
+allowed them, one part has no more errors for its length than the whole and is a passage by itself. So a passage of any length holds one whose errors fit into
+longest(), and a block of PIECE words of that keeps least_overlap() shingles.
+
 Words are what is left between blanks when tags, link targets, commands and punctuation are gone and character references are read, folded.
 Null, empty and too short texts yield nothing, like items shorter than `least`; an item given twice is reported for each of its ids.
 """
@@ -30,13 +34,13 @@ from ..sources.tables import spread
 
 SHINGLE = 3
 LEAST, SLACK = 15, 6
-#: An item's piece: LEAST words that are in the document, and those left out among them.
-PIECE = LEAST + LEAST // (SLACK - 1)
+#: An item's piece: with as many errors as a passage of longest() words may have it keeps least_overlap() shingles.
+PIECE = 24
 WINDOW, STRIDE = 2 * PIECE, PIECE - SHINGLE
 #: Chance to miss a window that holds the least overlap.
 MISS = 1e-6
 #: Upper sizes of the partitions of windows, in shingles known to items.
-SIZES = (9, 12, 16, 22, WINDOW)
+SIZES = (9, 12, 16, 22, 32, WINDOW)
 ITEMS_PER_BLOCK = 500
 
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>", re.S)
@@ -99,48 +103,68 @@ def rows_needed(size: int) -> int:
     return int(np.ceil(np.log(MISS) / np.log1p(-similar)))
 
 
+#: rows_needed by the number of shingles in a window.
+ROWS = [rows_needed(next(z for z in SIZES if k <= z)) for k in range(WINDOW + 1)]
+
+
+def longest(least: int = LEAST, slack: int = SLACK) -> int:
+    """Words, with errors, that a passage without a shorter one in it has at most."""
+    return 2 * (least + least // (slack - 1)) - 1
+
+
+def _near(shingles: list[tuple[int, int]], p: int, span: int, most: int, kept: int) -> bool:
+    """Whether kept places from the p-th shingle (place, shift) on, within span, have shingles that are shifted alike up to most."""
+    i, d = shingles[p]
+    places = set()
+    for k in range(p, len(shingles)):
+        i2, d2 = shingles[k]
+        if i2 - i >= span:
+            return False
+        if abs(d2 - d) <= most:
+            places.add(i2)
+            if len(places) >= kept:
+                return True
+    return False
+
+
 def chained(doc: list[int], item: dict[int, list[int]], least: int, slack: int) -> bool:
     """Whether doc holds the passage. item: word -> its places in the item; words unknown to it are absent."""
+    span = longest(least, slack)
+    most = span // slack
     ends: dict[int, int] = {}
-    runs: list[tuple[int, int, int]] = []
+    shingles: list[tuple[int, int]] = []
     for i, w in enumerate(doc):
-        now: dict[int, int] = {}
-        for j in item.get(w, ()):
-            now[j] = ends.get(j - 1, 0) + 1
+        ends = {j: ends.get(j - 1, 0) + 1 for j in item.get(w, ())}
         for j, n in ends.items():
-            if n >= 2 and j + 1 not in now:
-                runs.append((i - n, j - n + 1, n))
-        ends = now
-    runs += [(len(doc) - n, j - n + 1, n) for j, n in ends.items() if n >= 2]
-    runs.sort()
-    # For each run, chains that end with it: (matched words, errors, item start). A longer gap than the slack of the item can never pay.
-    chains: list[list[tuple[int, int, int]]] = []
-    gap = 3
-    for k, (i, j, n) in enumerate(runs):
-        mine = [(n, 0)]
-        if n >= least:
-            return True
-        for h in range(k - 1, -1, -1):
-            i0, j0, n0 = runs[h]
-            cut = max(0, i0 + n0 - i, j0 + n0 - j)
-            if cut >= n or i <= i0 or j <= j0:
-                continue
-            lost = max(i + cut - i0 - n0, j + cut - j0 - n0)
-            if lost > gap:
-                continue
-            for m, e in chains[h]:
-                m, e = m + n - cut, e + lost
-                if e * slack <= m + e and m >= least:
-                    return True
-                mine.append((m, e))
-        # Only chains no other one beats in both numbers are carried on; those too broken to recover are not.
-        mine.sort(key=lambda c: (c[1], -c[0]))
-        best, kept = -1, []
-        for m, e in mine:
-            if m > best:
-                best = m
-                kept.append((m, e))
-        chains.append(kept)
+            if n >= least:
+                return True
+            if n >= SHINGLE:
+                shingles.append((i, i - j))
+    # Only where enough shingles stand near one another, shifted by no more than the errors, a chain is worth looking for.
+    kept = min(t - SHINGLE + 1 - SHINGLE * (t // slack) for t in range(least, span + 1))
+    if kept > 0:
+        first = [i for p, (i, _) in enumerate(shingles) if _near(shingles, p, span, most, kept)]
+        if not first:
+            return False
+        doc = doc[max(0, first[0] - span) : first[-1] + span]
+    # For each pair of equal words, the most words of a chain that ends there with 0, 1, ... errors. More of them than most are never needed.
+    needed = [max(least, e * (slack - 1)) for e in range(most + 1)]
+    before: list[dict[int, list[int]]] = [{} for _ in range(most + 1)]  # the latest words' pairs, the last word's first
+    for w in doc:
+        now = {}
+        for j in item.get(w, ()):
+            mine = [1] + [0] * most
+            for back, pairs in enumerate(before):
+                for j0, chain in pairs.items():
+                    if 0 < j - j0 <= most + 1:
+                        lost = max(back, j - j0 - 1)
+                        for e in range(lost, most + 1):
+                            if (m := chain[e - lost]) and m >= mine[e]:
+                                mine[e] = m + 1
+            if max(mine) >= least and any(m >= n for m, n in zip(mine, needed)):
+                return True
+            now[j] = mine
+        before = [now, *before[:-1]]
     return False
 
 
@@ -166,6 +190,8 @@ class ItemIndex:
             for s in range(max(1, len(c) - PIECE + 1)):
                 pieces.append(self.shingles(c[s : s + PIECE]))
                 owner.append(k)
+        #: Items that repeat shingles within a piece: the sets hold fewer than the words do, so their windows are counted without proposal.
+        self.repeating = sorted({k for p, k in zip(pieces, owner) if len(np.unique(p)) < len(p)})
         self.universe = np.unique(np.concatenate(pieces)) if pieces else np.empty(0, np.int64)
         self.contains = np.zeros((len(self.universe), len(texts)), bool)
         for p, k in zip(pieces, owner):
@@ -212,30 +238,33 @@ class ItemIndex:
             return []
         total = np.concatenate([[0], np.cumsum(hit)])
         regions: dict[int, list[tuple[int, int]]] = {}
+        around = longest(self.least, self.slack)
         for s in range(0, max(1, n - (WINDOW - SHINGLE + 1) + STRIDE), STRIDE):
             e = min(n, s + WINDOW - SHINGLE + 1)
             if total[e] - total[s] < least_overlap():
                 continue
             known = np.unique(at[s:e][hit[s:e]])
-            if len(known) < least_overlap():
+            found = set(self.repeating)
+            if len(known) >= least_overlap():
+                rows = ROWS[len(known)]
+                signature = self.hashes[known, :rows].min(0)
+                key = self.row[:rows] + signature
+                p = np.searchsorted(self.keys, key)
+                p = p[self.keys[np.minimum(p, len(self.keys) - 1)] == key]
+                for q in p.tolist():
+                    found.update(self.owners[self.starts[q] : self.starts[q + 1]].tolist())
+            if not found:
                 continue
-            rows = rows_needed(next(z for z in SIZES if len(known) <= z))
-            signature = self.hashes[known, :rows].min(0)
-            key = self.row[:rows] + signature
-            p = np.searchsorted(self.keys, key)
-            p = p[self.keys[np.minimum(p, len(self.keys) - 1)] == key]
-            found = set()
-            for q in p.tolist():
-                found.update(self.owners[self.starts[q] : self.starts[q + 1]].tolist())
             # Exact shingle containment of what the rows proposed.
             found = np.array(sorted(found), np.int64)
             overlap = self.contains[at[s:e][hit[s:e]]][:, found].sum(0)
             for k in found[overlap >= least_overlap()].tolist():
                 spans = regions.setdefault(k, [])
-                if spans and s <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], s + WINDOW)
+                low, high = max(0, s - around), s + WINDOW + around
+                if spans and low <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], high)
                 else:
-                    spans.append((s, s + WINDOW))
+                    spans.append((low, high))
         return [self.ids[k] for k, spans in regions.items() if any(chained(coded[s:e], self.places[k], self.least, self.slack) for s, e in spans)]
 
 
