@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from upcurrent import model
 from upcurrent.functions import classifiers, comments, paths, versions
 from upcurrent.operators import alignment as al, diagnose as dg, discovery, enrich, gold, labels as lb, stats, store
-from upcurrent.plans import reports
+from upcurrent.plans import pipeline_queries, reports
 from upcurrent.sources import jsonl
 from upcurrent.streaming.first_event import append_new, first_events_stream
 
@@ -166,6 +166,28 @@ def test_ranks_strata_and_correlations(spark, rows):
     assert stats.correlations(t.limit(2)).where("scope = 'all'").collect()[0].pearson is None
 
 
+def test_correlation_intervals_use_all_resamples(spark, monkeypatch):
+    """Against one resample at a time."""
+    data = np.random.default_rng(3)
+    x = np.sort(data.integers(1, 30, 80) / 2.0)
+    y = np.round(x / 40 + data.random(80), 3)
+    c = data.integers(1, 4, 80)
+    t = spark.createDataFrame([("npm", float(a), float(b), 6) for a, b, n in zip(x, y, c) for _ in range(n)], "ecosystem string, mean_group_size double, alignment double, k_projects_decided bigint")
+    monkeypatch.setattr(pipeline_queries, "alignment", lambda spark, d: t)
+    got = {r.scope: r for r in pipeline_queries.QUERIES["correlation_intervals"](spark, "").collect()}
+    cells = t.toPandas().groupby(["mean_group_size", "alignment"]).size().reset_index(name="n")
+    x, y, c = (cells[k].to_numpy(float) for k in ("mean_group_size", "alignment", "n"))
+    rng, p, s = np.random.default_rng(42), [], []
+    for _ in range(10_000):
+        w = rng.multinomial(int(c.sum()), c / c.sum())
+        a, b = np.repeat(x, w), np.repeat(y, w)
+        if len(set(a)) > 1 and len(set(b)) > 1:
+            p.append(np.corrcoef(a, b)[0, 1])
+            s.append(np.corrcoef(*(np.searchsorted(z := np.sort(v), v) + np.searchsorted(z, v, "right") for v in (a, b)))[0, 1])
+    r = got["all"]
+    assert [r.pearson_ci_lo, r.pearson_ci_hi, r.spearman_ci_lo, r.spearman_ci_hi] == pytest.approx([*np.percentile(p, [2.5, 97.5]), *np.percentile(s, [2.5, 97.5])], abs=1e-9)
+
+
 def test_store(spark, rows):
     pr = model.empty(spark, "pr").unionByName(spark.createDataFrame([(1, "o", "r", 1)], "id bigint, repo_owner string, repo_name string, pr_number bigint"), allowMissingColumns=True)
     assert model.reconcile(model.reconcile(pr.drop("state"), "pr"), "pr").columns == pr.columns

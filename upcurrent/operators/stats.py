@@ -192,15 +192,16 @@ def correlation_intervals(alignment: DataFrame, least: int = 5, resamples: int =
     rows = alignment.where(F.col("k_projects_decided") >= least)
     n = rows.select(F.explode(F.array(F.lit("all"), "ecosystem")).alias("scope"), "mean_group_size", "alignment").where("scope IS NOT NULL").groupBy("scope", "mean_group_size", "alignment").agg(F.count(F.lit(1)).alias("n"))
 
-    def weighted(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-        t = w.sum()
-        dx, dy = x - (w @ x) / t, y - (w @ y) / t
-        return float((w * dx) @ dy / np.sqrt(((w * dx) @ dx) * ((w * dy) @ dy)))
+    def grouped(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Counts of each distinct value in each resample."""
+        order = np.argsort(at, kind="stable")
+        return np.add.reduceat(w[:, order], np.flatnonzero(np.diff(at[order], prepend=-1)), axis=1)
 
-    def ranks(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        values, at = np.unique(v, return_inverse=True)
-        c = np.bincount(at, w, len(values))
-        return (np.cumsum(c) - c + (c + 1) / 2)[at]
+    def both(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Weighted correlation in each resample of values that are centred nearly."""
+        t = w.sum(1)
+        mx, my = (w * x).sum(1) / t, (w * y).sum(1) / t
+        return ((w * x * y).sum(1) / t - mx * my) / np.sqrt(((w * x * x).sum(1) / t - mx * mx) * ((w * y * y).sum(1) / t - my * my))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["mean_group_size", "alignment"])
@@ -211,14 +212,17 @@ def correlation_intervals(alignment: DataFrame, least: int = 5, resamples: int =
         if total < 3 or len(set(x)) < 2 or len(set(y)) < 2:
             return out
         rng, p, s = np.random.default_rng(seed), [], []
-        for _ in range(resamples):
-            w = rng.multinomial(total, c / total).astype(float)
-            k = w > 0
-            a, b, u = x[k], y[k], w[k]
-            if (a == a[0]).all() or (b == b[0]).all():
-                continue
-            p.append(weighted(a, b, u))
-            s.append(weighted(ranks(a, u), ranks(b, u), u))
+        at = [np.unique(v, return_inverse=True)[1] for v in (x, y)]
+        x, y = (v - v @ c / total for v in (x, y))
+        size = max(1, 1_000_000 // len(c))
+        for k in range(0, resamples, size):
+            w = rng.multinomial(total, c / total, size=min(size, resamples - k))
+            counts = [grouped(w, a) for a in at]
+            varied = np.logical_and(*((n > 0).sum(1) > 1 for n in counts))
+            w, counts = w[varied].astype(float), [n[varied] for n in counts]
+            ranks = [(np.cumsum(n, 1) - n + (n + 1) / 2 - (total + 1) / 2)[:, a] for n, a in zip(counts, at)]
+            p += both(w, x, y).tolist()
+            s += both(w, *ranks).tolist()
         values = [*np.percentile(p, [2.5, 97.5]), *np.percentile(s, [2.5, 97.5])] if p else [None] * 4
         return out.assign(**dict(zip(cols, values)), ci_note=None if len(p) == resamples else "some resamples skipped")
 

@@ -272,7 +272,7 @@ QUERIES: dict[str, Q] = {
     "strata": lambda s, d: stats.strata(alignment(s, d), LEAST_PROJECTS),
     "strata_intervals": lambda s, d: stats.strata_intervals(alignment(s, d), LEAST_PROJECTS),
     "correlations": lambda s, d: stats.correlations(alignment(s, d), 2),
-    "correlation_intervals": lambda s, d: stats.correlation_intervals(alignment(s, d), 2, resamples=1000),
+    "correlation_intervals": lambda s, d: stats.correlation_intervals(alignment(s, d), 2),
 }
 
 # --- SQL ---
