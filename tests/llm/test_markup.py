@@ -62,3 +62,22 @@ def test_over_a_table(spark, rows):
     out = rows(clean_text(df).select("id", "clean", "n_heading"))
     assert out == [(1, "# x\n\ny", 1), (1, "# x\n\ny", 1), (2, "", 0), (3, "", 0), (4, "plain", 0)]
     assert used_markup(df.limit(0)).count() == clean_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["$$\nx^2 + y^2\n$$", "\\[\nx^2\n\\]", "so that \\[\nx^2\n\\]", "$$ a = b\n+ c $$", "$$\n" + "x^2 +\n" * 2000 + "1\n$$", "with $$x^2$$ inside", "with $$ a = b $$ inside"])
+def test_formulas_over_lines(text):
+    assert syntaxes(text) == ["latex"]
+    assert "latex" in syntaxes("Before it.\n\n" + text + "\n\nAnd after it.")
+
+
+@pytest.mark.parametrize("text", ["kill $$\nand a_b\necho $$", "pid $$ > a_b; kill $$ now", "$$\nonly words\n$$ more", "\\[\n\\d+\n\\]", "$$ x^2 never closed", "\\[ x^2 never closed"])
+def test_no_formulas_over_lines(text):
+    assert syntaxes(text) == []
+
+
+def test_formula_blocks_survive():
+    text = "Here it is\n\n$$\nx^2 = y\n+ z\n$$\n\nso that \\[\na < b\n\\] holds for all the words that follow it here.\n\n- one"
+    assert Stripper(text).text() == "Here it is\n\n$$ x^2 = y\n+ z $$\n\nso that\n$$ a < b $$\nholds for all the words that follow it here.\n\n- one"
+    Stripper("\\[ x\n" * 20000).text()
+    Stripper("$$ x\n" * 20001).text()
+    Stripper("\\[ x\n" * 20000 + "\\d+\n\\]").text()

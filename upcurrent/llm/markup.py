@@ -17,6 +17,7 @@ unmistakable. Texts of any length are read whole; inline markup may span
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 from html.entities import html5
@@ -86,6 +87,10 @@ _BEGIN_AT_END = re.compile(r"\\(?:begin|end)\{[a-zA-Z]*\Z")
 _COMMAND = re.compile(r"\\(?:text(?:bf|it|tt|sc|rm|sf|sl|md|up)?|emph|underline|cite[pt]?|ref|eqref|label|footnote|href|url|caption|mbox|includegraphics|usepackage|documentclass|bf|it|tt|item)\b\*?(?:\[[^\]\n]{0,300}\])?(?:\{[^{}\n]{0,2000}\})*")
 _COMMAND_ARGUMENT = re.compile(r"\{([^{}]*)\}")
 _DISPLAY = re.compile(r"\$\$(.{1,2000}?)\$\$|\\\[(.{1,2000}?)\\\]", re.S)
+#: Inside a line without a command: tight, or with blanks on both sides.
+_DOUBLE = re.compile(r"(?<![\\$\w])\$\$(?:(?![\s$])([^$\n]{1,2000}?)(?<![\s\\])|[ \t]([^$\n]{1,2000}?)[ \t])\$\$(?![\w$])")
+_SPACED_SIGN = re.compile(r"[\\^]|_\{|\s=\s")
+_NO_FORMULA = re.compile(r"\\[dwsbDWSB][+*]?")
 _PAREN = re.compile(r"\\\((?=\s*\S)(.{1,1000}?)\\\)")
 _DOLLAR = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]{1,200}?)(?<![\s\\])\$(?![\w$])")
 _MATH_SIGN = re.compile(r"[\\^_{}=<>]|^[A-Za-z]'?$|^[A-Za-z]\([^()]*\)$|[A-Za-z]\s*[-+*/]\s*\w")
@@ -187,9 +192,18 @@ class Stripper:
     def lines(self, text: str) -> None:
         raw = text.split("\n")
         table_rows = {k for k, x in enumerate(raw) if "-" in x and "|" in x and _RULE_ROW.match(x) and k and "|" in raw[k - 1]}
+        closing = {end: [k for k, x in enumerate(raw) if end in x] if end in text else [] for end in ("$$", "\\]")}
+        closing["\\["] = [k for k, x in enumerate(raw) if x.strip().startswith("\\[") or x.rstrip().endswith("\\[")] if closing["\\]"] else []
         in_wiki_table, in_math, math, skip = False, "", [], False
+        until, after = -1, ""
         for k, line in enumerate(raw):
+            if k < until:
+                continue
             s = line.strip()
+            if k == until:
+                s = line = after
+                if not s:
+                    continue
             if in_math:
                 if (m := _BEGIN.search(line)) and m[1] == "end":
                     self.blocks.append(("formula", "\n".join(math)))
@@ -240,6 +254,13 @@ class Stripper:
                 self.blocks.append(("heading", "#" * int(m[1]) + " " + self.inline(m[2])))
                 continue
             # LaTeX lines.
+            if (c == "$" or "\\[" in s) and (block := self.display(raw, k, s, closing)):
+                before, formula, after, until = block
+                self.found.add("latex")
+                if before:
+                    self.blocks.append(("text", self.inline(before)))
+                self.blocks.append(("formula", formula))
+                continue
             if c == "\\":
                 if m := _SECTION.match(s):
                     self.found.add("latex")
@@ -302,6 +323,30 @@ class Stripper:
         if math:
             self.blocks.append(("formula", "\n".join(math)))
 
+    @staticmethod
+    def display(raw: list[str], k: int, s: str, closing: dict[str, list[int]]) -> tuple[str, str, str, int] | None:
+        """Text before, formula, text behind and last line of a formula that opens in line k, at its start or end, and closes in a later one."""
+        if s.startswith("$$"):
+            end, before, first = "$$", "", s[2:]
+        elif s.startswith("\\[") or s.endswith("\\["):
+            end, at = "\\]", 0 if s.startswith("\\[") else len(s) - 2
+            before, first = s[:at].strip(), s[at + 2 :]
+        else:
+            return None
+        at = bisect_right(closing[end], k)
+        if end in first or at == len(closing[end]):
+            return None
+        if end != "$$" and bisect_right(closing["\\["], closing[end][at] - 1) > bisect_right(closing["\\["], k):
+            return None  # it opens anew before it closes
+        last = raw[closing[end][at]]
+        inside, _, after = last.partition(end)
+        if end == "$$" and inside.strip() and after.strip():
+            return None
+        formula = "\n".join(x for x in (first.strip(), *(x.strip() for x in raw[k + 1 : closing[end][at]]), inside.strip()) if x)
+        if not _MATH_SIGN.search(formula) or end != "$$" and _NO_FORMULA.search(formula):
+            return None
+        return before, formula, after.strip(), closing[end][at]
+
     def inline(self, s: str) -> str:
         found = self.found
         urls: list[str] = []
@@ -346,7 +391,10 @@ class Stripper:
                 found.add("latex")
             s = t
         if "$" in s:
-            t = _DOLLAR.sub(lambda m: m[1] if _MATH_SIGN.search(m[1].strip()) else m[0], s)
+            t = s
+            if "$$" in s:
+                t = _DOUBLE.sub(lambda m: m[1] or m[2].strip() if (_MATH_SIGN.search(m[1]) if m[1] else _SPACED_SIGN.search(m[2])) else m[0], s)
+            t = _DOLLAR.sub(lambda m: m[1] if _MATH_SIGN.search(m[1].strip()) else m[0], t)
             if t != s:
                 found.add("latex")
             s = t
