@@ -48,6 +48,59 @@ def test_hot_message_and_hash_aggregation(spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+def in_tasks(df):
+    """Rows of the result in each partition of the final join, largest first. The sum keeps all columns from being pruned."""
+    return sorted((r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns))).collect()), reverse=True)
+
+
+@pytest.fixture
+def small_as_large(spark):
+    """Settings under which small data behave as large: nothing is broadcast, a few thousand rows are a large partition."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_identifier_is_split(spark, small_as_large):
+    n = 1_000_000
+    df = spark.range(0, n, 1, 32).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.expr("id div 2")).alias("k"))
+    out = dedup.copies(df, ["k"], "id", dedup.delivery_order(F.col("id"), F.col("id")))
+    tasks = in_tasks(out)
+    assert sum(tasks) >= n // 3 - 1 and tasks[0] <= 2 * n / 16, tasks[:5]  # twice the mean
+
+
+def test_hot_parent_is_split(spark, small_as_large):
+    n = 1_000_000
+    child = spark.range(0, n, 1, 32).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("ref"))
+    parent = spark.range(0, n, 1, 8).select(F.col("id").alias("k"))
+    live = orphans.live(parent, "k", spark.range(0, 0).selectExpr("id AS entity_id", "CAST(NULL AS timestamp) AS restored_at"))
+    tasks = in_tasks(orphans.orphans(child, live, {"ref": "k"}))
+    assert sum(tasks) == (n + 2) // 3 and tasks[0] <= 2 * n / 16, tasks[:5]  # twice the mean
+
+
+def test_references_of_another_type(spark):
+    child = spark.createDataFrame([(1, 5), (2, 6)], "id bigint, ref int")
+    parent = spark.createDataFrame([(5,)], "k bigint")
+    assert [r.id for r in orphans.orphans(child, parent, {"ref": "k"}).collect()] == [2]
+
+
+def test_first_delivery(spark):
+    rows = [(1, "o", "r", 1, "2025-01-01T00:00:00Z", T0 + H), (2, "O", "r", 1, "2025-01-01T00:00:00Z", T0), (3, "o", "r", 1, "2025-01-01T00:00:00Z", T0), (4, "o", "r", 2, "2025-01-01T00:00:00Z", None)]
+    pr = spark.createDataFrame(rows, PR + ", ingested_at timestamp")
+    assert sorted(map(tuple, dedup.first_deliveries(pr).collect())) == [(2, 3), (4, 1)]
+
+
 def test_exactly_once_orders_by_delivery_then_tie(spark, rows):
     df = spark.createDataFrame([("a", 5, 1, "x"), ("a", 3, 9, "y"), ("a", 3, 2, "z"), (None, 1, 3, "n"), (None, 1, 4, "n"), ("b", None, 7, "w")], "k string, at bigint, id bigint, v string")
     out = dedup.exactly_once(df, ["k"], "id", dedup.delivery_order(F.col("at"), F.col("id")))

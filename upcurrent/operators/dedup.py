@@ -15,6 +15,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import folded, instant
+from .skew import SPLIT, splittable
 
 
 def delivery_order(delivered: Column, tie: Column) -> Column:
@@ -34,11 +35,12 @@ def winners(rows: DataFrame, keys: list[str], row_id: str, order: Column) -> Dat
 def copies(rows: DataFrame, keys: list[str], row_id: str, order: Column) -> DataFrame:
     """kept_id, dup_id: one row for every further copy.
 
-    The winners of repeated messages only are shuffled once more, so that both sides of the join are plain shuffles:
-    adaptive execution then splits the copies of a hot identifier over several tasks.
+    The winners of repeated messages only are shuffled once more, so that adaptive execution can split the copies of a hot
+    identifier over several tasks (skew.splittable). Rows go in narrow: the keys and row_id.
     """
-    repeated = winners(rows, keys, row_id, order).where("n_copies > 1").drop("n_copies").repartition(*keys)
-    return rows.select(*keys, F.col(row_id).alias("dup_id")).join(repeated, keys).where("dup_id <> kept_id").select("kept_id", "dup_id")
+    repeated = winners(rows, keys, row_id, order).where("n_copies > 1").drop("n_copies")
+    narrow = rows.select(*keys, F.col(row_id).alias("dup_id"))
+    return splittable(narrow, keys).join(splittable(repeated, keys), [*keys, SPLIT]).where("dup_id <> kept_id").select("kept_id", "dup_id")
 
 
 def exactly_once(rows: DataFrame, keys: list[str], row_id: str, order: Column) -> DataFrame:
@@ -51,8 +53,8 @@ def exactly_once(rows: DataFrame, keys: list[str], row_id: str, order: Column) -
 MESSAGE = ["m_owner", "m_name", "m_number", "m_at"]
 
 
-def message_keys(pr: DataFrame) -> DataFrame:
-    return pr.select("id", folded("repo_owner").alias("m_owner"), folded("repo_name").alias("m_name"), F.col("pr_number").alias("m_number"), instant("event_created_at").alias("m_at"))
+def message_keys(pr: DataFrame, *more: Column) -> DataFrame:
+    return pr.select("id", *more, folded("repo_owner").alias("m_owner"), folded("repo_name").alias("m_name"), F.col("pr_number").alias("m_number"), instant("event_created_at").alias("m_at"))
 
 
 def message_copies(pr: DataFrame) -> DataFrame:
@@ -60,6 +62,13 @@ def message_copies(pr: DataFrame) -> DataFrame:
     return copies(message_keys(pr), MESSAGE, "id", delivery_order(F.col("id"), F.col("id")))
 
 
+def first_deliveries(pr: DataFrame) -> DataFrame:
+    """kept_id, n_copies of every message: the copy delivered first by ingested_at, ties going to the smaller id."""
+    delivered = F.unix_micros("ingested_at")
+    rows = message_keys(pr, F.greatest(delivered, F.lit(0)).alias("m_delivered"))
+    return winners(rows, MESSAGE, "id", delivery_order(F.col("m_delivered"), F.col("id"))).select("kept_id", "n_copies")
+
+
 def messages(pr: DataFrame) -> DataFrame:
     """pr with one row per message, all columns."""
     return pr.join(message_copies(pr).select(F.col("dup_id").alias("id")), "id", "left_anti")

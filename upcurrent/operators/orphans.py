@@ -18,6 +18,7 @@ from itertools import product
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import instant, utc_month
+from .skew import SPLIT, splittable
 
 
 def live(parent: DataFrame, key: str, tombstones: DataFrame) -> DataFrame:
@@ -28,9 +29,9 @@ def live(parent: DataFrame, key: str, tombstones: DataFrame) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, on: dict[str, str], match: str = "simple", child_time: str | None = None, parent_time: str | None = None) -> DataFrame:
     """The rows of child whose reference has no parent. on: child column -> parent column.
 
-    Null masks are decided row by row before the shuffle, so null references, however many, meet in no task. The parents
-    are shuffled explicitly, which leaves both sides plain shuffles that adaptive execution can split where one parent is
-    referred to by a large share of the rows.
+    Null masks are decided row by row before the shuffle, so null references, however many, meet in no task. Both sides get
+    exchanges that adaptive execution can split where one parent is referred to by a large share of the rows
+    (skew.splittable), also where parent is the outcome of a join by the same key.
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(match)
@@ -47,11 +48,12 @@ def orphans(child: DataFrame, parent: DataFrame, on: dict[str, str], match: str
             found = rows
         else:
             used = [k for k, null in zip(keys, mask) if not null]
-            p = parent.select(*(F.col(on[k]).alias(f"__p{i}") for i, k in enumerate(used)), *([F.col(parent_time).alias("__pt")] if parent_time else []))
-            p = p.repartition(*(f"__p{i}" for i in range(len(used))))
-            cond = F.lit(True)
-            for i, k in enumerate(used):
-                cond &= rows[k] == p[f"__p{i}"]
+            kind = rows.select(*used).union(parent.select(*(on[k] for k in used))).schema  # the types both sides are compared in
+            p = parent.select(*(F.col(on[k]).cast(f.dataType).alias(f"__p{i}") for i, (k, f) in enumerate(zip(used, kind))), *([F.col(parent_time).alias("__pt")] if parent_time else []))
+            p = splittable(p, [f"__p{i}" for i in range(len(used))])
+            cond = p[SPLIT] == F.xxhash64(*(rows[k].cast(f.dataType) for k, f in zip(used, kind)))
+            for i, (k, f) in enumerate(zip(used, kind)):
+                cond &= rows[k].cast(f.dataType) == p[f"__p{i}"]
             if child_time and parent_time:
                 cond &= F.coalesce(p["__pt"] <= rows[child_time], F.lit(True))
             found = rows.join(p, cond, "left_anti")

@@ -14,6 +14,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import folded
 
+#: The column that splittable adds.
+SPLIT = "__split"
+
+
+def splittable(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with SPLIT, a hash of the keys, to be joined by the keys and SPLIT.
+
+    Adaptive execution splits a hot key's partition only where both sides of a join come straight from an exchange that the planner put
+    there: not from an explicit repartition, nor from an aggregation or join by the same keys whose partitioning is taken over. No side
+    is partitioned by SPLIT already, so the planner exchanges both.
+    """
+    return df.withColumn(SPLIT, F.xxhash64(*keys))
+
 
 def eager_counts(left: DataFrame, right: DataFrame, key: str, groups: list[str], identity: list[str]) -> DataFrame:
     """Per groups: n_rows (rows of left), n_joined (rows of left join right) and n_identities (distinct identity of the right rows reached).

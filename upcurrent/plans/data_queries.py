@@ -20,6 +20,10 @@ def p1_messages(spark: SparkSession, d: str) -> DataFrame:
     return dedup.messages(table(spark, d, "pr")).select("id", "repo_owner", "repo_name", "pr_number", "event_created_at", "pr_action")
 
 
+def p1_first_delivered(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.first_deliveries(table(spark, d, "pr"))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.pipeline_orphans(*(table(spark, d, t) for t in ("pr", "pr_change", "classification", "tombstone")))
 
@@ -56,6 +60,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_messages": p1_messages,
+    "p1_first_delivered": p1_first_delivered,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p3_found": p3_found,
@@ -105,6 +110,9 @@ SELECT kept_id, id AS dup_id FROM k WHERE id <> kept_id""",
     "p1_messages": f"""
 SELECT id, repo_owner, repo_name, pr_number, event_created_at, pr_action FROM pr
 QUALIFY row_number() OVER (PARTITION BY {_MESSAGE} ORDER BY id) = 1""",
+    "p1_first_delivered": f"""
+SELECT arg_min(id, (coalesce(epoch_us(ingested_at), 9223372036854775807), id)) AS kept_id, count(*) AS n_copies FROM pr
+WHERE repo_owner IS NOT NULL AND repo_name IS NOT NULL AND pr_number IS NOT NULL AND {at('event_created_at')} IS NOT NULL GROUP BY {_MESSAGE}""",
     "p2_found": f"WITH {_ORPHANS} SELECT table_name, row_id FROM orphans",
     "p2_report": f"""
 WITH {_ORPHANS},
