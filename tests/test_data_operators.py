@@ -149,47 +149,132 @@ def test_next_parse(spark, tmp_path, rows):
         (10, "", None, False),
         (11, at(0), at(500), False),  # long after the last start
         (12, at(1), at(1), False),
+        (2, at(0.5), at(2), True),  # a copy, on its own
     ]
     path = str(tmp_path / "pr")
     df = spark.createDataFrame([d[:3] for d in data], "id bigint, enriched_at string, parse_attempted_at string")
-    df.withColumn("__pos", F.lit(7)).withColumn("day", F.lit("x")).repartition(3).write.parquet(path)
-    got = [r[0] for r in rows(increments.next_parse(spark.read.parquet(path), log))]
-    assert sorted(got) == [d[0] for d in data if d[3]]
+    df.withColumn(increments.POS, F.lit(7)).withColumn("day", F.lit("x")).withColumn("_change", F.lit("-")).repartition(3).write.parquet(path)
+    got = [r[0] for r in rows(increments.next_parse(spark.read.parquet(path), log, str(tmp_path / "a b%20c")))]
+    assert sorted(got) == sorted(d[0] for d in data if d[3])
     df.limit(0).write.parquet(path + "0")
-    assert rows(increments.next_parse(spark.read.parquet(path + "0"), log)) == []
+    assert rows(increments.next_parse(spark.read.parquet(path + "0"), log, str(tmp_path / "empty"))) == []
 
 
-def test_versions_give_exact_deltas_and_survive_failures(spark, tmp_path, rows):
-    src, out = (increments.VersionedTable(spark, str(tmp_path / n)) for n in ("src", "out"))
-    frame = lambda lo, hi: spark.range(lo, hi).select("id", (F.col("id") * 2).alias("word"), F.lit(0).alias("__file_no"))
-    assert src.append(frame(0, 100), "a") == 1
-    seen = []
+@pytest.fixture
+def store(spark, tmp_path):
+    return lambda name: increments.VersionedTable(spark, str(tmp_path / name))
 
-    def process(changes):
-        return changes.select("id", "_change")
 
+def frame(spark, lo, hi, parts=1):
+    return spark.range(lo, hi, 1, parts).select("id", (F.col("id") * 2).alias("word"), F.lit(0).alias("__file_no"))
+
+
+def pairs(df):
+    return sorted((r["id"], r["_change"]) for r in df.collect())
+
+
+def test_versions_give_exact_deltas(spark, store, rows):
+    src = store("src")
+    assert src.append(frame(spark, 0, 100)) == 1 and src.append(frame(spark, 100, 103)) == 2
+    assert src.delete(F.col("id").isin(5, 64, 101)) == 3
+    assert pairs(src.changes(1, 3)) == sorted([(100, "+"), (102, "+"), (5, "-"), (64, "-")])
+    assert pairs(src.changes(3, 1)) == sorted([(100, "-"), (102, "-"), (5, "+"), (64, "+")])
+    assert pairs(src.changes(3, 3)) == [] and src.changes(3, 3).columns == ["id", "word", "__file_no", "_change"]
+    assert len(pairs(src.changes(None, 3))) == 100 == src.read().count() and src.read(2).count() == 103
+    assert src.delete(F.col("id") == 6) == 4 and pairs(src.changes(3, 4, ["id"])) == [(6, "-")]
+    assert pairs(src.changes(1, 4, ["id"])) == sorted([(100, "+"), (102, "+"), (5, "-"), (6, "-"), (64, "-")])
+    entries = src.manifest(4)["files"]
+    src.commit([e for e in entries if e["rows"] == 100])
+    assert pairs(src.changes(4, 5, ["id"])) == [(100, "-"), (102, "-")]
+    assert src.delete(F.lit(True)) == 6 and src.read().count() == 0 and len(pairs(src.changes(5, 6))) == 97
+
+
+def test_a_run_reads_new_files_only(spark, store):
+    src = store("src")
+    src.append(frame(spark, 0, 1000, 5))
+    src.append(frame(spark, 1000, 1010))
+    new = src.changes(1, 2)
+    assert len(new.inputFiles()) == 1 and new.count() == 10
+    assert "Join" not in new._jdf.queryExecution().toString()
+
+
+def test_increments_survive_failures(spark, store, rows):
+    src, out = store("src"), store("out")
+    process = lambda changes: changes.select("id", "_change")
+    src.append(frame(spark, 0, 100))
     assert increments.run_increment(src, "src", out, process) == 1
-    seen = rows(spark.read.parquet(*(f["path"] for f in out.manifest(1)["files"])))
-    assert len(seen) == 100 and {c for _, c in seen} == {"+"}
     assert increments.run_increment(src, "src", out, process) is None
-    src.append(frame(100, 103), "b")
-    src.delete(F.col("id").isin(5, 64, 101))
+    src.append(frame(spark, 100, 103))
+    src.delete(F.col("id") == 5)
 
     def fails(changes):
-        out.write(changes.select("id", "_change"), "src-3")  # data written, commit never made
+        out.write(changes.select("id", "_change"))  # data written, commit never made
         raise RuntimeError
 
     with pytest.raises(RuntimeError):
         increments.run_increment(src, "src", out, fails)
-    assert out.versions() == [1]
-    assert rows(src.changes(1, 3).select("id", "_change")) == [(100, "+"), (102, "+"), (5, "-"), (64, "-")]
+    assert out.latest() == 1 and out.manifest(1)["processed"] == {"src": 1}
     assert increments.run_increment(src, "src", out, process) == 2
-    assert out.manifest(2)["processed"] == {"src": 3} and sum(f["rows"] for f in out.manifest(2)["files"]) == 104
-    assert rows(src.changes(3, 3)) == []
-    assert rows(src.changes(3, 1).select("id", "_change")) == [(100, "-"), (102, "-"), (5, "+"), (64, "+")]
-    kept = [f for f in src.manifest(3)["files"] if "/b/" not in f["path"]]
-    src.commit(kept)
-    assert rows(src.changes(3, 4).select("id", "_change")) == [(100, "-"), (102, "-")]
+    assert out.manifest(2)["processed"] == {"src": 3}
+    assert sorted(r["id"] for r in out.read().collect()) == sorted([*range(103), 5])
+    assert out.vacuum() == 1 and out.read().count() == 104
+
+
+def test_of_two_writers_one_conflicts(spark, store):
+    """Both read the same note; only one output becomes visible."""
+    src, out = store("src"), store("out")
+    src.append(frame(spark, 0, 10))
+
+    def process(changes):
+        if out.latest() == 0:  # the other run commits while this one is still working
+            increments.run_increment(src, "src", store("out"), lambda c: c)
+        return changes
+
+    with pytest.raises(increments.Conflict):
+        increments.run_increment(src, "src", out, process)
+    assert out.versions() == [1] and out.read().count() == 10
+    assert increments.run_increment(src, "src", out, process) is None
+
+
+def test_racing_commits_lose_nothing(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    tables = [store("t") for _ in range(8)]
+    tables[0].commit([], schema=spark.range(1).schema)
+
+    def publish(k):
+        try:
+            tables[k]._publish(2, f'{{"by": {k}}}'.encode())
+        except increments.Conflict:
+            return None
+        return k
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [k for k in pool.map(publish, range(8)) if k is not None]
+    assert len(won) == 1 and tables[0].manifest(2) == {"by": won[0]} and tables[0].versions() == [1, 2]
+
+
+def test_rename_refuses_an_existing_version(spark, store):
+    """The way taken where files cannot be linked."""
+    t = store("t")
+    t.commit([], schema=spark.range(1).schema)
+    draft = t._path("_versions/.draft")
+    t._fs.create(draft, True).close()
+    with pytest.raises(FileExistsError):
+        t._rename(draft, t._path("_versions/1.json"))
+    t._rename(draft, t._path("_versions/2.json"))
+    assert t.versions() == [1, 2]
+
+
+def test_many_files_cost_the_driver_one_entry_each(spark, store):
+    """No word reaches the driver: the first run's plan joins nothing, and a wide deletion's manifest stays as short as its list of files."""
+    src = store("src")
+    src.append(frame(spark, 0, 200_000, 50))
+    src.delete(F.col("id") % 2 == 0)
+    entries = src.manifest(2)["files"]
+    assert len(entries) == 50 and sum(e["hidden"] for e in entries) == 100_000 and max(len(json.dumps(e)) for e in entries) < 400
+    assert "Join" not in src.changes(None, 1)._jdf.queryExecution().toString()
+    assert src.changes(1, 2).where("_change = '-'").count() == 100_000 == src.read().count()
 
 
 def nested_truth(doc):

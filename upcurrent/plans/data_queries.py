@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import dedup, increments, nested, orphans, skew
-from ..sources.tables import table
+from ..sources.tables import scratch, table
 
 HEAVY_SHARE = 0.02
 
@@ -38,7 +38,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return increments.next_parse(table(spark, d, "pr"), table(spark, d, "pipeline_run"))
+    return increments.next_parse(table(spark, d, "pr"), table(spark, d, "pipeline_run"), scratch(spark, "increment"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

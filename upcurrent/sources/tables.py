@@ -1,11 +1,11 @@
-"""Readers of the test tables."""
+"""Readers of the test tables, and what reading and sending them needs."""
 
 from __future__ import annotations
 
-import os
-import re
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,22 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder all executors can reach, under spark.checkpoint.dir; a local one only where that is unset."""
-    import uuid
-
+    """A new folder name all executors can reach, under spark.checkpoint.dir. Only a local session without that setting gets a temporary folder of the machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        import tempfile
-
-        root = "file://" + os.path.join(tempfile.gettempdir(), "upcurrent-checkpoint")
-    return re.sub(r"/+$", "", root) + f"/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        root = "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/upcurrent-{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Sets the checkpoint folder where the session has none yet."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(scratch(spark, "rdd"))
+def broadcast_within(df: DataFrame, most: int) -> DataFrame:
+    """df marked to be broadcast if it has at most that many rows, which are counted; a larger one is left to the planner."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def spread(df: DataFrame) -> DataFrame:
