@@ -1,7 +1,9 @@
 """Truncated values: held-out accuracy on texts cut by the test, and the parts by themselves."""
 
+import pickle
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,15 +44,21 @@ def corpus(n=1500, seed=1):
 SCHEMA = "id bigint, fetched_via string, body string, commit_messages_concat string"
 
 
-def test_held_out_accuracy(spark):
+def test_held_out_accuracy(spark, tmp_path):
     data, truth = corpus()
     data += [(9001, "full", None, ""), (9002, None, "  ", "\n"), (9003, "full", "", None)]
     df = spark.createDataFrame(data, SCHEMA).withColumn("field", F.lit("clash")).repartition(4)
-    assert tr.source_limits(df, "fetched_via", tr.FIELDS) == {("short", "body"): [("chars", 300)]}
-    found = tr.truncated(df)
-    got = {r.id for r in found.collect()}
+    measured = tr.measure(df, "id", "fetched_via", tr.FIELDS, str(tmp_path / "m"))
+    fitted = tr.fit(measured)
+    assert [(k, [x[:2] for x in v]) for k, v in fitted.limits.items()] == [(("short", "body"), [("chars", 300)])]
+    values = tr.score(measured, pickle.loads(pickle.dumps(fitted)))
+    got = {r.id for r in values.where("cut").collect()}
     assert len(got & truth) / len(truth) >= 0.95 and len(got & truth) / len(got) >= 0.95
-    report = {(r.source, r.field): r for r in tr.truncation_report(df, found).collect()}
+    assert {r.id for r in tr.truncated(df).collect()} == got
+    # Contexts alone, lengths left out of everything.
+    alone = {r.id for r in tr.truncated(df, lengths=False).collect()}
+    assert len(alone & truth) / len(truth) >= 0.8 and len(alone & truth) / len(alone) >= 0.9
+    report = {(r.source, r.field): r for r in tr.truncation_report(values).collect()}
     assert report["short", "body"].rate > report["full", "body"].rate and ("full", "commit_messages_concat") not in report
     assert sum(r.n_cut for r in report.values()) == len(got)
 
@@ -73,8 +81,43 @@ def test_no_marks(text):
 
 def test_normal_and_limits():
     assert tr.normal("From 1.2.3 to 10.4 in 2024\r\n") == "from \x01 to 0.0 in \x02\n"
-    assert tr.at_limit("é" * 10, [("bytes", 20)]) and tr.at_limit("é" * 9 + "a", [("bytes", 20)]) and not tr.at_limit("é" * 10, [("chars", 20)])
-    assert tr.script("hello") == 0 and tr.script("Привет") == 1 and tr.script("日本語です") == 2
+    at = lambda t, limits: tr.odds_at(len(t), len(t.encode()), limits)
+    assert at("é" * 10, [("bytes", 20, 9.0)]) == at("é" * 9 + "a", [("bytes", 20, 9.0)]) == 9.0
+    assert at("é" * 10, [("chars", 20, 9.0)]) == tr.CUT_SHARE and at("x" * 20, [("chars", 20, 3.0), ("bytes", 20, 9.0)]) == 9.0
+
+
+@pytest.mark.parametrize(("text", "lang"), [("the update is for this", "en"), ("Die Version ist nicht neu und der Test", "de"), ("Привет, это проверка", "cyrillic"), ("ビルド時間は短くなりました", "kana"), ("升级版本修复错误", "han"), ("x", "latin"), ("", "latin"), ("¡¡¡¡", "latin")])
+def test_language(text, lang):
+    assert tr.language(text) == lang
+
+
+def test_every_limit_of_a_source_is_found(spark, tmp_path):
+    """A source whose limit was raised, with marks behind the cut and longer values of another kind."""
+    rng, data = random.Random(5), []
+    for k in range(1500):
+        t = " ".join(sentence(rng) for _ in range(14))
+        data.append((k, "s", t[:200] if k % 3 == 0 else t[:420] + "…" if k % 3 == 1 else t, None))
+    same = [(5000 + k, "s", "x" * 40 + " template body number " + str(k % 7), None) for k in range(300)]
+    measured = tr.measure(spark.createDataFrame(data + same, SCHEMA), "id", "fetched_via", tr.FIELDS, str(tmp_path / "m"))
+    limits = tr.length_odds(measured)
+    got = {x[:2] for x in limits["s", "body"]}
+    assert {("chars", 200), ("chars", 420)} <= got <= {("chars", 200), ("chars", 419), ("chars", 420)}  # blanks before a mark go with it
+
+
+def test_noise_leaves_full_tables_to_shorter_contexts():
+    """Tables so small that every cell holds many contexts must not make the long contexts speak."""
+    data = [t for _, _, t, _ in corpus(1500)[0]]
+    scores = {}
+    for extra in (0, -9):
+        inside, ends = tr.tables(extra), tr.tables(extra)
+        tr.add_inside(inside, [tr.normal(t) for t in data], extra)
+        for k, cell in enumerate(tr.end_cells([tr.end_of(tr.normal(t)) for t in data], extra)):
+            np.add.at(ends[k], cell, 1)
+        model = tr.Model(inside, ends, tr.tables(extra), extra=extra)
+        tails = ["because the cache kept failing.", "because the cache kept", "please check the runner bef"]
+        scores[extra] = model.score(tails, np.zeros(3, bool))[0]
+    for s in scores.values():
+        assert s[0] > s[1] + 2 and s[0] > s[2] + 2
 
 
 def test_counts_do_not_depend_on_batching():
@@ -88,5 +131,6 @@ def test_counts_do_not_depend_on_batching():
 
 
 def test_very_long_value():
-    tail, mark = tr.tail_of("word " * 400000 + "end…")
-    assert mark and tail.endswith("end")
+    short, mark = tr.stripped("word " * 400000 + "end…")
+    assert mark and tr.end_of(tr.normal(short)) == "w\x03" + ("word " * 10 + "end")[-tr.TAIL :]
+    assert tr.end_of("") == "\x04" and tr.end_of("- item\n") == "- item\n"

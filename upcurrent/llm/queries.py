@@ -27,8 +27,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    pr = table(spark, d, "pr")
-    return truncation.truncation_report(pr, truncation.truncated(pr))
+    return truncation.truncation_report(truncation.scored(table(spark, d, "pr")))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -1,33 +1,43 @@
-"""Text cut off by field limits: a backward character n-gram model, and the limits of each source.
+"""Text cut off by field limits: a backward character n-gram model.
 
 The model reads a text backward from a position and tells how the end of a text compares with its continuation there. For
 every context of one to ORDERS[-1] characters it holds the number of distinct values that end with it and the number of places
-inside values where text goes on after it; a longer context's odds start from those of the next shorter one. A value was
-cut if, after its final context, an end is hardly likelier than at a place picked at random: the log-odds are compared
-with the rate of cuts per place in values of its script and column, plus MARGIN. A value's own end is left out of the counts.
+inside values where text goes on after it; a longer context's odds start from those of the next shorter one. Every value is
+scored: it was cut if, after its final context, an end is hardly likelier than at a place picked at random. The threshold of the
+log-odds is the rate of ends per place in values of its language and column, times the odds that a value of its length was cut,
+plus MARGIN. A value's own end is left out of the counts.
 
-Marks put behind a cut are taken off before counting and scoring. A marked value is whole only where its final context is
+What a length says is thus evidence beside the context, no rule of its own. The odds are those of a peak in the lengths of the
+source's values, in characters or UTF-8 bytes, against the lengths on both sides of it; values with the same end count once there, since a
+template piles up at one length too. A source may have several limits; a value at none has the odds CUT_SHARE.
+
+Marks put behind a cut are taken off before counting, measuring and scoring. A marked value is whole only where its final context is
 a usual end of whole values and mostly carries a mark ("more to come...").
 
-Values of a source that pile up at one length, in characters or in UTF-8 bytes, next to which longer ones hardly exist, were cut at
-that limit whatever their last words are. Lengths are counted over all values.
+Null and blank values are no cases, like values of commits_truncated. Language is told from the script and, in Latin script, from function words in
+the last 400 characters.
 
-Null and blank values are no cases, like values of commits_truncated. Counts live in hash tables of fixed size; tasks
-send their tables as compressed blocks that are summed block by block, so what reaches the driver has a fixed size.
+One Python pass over the texts writes what is needed of each value (its end, marks and lengths) and each task's counts to the shared folder;
+lengths, ends and scores then come from that narrow table. Counts live in hash tables of fixed size that are summed block by block, so what reaches the
+driver has a fixed size. On a large corpus cells hold more than one context: what a cell of the table holds at the median is taken off every cell,
+so that only contexts well above such noise speak and the others leave the odds to shorter ones. `extra` makes the tables larger.
+The jobs of fitting run while the query is built; a Fitted can be pickled and used again.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
-from ..sources.tables import spread
+from ..sources.tables import scratch, spread
 
 ORDERS = (1, 2, 3, 4, 6, 8)
 #: log2 of the cells of each table, and its order. Long contexts have two tables with different hashes: the lower count is the better one.
@@ -36,15 +46,33 @@ TABLES = ((14, 1), (17, 2), (19, 3), (19, 4), (19, 4), (19, 6), (19, 6), (19, 8)
 PRIOR = 20.0
 #: Log-odds above the rate of random cuts from which an end counts as whole.
 MARGIN = 2.5
-#: Share of values taken to be cut where their length does not tell; it moves the threshold by its logarithm only.
+#: Odds of a cut where the length does not tell; they move the threshold by their logarithm only.
 CUT_SHARE = 0.1
-TAIL = 48
+#: Characters of an end that are kept, and that tell whether two values end alike.
+TAIL, SAME = 48, 160
 FIELDS = ("body", "commit_messages_concat")
-SCRIPTS = ("latin", "cyrillic", "other")
+
+#: Scripts by code points, and function words of languages in Latin script.
+SCRIPTS = {"cyrillic": (0x400, 0x52F), "greek": (0x370, 0x3FF), "hebrew": (0x590, 0x5FF), "arabic": (0x600, 0x6FF), "devanagari": (0x900, 0x97F), "thai": (0xE00, 0xE7F), "hangul": (0xAC00, 0xD7AF), "kana": (0x3040, 0x30FF), "han": (0x3400, 0x9FFF)}
+WORDS = {
+    "en": "the and is of to for with this that was are from not".split(),
+    "de": "der die das und ist nicht mit für ein eine wird den von auf".split(),
+    "fr": "le la les et est pas des une dans pour avec sur qui du".split(),
+    "es": "el los las es una por con para que no se del".split(),
+    "pt": "o os as é uma não por com para que do da em".split(),
+    "it": "il gli è una non per con che di del della sono".split(),
+    "nl": "de het een en is niet met voor van dat op".split(),
+    "pl": "i nie jest się na do z że w dla".split(),
+}
+_LATIN = re.compile(r"[a-zß-ÿœąćęłńóśźż]+")
+_LANGUAGES: dict[str, list[str]] = {}
+for _name, _words in WORDS.items():
+    for _w in _words:
+        _LANGUAGES.setdefault(_w, []).append(_name)
 
 #: Marks that pipelines put behind a cut.
 MARK = re.compile(
-    r"\s*(?:…|\.{3,}|[\[(<{]\s*(?:…|\.{2,}|(?:(?:message|text|content|output|body|log)\s+)?(?:truncated|clipped|cut(?: off)?|trimmed|snip(?:ped)?|shortened|abridged|continued|more)\b[^\])>}\n]{0,24})\s*[\])>}]|(?:read|show|view|see)\s+more)\s*$",
+    r"\s*(?:…|\ufffd|\.{3,}|[\[(<{]\s*(?:…|\.{2,}|(?:(?:message|text|content|output|body|log)\s+)?(?:truncated|clipped|cut(?: off)?|trimmed|snip(?:ped)?|shortened|abridged|continued|more)\b[^\])>}\n]{0,24})\s*[\])>}]|(?:read|show|view|see)\s+more)\s*$",
     re.I,
 )
 _VERSION = re.compile(r"\d+(?:\.\d+){2,}")
@@ -63,19 +91,32 @@ def stripped(text: str) -> tuple[str, bool]:
     return (text[: m.start()], True) if m else (text, False)
 
 
-def script(text: str) -> int:
-    tail = text[-TAIL:]
-    if tail.isascii():
-        return 0
-    wide = sum(c > "⹿" and c < "\U0001f000" for c in tail)
-    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in tail)
-    return 2 if wide * 4 >= len(tail) else 1 if cyrillic * 4 >= len(tail) else 0
+def language(text: str) -> str:
+    """The script of the text's end, and in Latin script the language most of whose function words stand in it."""
+    end = text[-400:]
+    if not end.isascii():
+        wide = [ord(c) for c in end if c > "\u036f"]
+        if len(wide) * 4 >= len(end):
+            n, name = max((sum(lo <= c <= hi for c in wide), name) for name, (lo, hi) in SCRIPTS.items())
+            if n * 2 >= len(wide):
+                return name
+    seen: dict[str, int] = {}
+    for w in _LATIN.findall(end.lower()):
+        for name in _LANGUAGES.get(w, ()):
+            seen[name] = seen.get(name, 0) + 1
+    n, name = max(((n, name) for name, n in seen.items()), default=(0, ""))
+    return name if n >= 2 else "latin"
 
 
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def contexts(chars: np.ndarray) -> Iterator[np.ndarray]:
+def layout(extra: int = 0) -> tuple[tuple[int, int], ...]:
+    """TABLES with 2**extra times the cells."""
+    return tuple((bits + extra, order) for bits, order in TABLES)
+
+
+def contexts(chars: np.ndarray, extra: int = 0) -> Iterator[np.ndarray]:
     """For each table, the cell of the context that ends at each place, together with the kind of its line.
 
     chars: code points; contexts run on over what lies before. A line's kind is its first character, all letters and digits being one kind:
@@ -88,7 +129,7 @@ def contexts(chars: np.ndarray) -> Iterator[np.ndarray]:
     h = np.where(plain, 97, kind).astype(np.uint64) << np.uint64(32)
     c = chars.astype(np.uint64)
     done = 0
-    for bits, order in TABLES:
+    for bits, order in layout(extra):
         if order == done:  # the second table of the order
             yield ((h * _MIX2) >> np.uint64(64 - bits)).astype(np.int64)
             continue
@@ -106,11 +147,11 @@ def codes(text: str) -> np.ndarray:
 _GAP = "\x00" * ORDERS[-1]
 
 
-def tables() -> list[np.ndarray]:
-    return [np.zeros(1 << b, np.int64) for b, _ in TABLES]
+def tables(extra: int = 0) -> list[np.ndarray]:
+    return [np.zeros(1 << b, np.int64) for b, _ in layout(extra)]
 
 
-def add_inside(counts: list[np.ndarray], texts: list[str]) -> None:
+def add_inside(counts: list[np.ndarray], texts: list[str], extra: int = 0) -> None:
     """Adds the places of texts after which they go on. Texts are taken together, with gaps as long as the longest context between them."""
     chunk, size = [], 0
     for k, t in enumerate(texts):
@@ -119,39 +160,46 @@ def add_inside(counts: list[np.ndarray], texts: list[str]) -> None:
         if size > 1_000_000 or k + 1 == len(texts):
             chars = codes(_GAP + _GAP.join(chunk) + _GAP)
             inside = np.flatnonzero((chars[:-1] != 0) & (chars[1:] != 0))
-            for table, cell in zip(counts, contexts(chars)):
+            for table, cell in zip(counts, contexts(chars, extra)):
                 table += np.bincount(cell[inside], minlength=len(table))
             chunk, size = [], 0
 
 
-def end_cells(tails: list[str]) -> list[np.ndarray]:
+def end_cells(tails: list[str], extra: int = 0) -> list[np.ndarray]:
     """For each table, the cells of the tails' final contexts."""
     chars = codes(_GAP + _GAP.join(tails) + _GAP)
     last = np.flatnonzero((chars[:-1] != 0) & (chars[1:] == 0))
-    return [cell[last] for cell in contexts(chars)]
+    return [cell[last] for cell in contexts(chars, extra)]
+
+
+def noise(table: np.ndarray) -> float:
+    """What a cell holds without any context of weight: the median, and three standard deviations of as many chance arrivals."""
+    m = float(np.median(table))
+    return m + 3 * m**0.5
 
 
 class Model:
-    """inside, ends, marked: by table, places that go on, distinct values that end, and those of them that carried a mark. rates: values per place by script."""
+    """inside, ends, marked: by table, places that go on, distinct values that end, and those of them that carried a mark. rates: values per place by language."""
 
-    def __init__(self, inside: list[np.ndarray], ends: list[np.ndarray], marked: list[np.ndarray], rates: dict[int, float] | None = None):
-        self.inside, self.ends, self.marked, self.rates = inside, ends, marked, rates or {}
+    def __init__(self, inside: list[np.ndarray], ends: list[np.ndarray], marked: list[np.ndarray], rates: dict[str, float] | None = None, extra: int = 0):
+        self.inside, self.ends, self.marked, self.rates, self.extra = inside, ends, marked, rates or {}, extra
         self.places, self.total = int(inside[0].sum()), int(ends[0].sum())
+        self.noise = [(noise(e), noise(i), noise(m)) for e, i, m in zip(ends, inside, marked)]
 
     def __reduce__(self):
         """Mostly empty tables travel compressed."""
-        return _unpacked, ([[zlib.compress(t.astype(np.int64).tobytes(), 1) for t in ts] for ts in (self.inside, self.ends, self.marked)], self.rates)
+        return _unpacked, ([[zlib.compress(t.astype(np.int64).tobytes(), 1) for t in ts] for ts in (self.inside, self.ends, self.marked)], self.rates, self.extra)
 
     def score(self, tails: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of an end after each tail, its own end left out, and the share of marked values among those that end so."""
         q = np.full(len(tails), max(self.total - 1, 1) / max(self.places + self.total, 1))
         usual = np.full(len(tails), 0.0)
-        cells, k, levels = end_cells(tails), 0, []
+        cells, k, levels = end_cells(tails, self.extra), 0, []
         for order in ORDERS:
             e = i = m = None
             while k < len(TABLES) and TABLES[k][1] == order:
-                at = self.ends[k][cells[k]], self.inside[k][cells[k]], self.marked[k][cells[k]]
-                e, i, m = at if e is None else (np.minimum(e, at[0]), np.minimum(i, at[1]), np.minimum(m, at[2]))
+                at = [np.maximum(t[k][cells[k]] - z, 0) for t, z in zip((self.ends, self.inside, self.marked), self.noise[k])]
+                e, i, m = at if e is None else (np.minimum(x, y) for x, y in zip((e, i, m), at))
                 k += 1
             e, m = np.maximum(e - 1, 0), np.maximum(m - marks, 0)
             levels.append((e, i))
@@ -162,63 +210,52 @@ class Model:
             q = (e + PRIOR * q) / (e + i + PRIOR)
         return np.log(q) - np.log1p(-q), usual
 
-    def cut(self, tails: list[str], marks: np.ndarray, scripts: list[int]) -> np.ndarray:
-        odds, usual = self.score(tails, marks)
+    def cut(self, tails: list[str], marks: np.ndarray, languages: list[str], odds: np.ndarray) -> np.ndarray:
+        """odds: of a cut by each value's length."""
+        ends, usual = self.score(tails, marks)
         rate = self.total / max(self.places, 1)
-        limit = np.array([np.log(CUT_SHARE * self.rates.get(g, rate)) + MARGIN for g in scripts])
-        return (odds < limit) | (marks & (usual < 0.5))
+        limit = np.log(odds * np.array([self.rates.get(g, rate) for g in languages])) + MARGIN
+        return (ends < limit) | (marks & (usual < 0.5))
 
 
-def _unpacked(packed: list[list[bytes]], rates: dict[int, float]) -> Model:
-    return Model(*([_narrow(np.frombuffer(zlib.decompress(t), np.int64)) for t in ts] for ts in packed), rates)
+def _unpacked(packed: list[list[bytes]], rates: dict[str, float], extra: int) -> Model:
+    return Model(*([_narrow(np.frombuffer(zlib.decompress(t), np.int64)) for t in ts] for ts in packed), rates, extra)
 
 
 def _narrow(t: np.ndarray) -> np.ndarray:
     return t.astype(np.int32) if t.max(initial=0) < 2**31 else t
 
 
-def tail_of(text: str) -> tuple[str, bool]:
-    """The normalised end of a value without its mark, its last line's first character kept, and whether it had a mark."""
-    short, mark = stripped(text)
-    line = short.rfind("\n", 0, max(0, len(short) - 1)) + 1
-    end = normal(short[-2 * TAIL :])[-TAIL:]
-    if len(short) - line > 2 * TAIL or len(end) == TAIL and "\n" not in end[:-1]:
-        end = normal(short[line : line + 1]) + "\x03" + end
-    return end or "\x04", mark
+def end_of(clean: str) -> str:
+    """The end of a normalised value, behind its last line's first character where that lies further back."""
+    line = clean.rfind("\n", 0, max(0, len(clean) - 1)) + 1
+    end = clean[-TAIL:]
+    if line < len(clean) - TAIL:
+        end = clean[line] + "\x03" + end
+    return end or "\x04"
 
 
 # --- Over a table ---
 
 BLOCK = 1 << 15
-MAX_LIMITS = 10_000
-#: A limit needs so many distinct values at one length, at most this share of longer ones, and so many times the usual number at a length just below.
-LIMIT_VALUES, LIMIT_BEYOND, LIMIT_PEAK = 5, 0.02, 5.0
+MAX_LIMITS = 100_000
+#: A length's neighbours on either side, closer and wider, and the values a length is taken to have at least.
+NEAR, LEAST = ((4, 12), (4, 50)), 0.2
+#: How many times its neighbours a length without any cut may have: lengths of short messages of one form lie close together.
+SLOPE = 3.0
 
+VALUE = "id bigint, source string, field string, language string, key bigint, tail string, mark boolean, chars int, bytes int"
+_BLOCKS = "field string, kind string, tab int, block int, data binary"
+_MEASURED = f"{VALUE}, kind string, tab int, block int, data binary"
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
-def source_limits(rows: DataFrame, source: str, fields: tuple[str, ...]) -> dict[tuple[str | None, str], list[tuple[str, int]]]:
-    """(source, field) -> limits as (unit, length). Lengths are counted over all distinct values; only limits reach the driver."""
-    each = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]
-    v = rows.select(F.col(source).alias("source"), F.explode(F.array(*each)).alias("x")).select("source", "x.field", "x.value").where("value IS NOT NULL")
-    v = v.select("source", "field", F.length("value").alias("chars"), F.octet_length("value").alias("bytes"), F.xxhash64("value").alias("h")).distinct()
-    units = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("n")) for u in ("chars", "bytes"))))
-    n = v.select("source", "field", units.alias("u")).groupBy("source", "field", "u.unit", "u.n").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("source", "field", "unit").orderBy(F.col("n"))
-    near = w.rangeBetween(-50, -4)
-    n = n.withColumns({"beyond": F.coalesce(F.sum("c").over(w.rangeBetween(1, Window.unboundedFollowing)), F.lit(0)), "near": F.coalesce(F.sum("c").over(near), F.lit(0)) / 47.0})
-    peak = (F.col("c") >= LIMIT_VALUES) & (F.col("beyond") <= LIMIT_BEYOND * F.col("c")) & (F.col("c") >= LIMIT_PEAK * F.col("near")) & (F.col("n") >= 64)
-    found = n.where(peak & F.col("source").isNotNull()).limit(MAX_LIMITS + 1).collect()
-    if len(found) > MAX_LIMITS:
-        raise ValueError(f"more than {MAX_LIMITS} limits; {source} does not name a source")
-    out: dict = {}
-    for (src, field), group in pd.DataFrame(found, columns=["source", "field", "unit", "n", "c", "beyond", "near"]).groupby(["source", "field"]) if found else []:
-        best = group.sort_values(["c", "unit"], ascending=[False, False]).iloc[0]  # characters and bytes agree for plain text: the larger peak tells
-        out[src, field] = [(best["unit"], int(best["n"]))]
-    return out
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(n, _ARROW[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
-def at_limit(value: str, limits: list[tuple[str, int]]) -> bool:
-    """A cut in bytes may have dropped up to three bytes of a character, or put a replacement character for them."""
-    return any(len(value) == n if unit == "chars" else n - 3 <= len(value.encode("utf-8", "surrogatepass")) <= n + 2 for unit, n in limits)
+def _batch(columns: Iterable, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
 def _blocks(field: str, kind: str, counts: list[np.ndarray]) -> Iterator[tuple[str, str, int, int, bytes]]:
@@ -229,114 +266,156 @@ def _blocks(field: str, kind: str, counts: list[np.ndarray]) -> Iterator[tuple[s
                 yield field, kind, k, b // BLOCK, zlib.compress(part.astype(np.int64).tobytes(), 1)
 
 
-_BLOCKS = "field string, kind string, tab int, block int, data binary"
-_BLOCK_ARROW = pa.schema([("field", pa.string()), ("kind", pa.string()), ("tab", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["data"])
+    return pdf.iloc[:1].assign(data=[zlib.compress(total.tobytes(), 1)])
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+def measure(rows: DataFrame, row_id: str, source: str, fields: tuple[str, ...], root: str, extra: int = 0) -> DataFrame:
+    """Writes to root and reads back, in one pass over the texts: a row for each value (VALUE), and each task's counts of inside places as blocks."""
+    schema = _schema(_MEASURED)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {f: tables(extra) for f in fields}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                ids, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for k, f in enumerate(fields):
+                    out, texts = [], []
+                    for i, src, v in zip(ids, sources, batch.column(k + 2).to_pylist()):
+                        if not v or v.isspace():
+                            continue
+                        short, mark = stripped(v)
+                        clean = normal(short)
+                        key = int.from_bytes(blake2b(clean[-SAME:].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                        out.append((i, src, f, language(short), key, end_of(clean), mark, len(short), len(short) if short.isascii() else len(short.encode("utf-8", "surrogatepass"))))
+                        texts.append(clean)
+                    add_inside(counts[f], texts, extra)
+                    if out:
+                        n = len(out)
+                        yield _batch([*zip(*out), ["value"] * n, *[[None] * n] * 3], schema)
+        blocks = [b for f in fields for b in _blocks(f, "inside", counts[f])]
+        if blocks:
+            f, *rest = zip(*blocks)
+            yield _batch([*[[None] * len(blocks)] * 2, f, *[[None] * len(blocks)] * 6, *rest], schema)
+
+    spread(rows.select(F.col(row_id).cast("bigint"), F.col(source).cast("string"), *fields)).mapInArrow(run, _MEASURED).write.parquet(root)
+    return rows.sparkSession.read.schema(_MEASURED).parquet(root)
+
+
+Limits = dict[tuple[str | None, str], list[tuple[str, int, float]]]
+
+
+def length_odds(measured: DataFrame) -> Limits:
+    """(source, field) -> limits as (unit, length, odds of a cut at it), of the lengths at which more values were cut than not.
+
+    Lengths are counted over all values, those with the same end once. A length's values are compared with as many as its neighbours on
+    either side have, whichever are more; SLOPE times those and two standard deviations are taken off, so that few values or a natural hump say little. Only limits reach the driver.
+    """
+    v = measured.where("kind = 'value'").select("source", "field", "chars", "bytes", F.right("tail", F.lit(12)).alias("end")).distinct()
+    units = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("n")) for u in ("chars", "bytes"))))
+    n = v.select("source", "field", units.alias("u")).groupBy("source", "field", "u.unit", "u.n").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("source", "field", "unit").orderBy(F.col("n"))
+    side = lambda lo, hi: F.coalesce(F.sum("c").over(w.rangeBetween(lo, hi)), F.lit(0)) / float(hi - lo + 1)
+    n = n.withColumn("near", F.greatest(*(side(*r) for a, b in NEAR for r in ((-b, -a), (a, b)))))
+    n = n.withColumn("odds", (F.col("c") - SLOPE * F.col("near") - 2 * F.sqrt("c")) / F.greatest("near", F.lit(LEAST)))
+    # For plain text characters and bytes peak alike: the unit with more values at that length is the one that limits.
+    n = n.where("odds > 1 AND source IS NOT NULL").groupBy("source", "field", "n").agg(F.max_by(F.struct("unit", "odds"), F.struct("c", "unit")).alias("x"))
+    found = n.select("source", "field", "x.unit", "n", "x.odds").limit(MAX_LIMITS + 1).collect()
+    if len(found) > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} limits; the source column does not name sources")
+    out: Limits = {}
+    for r in found:
+        out.setdefault((r["source"], r["field"]), []).append((r["unit"], r["n"], r["odds"]))
+    return out
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["data"])
-    return pdf.iloc[:1].assign(data=[zlib.compress(total.tobytes(), 1)])
 
+def odds_at(chars: int, size: int, limits: list[tuple[str, int, float]]) -> float:
+    """Odds of a cut by length. A cut in bytes may have dropped up to three bytes of a character, or put a replacement character for them."""
+    return max((odds for unit, n, odds in limits if (chars == n if unit == "chars" else n - 3 <= size <= n + 2)), default=CUT_SHARE)
 
-def train(rows: DataFrame, fields: tuple[str, ...], source: str, limits: dict) -> dict[str, Model]:
-    """A model for each field, from all values. Ends of values at their source's limit are left out: those were cut."""
-    texts = spread(rows.select(F.col(source), *fields))
 
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, sizes = {f: tables() for f in fields}, np.zeros((len(fields), len(SCRIPTS), 2), np.int64)
-        for batch in batches:
-            for k, f in enumerate(fields):
-                clean = [stripped(v)[0] for v in batch.column(k + 1).to_pylist() if v and not v.isspace()]
-                add_inside(counts[f], [normal(v) for v in clean])
-                for v in clean:
-                    sizes[k, script(v)] += 1, len(v)
-        for k, f in enumerate(fields):
-            out = list(_blocks(f, "inside", counts[f])) + [(f, "size", -1, s, zlib.compress(sizes[k, s].tobytes())) for s in range(len(SCRIPTS))]
-            yield _batch(out, _BLOCK_ARROW)
-
-    tail_schema = pa.schema([("field", pa.string()), ("key", pa.string()), ("tail", pa.string()), ("mark", pa.bool_())])
-
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k, f in enumerate(fields):
-                for src, v in zip(batch.column(0).to_pylist(), batch.column(k + 1).to_pylist()):
-                    if v and not v.isspace() and not at_limit(v, limits.get((src, f), [])):
-                        tail, mark = tail_of(v)
-                        out.append((f, normal(stripped(v)[0][-400:])[-160:], tail, mark))
-            if out:
-                yield _batch(out, tail_schema)
+@dataclass
+class Fitted:
+    """What scoring needs, of a fixed size: the length odds of each source and a model for each field."""
+
+    limits: Limits
+    models: dict[str, Model]
+
+
+def fit(measured: DataFrame, fields: tuple[str, ...] = FIELDS, extra: int = 0, lengths: bool = True) -> Fitted:
+    """From all values. Ends of values at a length where most were cut are left out. lengths=False leaves the lengths out of everything."""
+    limits = length_odds(measured) if lengths else {}
+    spark = measured.sparkSession
+    known = spark.sparkContext.broadcast(limits)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {(f, kind): tables() for f in fields for kind in ("ends", "marked")}
+        counts = {(f, kind): tables(extra) for f in fields for kind in ("ends", "marked")}
         for batch in batches:
             x = batch.to_pandas()
             for f in fields:
                 own = x[x["field"] == f]
                 if len(own):
                     mark = own["mark"].to_numpy(bool)
-                    for k, cell in enumerate(end_cells(own["tail"].tolist())):
+                    for k, cell in enumerate(end_cells(own["tail"].tolist(), extra)):
                         np.add.at(counts[f, "ends"][k], cell, 1)
                         np.add.at(counts[f, "marked"][k], cell[mark], 1)
         out = [b for (f, kind), c in counts.items() for b in _blocks(f, kind, c)]
         if out:
-            yield _batch(out, _BLOCK_ARROW)
-
-    # Copies of a value, also those cut at the same place, count as one end: they share their last 160 characters.
-    distinct = texts.mapInArrow(tails, "field string, key string, tail string, mark boolean")
-    distinct = distinct.groupBy("field", F.xxhash64("key").alias("key")).agg(F.min("tail").alias("tail"), F.min("mark").alias("mark")).select("field", "tail", "mark")
-    parts = texts.mapInArrow(inside, _BLOCKS).unionByName(distinct.mapInArrow(ends, _BLOCKS))
-    total = parts.groupBy("field", "kind", "tab", "block").applyInPandas(_summed, _BLOCKS)
-    got: dict = {f: {k: tables() for k in ("inside", "ends", "marked")} for f in fields}
-    sizes: dict = {f: {} for f in fields}
-    for r in total.toLocalIterator():  # a fixed number of blocks
+            yield _batch(zip(*out), _schema(_BLOCKS))
+
+    def at_no_limit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, f, chars, size = (batch.column(k).to_pylist() for k in range(4))
+            keep = [odds_at(c, b, known.value[s, g]) <= 1 if (s, g) in known.value else True for s, g, c, b in zip(src, f, chars, size)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select([1, 4, 5, 6])
+
+    # Copies of a value, also those cut at the same place, count as one end: they share their last SAME characters.
+    values = measured.where("kind = 'value'").select("source", "field", "chars", "bytes", "key", "tail", "mark")
+    distinct = values.mapInArrow(at_no_limit, "field string, key bigint, tail string, mark boolean").groupBy("field", "key", "tail").agg(F.min("mark").alias("mark"))
+    parts = measured.where("kind = 'inside'").select("field", "kind", "tab", "block", "data").unionByName(distinct.select("field", "tail", "mark").mapInArrow(ends, _BLOCKS))
+    got: dict = {f: {k: tables(extra) for k in ("inside", "ends", "marked")} for f in fields}
+    for r in parts.groupBy("field", "kind", "tab", "block").applyInPandas(_summed, _BLOCKS).toLocalIterator():  # a fixed number of blocks
         data = np.frombuffer(zlib.decompress(bytes(r["data"])), np.int64)
-        if r["kind"] == "size":
-            sizes[r["field"]][r["block"]] = data[0] / max(data[1], 1)
-        else:
-            got[r["field"]][r["kind"]][r["tab"]][r["block"] * BLOCK : r["block"] * BLOCK + len(data)] = data
-    return {f: Model(*([_narrow(t) for t in got[f][k]] for k in ("inside", "ends", "marked")), {s: x for s, x in sizes[f].items() if x > 0}) for f in fields}
+        got[r["field"]][r["kind"]][r["tab"]][r["block"] * BLOCK : r["block"] * BLOCK + len(data)] = data
+    of = measured.where("kind = 'value'").groupBy("field", "language").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).collect()  # one row a language
+    rates: dict = {f: {r["language"]: r["n"] / max(r["chars"], 1) for r in of if r["field"] == f} for f in fields}
+    return Fitted(limits, {f: Model(*([_narrow(t) for t in got[f][k]] for k in ("inside", "ends", "marked")), rates[f], extra) for f in fields})
 
 
-def truncated(rows: DataFrame, row_id: str = "id", source: str = "fetched_via", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """row_id, field of the values that were cut, of each copy on its own."""
-    limits = source_limits(rows, source, fields)
-    models = rows.sparkSession.sparkContext.broadcast(train(rows, fields, source, limits))
-    schema = pa.schema([("id", pa.int64()), ("field", pa.string())])
+def score(measured: DataFrame, fitted: Fitted) -> DataFrame:
+    """id, source, field, cut of every value that is neither null nor blank."""
+    shared = measured.sparkSession.sparkContext.broadcast(fitted)
+    schema = _schema("id bigint, source string, field string, cut boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits, models = shared.value.limits, shared.value.models
         for batch in batches:
-            ids, sources, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for k, f in enumerate(fields):
-                rest, tails, marks, scripts = [], [], [], []
-                for i, src, v in zip(ids, sources, batch.column(k + 2).to_pylist()):
-                    if not v or v.isspace():
-                        continue
-                    if v.endswith("\ufffd") or at_limit(v, limits.get((src, f), [])):
-                        out.append((i, f))
-                        continue
-                    tail, mark = tail_of(v)
-                    rest.append(i)
-                    tails.append(tail)
-                    marks.append(mark)
-                    scripts.append(script(v))
-                if rest:
-                    cut = models.value[f].cut(tails, np.array(marks), scripts)
-                    out += [(i, f) for i, c in zip(rest, cut.tolist()) if c]
-            if out:
-                yield _batch(out, schema)
-
-    return spread(rows.select(F.col(row_id).cast("bigint"), F.col(source), *fields)).mapInArrow(run, "id bigint, field string")
-
-
-def truncation_report(rows: DataFrame, found: DataFrame, row_id: str = "id", source: str = "fetched_via", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """source, field, n_values (neither null nor blank), n_cut, rate; rows without a source form one of their own."""
-    each = F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.regexp_replace(F.col(f), r"\s+", "") != "", F.lit(False)).alias("has")) for f in fields))
-    values = rows.select(F.col(row_id).alias("id"), F.coalesce(F.col(source), F.lit("unknown")).alias("source"), F.explode(each).alias("x")).where("x.has")
-    values = values.select("id", "source", "x.field").join(found.withColumn("cut", F.lit(1)), ["id", "field"], "left")
-    n = values.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n_values"), F.count("cut").alias("n_cut"))
+            x = batch.to_pydict()
+            odds = np.array([odds_at(c, b, limits[s, f]) if (s, f) in limits else CUT_SHARE for s, f, c, b in zip(x["source"], x["field"], x["chars"], x["bytes"])])
+            field, marks, cut = np.array(x["field"]), np.array(x["mark"], bool), np.zeros(len(odds), bool)
+            for f, model in models.items():
+                at = np.flatnonzero(field == f)
+                if len(at):
+                    cut[at] = model.cut([x["tail"][k] for k in at], marks[at], [x["language"][k] for k in at], odds[at])
+            yield _batch([x["id"], x["source"], x["field"], cut], schema)
+
+    values = measured.where("kind = 'value'").select("id", "source", "field", "language", "tail", "mark", "chars", "bytes")
+    return values.mapInArrow(run, "id bigint, source string, field string, cut boolean")
+
+
+def scored(rows: DataFrame, row_id: str = "id", source: str = "fetched_via", fields: tuple[str, ...] = FIELDS, extra: int = 0, lengths: bool = True) -> DataFrame:
+    measured = measure(rows, row_id, source, fields, scratch(rows.sparkSession, "ends"), extra)
+    return score(measured, fit(measured, fields, extra, lengths))
+
+
+def truncated(rows: DataFrame, **how) -> DataFrame:
+    """id, field of the values that were cut, of each copy on its own. how: as of scored."""
+    return scored(rows, **how).where("cut").select("id", "field")
+
+
+def truncation_report(values: DataFrame) -> DataFrame:
+    """source, field, n_values, n_cut, rate of scored values; those without a source form one of their own, 'unknown'."""
+    n = values.groupBy(F.coalesce("source", F.lit("unknown")).alias("source"), "field").agg(F.count(F.lit(1)).alias("n_values"), F.count_if("cut").alias("n_cut"))
     return n.withColumn("rate", F.col("n_cut") / F.col("n_values"))
