@@ -292,6 +292,31 @@ def nested_truth(doc):
     return out
 
 
+def wrapped(times):
+    doc = '[{"path": "a"}]'
+    for _ in range(times):
+        doc = json.dumps(doc)
+    return doc
+
+
+JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats() | st.text(max_size=3), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=2), x, max_size=3), max_leaves=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(JSON, st.sampled_from([None, 1]), st.integers(0, 40), st.sampled_from(["", ",", "]", "}", '"', " 1", "\n"]))
+def test_loads_deep_reads_what_json_reads(value, indent, at, extra):
+    doc = json.dumps(value, indent=indent)
+    assert repr(nested.loads_deep(doc)) == repr(json.loads(doc))
+    broken = doc[:at] + extra + doc[at:]
+    try:
+        want = repr(json.loads(broken))
+    except ValueError:
+        with pytest.raises(ValueError):
+            nested.loads_deep(broken)
+    else:
+        assert repr(nested.loads_deep(broken)) == want
+
+
 @pytest.mark.parametrize(
     ("doc", "expect"),
     [
@@ -310,10 +335,14 @@ def nested_truth(doc):
         (json.dumps(json.dumps([{"path": "a", "hunks": json.dumps([{"bumps": None}])}])), [(1, 0, 0), (1, 1, 0)]),
         ('[{"path": "", "hunks": [{"bumps": [{"package": "x"}]}]}]', []),
         ("[" * 100000, []),
+        ('[{"path": "a", "x": ' + "[" * 100000 + "]" * 100000 + ', "hunks": [{}]}]', [(1, 0, 0), (1, 1, 0)]),
+        ('[{"path": "a", "x": ' + '{"y":' * 50000 + "null" + "}" * 50000 + "}, 7]", [(1, 0, 0)]),
+        ('[{"path": "a", "x": ' + "[" * 100000 + "]" * 99999 + "}]", []),
+        (wrapped(12), [(1, 0, 0)]),
     ],
 )
 def test_nested_nodes(doc, expect):
-    assert [(n, m, k) for level, _, (n, m, k, j) in nested.nodes(doc) if level != "label"] == expect
+    assert [(n, m, k) for level, _, _, (n, m, k, j) in nested.nodes(doc) if level != "label"] == expect
 
 
 BUMP = st.fixed_dictionaries({"package": st.text(max_size=3)}, optional={"from": st.none() | st.text(max_size=2), "labels": st.none()})
@@ -323,16 +352,31 @@ FILE = st.fixed_dictionaries({}, optional={"path": st.none() | st.sampled_from([
 @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.none() | FILE, max_size=4))
 def test_nested_against_plain_walk(doc):
-    assert [(n, m, k) for level, _, (n, m, k, j) in nested.nodes(json.dumps(doc)) if level != "label"] == nested_truth(doc)
+    assert [(n, m, k) for level, _, _, (n, m, k, j) in nested.nodes(json.dumps(doc)) if level != "label"] == nested_truth(doc)
+
+
+def test_states_come_from_the_childrens_states():
+    bump, new = {"package": "p", "from": "1", "labels": [{"dimension": "d"}]}, {"package": "q", "labels": [{}]}
+    doc = [{"path": "a", "hunks": [{"bumps": [bump, new]}, {"bumps": []}]}, {"filename": "b", "hunks": [{"header": "@@"}]}, {"path": "c", "previous_path": "d"}]
+    states = [(at, variant) for _, variant, _, at in nested.nodes(json.dumps(doc))]
+    assert states == [
+        ((1, 0, 0, 0), "file"), ((1, 1, 0, 0), "hunk"), ((1, 1, 1, 0), "labelled_bump"), ((1, 1, 1, 1), "label"), ((1, 1, 2, 0), "new_bump"), ((1, 1, 2, 1), "bare_label"), ((1, 2, 0, 0), "empty_hunk"),
+        ((2, 0, 0, 0), "bare_named_file"), ((2, 1, 0, 0), "empty_hunk"), ((3, 0, 0, 0), "bare_renamed_file"),
+    ]
+    assert all(v in nested.VARIANTS[level] for level, v, _, _ in nested.nodes(json.dumps(doc)))
 
 
-def test_level_tables_link_to_parents(spark, rows):
+def test_level_and_variant_tables_link_to_parents(spark, rows, tmp_path):
     doc = json.dumps([{"path": "a", "previous_path": "z", "additions": 2**70, "hunks": [{"header": "@@", "bumps": [{"package": "p", "from": None, "to": 3, "labels": [{"dimension": "d", "label": "l"}]}]}]}])
     df = spark.createDataFrame([(1, doc, 0), (2, None, 0), (1, doc, 0)], "id bigint, files_json string, level int")
     flat = nested.flatten(df, "id", "files_json")
     assert rows(nested.level_table(flat, "file")) == [(1, 1, "renamed_file", "a", "z", None, None)] * 2
-    assert rows(nested.level_table(flat, "bump")) == [(1, 1, 1, 1, "new_bump", "p", None, "3")] * 2
+    assert rows(nested.level_table(flat, "bump")) == [(1, 1, 1, 1, "labelled_new_bump", "p", None, "3")] * 2
     assert rows(nested.level_table(flat, "label")) == [(1, 1, 1, 1, 1, "label", "d", "l")] * 2
+    tables = nested.route(flat, str(tmp_path / "t"))
+    assert rows(tables["renamed_file"]) == [(1, 1, "a", "z", None, None)] * 2 and tables["file"].columns == ["id", "file_no", "path", "additions", "deletions"]
+    assert rows(tables["labelled_new_bump"]) == [(1, 1, 1, 1, "p", "3")] * 2 and tables["bump"].count() == 0
+    assert "PartitionFilters: [isnotnull(variant" in tables["label"]._jdf.queryExecution().toString()
     assert nested.flatten(df.limit(0), "id", "files_json").count() == 0
 
 

@@ -49,6 +49,22 @@ def _level(level: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: nested.level_table(nested.flatten(table(spark, d, "pr"), "id", "files_json", (level,)), level)
 
 
+def p5_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each variant's table and how many of their parents stand in the parents' tables, all tables written in one pass."""
+    tables = nested.route(nested.flatten(table(spark, d, "pr"), "id", "files_json"), scratch(spark, "nested"))
+    out, parents = None, None
+    for level, variants in nested.VARIANTS.items():
+        keys = nested.KEYS[: 2 + nested.LEVELS.index(level)]
+        rows = None
+        for v in variants:
+            one = tables[v].select(*keys, F.lit(v).alias("variant"))
+            rows = one if rows is None else rows.unionByName(one)
+        linked = rows.withColumn("linked", F.lit(1)) if parents is None else rows.join(parents.select(*keys[:-1]).distinct().withColumn("linked", F.lit(1)), keys[:-1], "left")
+        n = linked.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count("linked").alias("n_linked")).select(F.lit(level).alias("level"), "variant", "n", "n_linked")
+        out, parents = n if out is None else out.unionByName(n), rows
+    return out
+
+
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return skew.package_counts(table(spark, d, "pr_change"), table(spark, d, "pr")).select("ecosystem", "package", "n_changes", "n_pull_requests")
 
@@ -69,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_hunks": _level("hunk"),
     "p5_bumps": _level("bump"),
     "p5_labels": _level("label"),
+    "p5_variants": p5_variants,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
 }
@@ -103,6 +120,47 @@ counts AS (
     count(DISTINCT CASE WHEN p.id IS NOT NULL THEN (lower(trim(repo_owner)), lower(trim(repo_name)), pr_number) END) AS n_pull_requests
   FROM keyed k LEFT JOIN pr p ON p.id = k.pr_id GROUP BY ecosystem, package)"""
 
+_JSON = lambda x: f"CASE WHEN json_type({x}) = 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN CAST({x} ->> '$' AS JSON) END ELSE {x} END"
+_LIST = lambda x: f"CASE json_type({x}) WHEN 'ARRAY' THEN CAST(json_extract({x}, '$[*]') AS JSON[]) WHEN 'OBJECT' THEN [{x}] ELSE [] END"
+_SAYS = lambda x, k: f"CASE WHEN json_type({x}, '$.{k}') = 'VARCHAR' THEN {x} ->> '$.{k}' END"
+_TEXT = lambda x, k: f"CASE WHEN coalesce(json_type({x}, '$.{k}'), 'NULL') <> 'NULL' THEN {x} ->> '$.{k}' END"
+_INT = lambda x, k: f"CASE WHEN json_type({x}, '$.{k}') IN ('UBIGINT', 'BIGINT') THEN CAST({x} ->> '$.{k}' AS BIGINT) END"
+_FULL = lambda x: f"nullif(trim({x}, E' \\t\\r\\n'), '') IS NOT NULL"
+
+
+def _children(name: str, parent: str, keys: str, member: str, no: str) -> str:
+    """CTEs name_l, name_x and name: the objects in parent's member, numbered; text of JSON is read twice at each place."""
+    return f"""
+{name}_m AS (SELECT {keys}, {_JSON('m')} AS m FROM (SELECT {keys}, v -> '$.{member}' AS m FROM {parent})),
+{name}_l AS (SELECT {keys}, {_LIST('m')} AS l FROM {name}_m),
+{name}_x AS (SELECT {keys}, unnest(l) AS x, CAST(generate_subscripts(l, 1) AS INT) AS {no} FROM {name}_l),
+{name} AS (SELECT {keys}, {no}, v FROM (SELECT {keys}, {no}, {_JSON('x')} AS v FROM {name}_x) WHERE json_type(v) = 'OBJECT')"""
+
+
+#: Nodes of each level as JSON, and their states from the level below upwards.
+_NODES = f"""
+d0 AS (SELECT row_number() OVER () AS r, id, CAST(files_json AS JSON) AS v FROM pr WHERE json_valid(files_json)),
+d1 AS (SELECT r, id, {_JSON('v')} AS v FROM d0),
+d2 AS (SELECT r, id, {_JSON('v')} AS v FROM d1),
+d3 AS (SELECT r, id, CASE json_type(v) WHEN 'ARRAY' THEN CAST(json_extract(v, '$[*]') AS JSON[]) WHEN 'OBJECT' THEN [v] ELSE [] END AS l FROM d2),
+d4 AS (SELECT r, id, unnest(l) AS x, generate_subscripts(l, 1) AS page FROM d3),
+d5 AS (SELECT r, id, page, {_JSON('x')} AS x FROM d4),
+d6 AS (SELECT r, id, page, CASE WHEN json_type(x) = 'ARRAY' THEN x WHEN json_type(x) = 'OBJECT' AND json_exists(x, '$.nodes') THEN {_JSON("(x -> '$.nodes')")} END AS inner_, x,
+  json_type(x) = 'ARRAY' OR (json_type(x) = 'OBJECT' AND json_exists(x, '$.nodes')) AS many FROM d5),
+d7 AS (SELECT r, id, page, CASE WHEN many THEN {_LIST('inner_')} ELSE [x] END AS l FROM d6),
+d8 AS (SELECT r, id, page, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM d7),
+d9 AS (SELECT r, id, CAST(row_number() OVER (PARTITION BY r ORDER BY page, k) AS INT) AS file_no, {_JSON('x')} AS v FROM d8),
+f AS (SELECT * FROM d9 WHERE json_type(v) = 'OBJECT' AND ({_FULL(_SAYS('v', 'path'))} OR {_FULL(_SAYS('v', 'filename'))})),
+{_children('h', 'f', 'r, id, file_no', 'hunks', 'hunk_no')},
+{_children('b', 'h', 'r, id, file_no, hunk_no', 'bumps', 'bump_no')},
+{_children('x', 'b', 'r, id, file_no, hunk_no, bump_no', 'labels', 'label_no')},
+labels AS (SELECT *, CASE WHEN coalesce(json_type(v, '$.dimension'), 'NULL') <> 'NULL' THEN 'label' ELSE 'bare_label' END AS variant FROM x),
+bumps AS (SELECT b.*, CASE WHEN n > 0 THEN 'labelled_' ELSE '' END || CASE WHEN coalesce(json_type(v, '$.from'), 'NULL') <> 'NULL' THEN 'bump' ELSE 'new_bump' END AS variant
+  FROM b LEFT JOIN (SELECT r, file_no, hunk_no, bump_no, count(*) AS n FROM labels WHERE variant = 'label' GROUP BY ALL) USING (r, file_no, hunk_no, bump_no)),
+hunks AS (SELECT h.*, CASE WHEN n > 0 THEN 'hunk' ELSE 'empty_hunk' END AS variant FROM h LEFT JOIN (SELECT r, file_no, hunk_no, count(*) AS n FROM bumps GROUP BY ALL) USING (r, file_no, hunk_no)),
+files AS (SELECT f.*, CASE WHEN n > 0 THEN '' ELSE 'bare_' END || CASE WHEN {_FULL(_SAYS('v', 'previous_path'))} THEN 'renamed_file' WHEN {_FULL(_SAYS('v', 'path'))} THEN 'file' ELSE 'named_file' END AS variant
+  FROM f LEFT JOIN (SELECT r, file_no, count(*) AS n FROM hunks WHERE variant = 'hunk' GROUP BY ALL) USING (r, file_no))"""
+
 SQL: dict[str, str] = {
     "p1_found": f"""
 WITH k AS (SELECT id, min(id) OVER (PARTITION BY {_MESSAGE}) AS kept_id FROM pr)
@@ -126,6 +184,14 @@ WITH work AS (
 runs AS (SELECT started_at, max_by(status, run_id) AS status FROM pipeline_run WHERE stage = 'parse' GROUP BY started_at)
 SELECT id FROM work ASOF LEFT JOIN runs ON attempted >= started_at
 WHERE attempted IS NULL OR attempted < enriched OR (started_at IS NOT NULL AND coalesce(status, '') <> 'succeeded')""",
+    "p5_found": f"""WITH {_NODES} SELECT id, file_no, 0 AS hunk_no, 0 AS bump_no FROM files
+UNION ALL SELECT id, file_no, hunk_no, 0 FROM hunks UNION ALL SELECT id, file_no, hunk_no, bump_no FROM bumps""",
+    "p5_files": f"""WITH {_NODES} SELECT id, file_no, variant, CASE WHEN {_FULL(_SAYS('v', 'path'))} THEN v ->> '$.path' ELSE v ->> '$.filename' END AS path,
+  {_TEXT('v', 'previous_path')} AS previous_path, {_INT('v', 'additions')} AS additions, {_INT('v', 'deletions')} AS deletions FROM files""",
+    "p5_hunks": f"WITH {_NODES} SELECT id, file_no, hunk_no, variant, {_TEXT('v', 'header')} AS header FROM hunks",
+    "p5_bumps": f"WITH {_NODES} SELECT id, file_no, hunk_no, bump_no, variant, {_TEXT('v', 'package')} AS package, {_TEXT('v', 'from')} AS from_version, {_TEXT('v', 'to')} AS to_version FROM bumps",
+    "p5_labels": f"WITH {_NODES} SELECT id, file_no, hunk_no, bump_no, label_no, variant, {_TEXT('v', 'dimension')} AS dimension, {_TEXT('v', 'label')} AS label FROM labels",
+    "p5_variants": f"WITH {_NODES} SELECT *, n AS n_linked FROM (" + " UNION ALL ".join(f"SELECT '{level}' AS level, variant, count(*) AS n FROM {level}s GROUP BY variant" for level in nested.LEVELS) + ")",
     "p6_counts": f"WITH {_KEYED} SELECT * FROM counts",
     "p6_found": f"WITH {_KEYED} SELECT ecosystem, package FROM counts WHERE n_changes * 50 >= (SELECT count(*) FROM pr_change)",
 }
