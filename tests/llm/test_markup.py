@@ -1,9 +1,11 @@
 """Markup: which syntaxes count as used, and what is left of a text."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from upcurrent.llm.markup import Stripper, clean_text, keep, syntaxes, used_markup
+from upcurrent.llm.markup import Stripper, clean_text, keep, paired, syntaxes, used_markup
 
 USED = [
     ("# Title", "markdown"), ("Title\n=====", "markdown"), ("Title\n---", "markdown"), ("so *very* good", "markdown"), ("so **very good** too", "markdown"), ("a __strong word__ here", "markdown"), ("~~gone~~", "markdown"),
@@ -59,6 +61,7 @@ def test_long_and_odd_texts():
 def test_over_a_table(spark, rows):
     df = spark.createDataFrame([(1, "# x\n\n<b>y</b>"), (2, None), (3, ""), (1, "# x\n\n<b>y</b>"), (4, "plain")], "id bigint, body string").withColumn("markup", F.lit(1))
     assert rows(used_markup(df)) == [(1, "html"), (1, "html"), (1, "markdown"), (1, "markdown")]
+    assert [r for r in rows(clean_text(df).select("id", "left_out")) if r[1]] == []
     out = rows(clean_text(df).select("id", "clean", "n_heading"))
     assert out == [(1, "# x\n\ny", 1), (1, "# x\n\ny", 1), (2, "", 0), (3, "", 0), (4, "plain", 0)]
     assert used_markup(df.limit(0)).count() == clean_text(df.limit(0)).count() == 0
@@ -81,3 +84,39 @@ def test_formula_blocks_survive():
     Stripper("\\[ x\n" * 20000).text()
     Stripper("$$ x\n" * 20001).text()
     Stripper("\\[ x\n" * 20000 + "\\d+\n\\]").text()
+
+
+LONG = "words and more words " * 500  # ten times the caps there once were, and more
+CAPPED = [
+    ("'''" + LONG.strip() + "'''", "wiki"), ("{{{" + LONG + "}}}", "wiki"), ("{code:" + "title=x|" * 50 + "}" + LONG + "{code}", "wiki"), ("x \\(" + "a + " * 3000 + "b\\) y", "latex"), ("so $" + "a + " * 800 + "b$ is", "latex"),
+    ("so $$" + "a + " * 6000 + "b$$ is", "latex"), ("\\[ " + "a + " * 6000 + "b \\] end", "latex"), (r"x \textbf{" + LONG * 3 + "} y", "latex"), (r"x \includegraphics[" + "a=b," * 1000 + "]{f} y", "latex"), ("<code>" + LONG * 6 + "</code>", "html"),
+    ("<code>" + "<i x " * 600 + "</code>", "html"), ("text[^" + "n" * 400 + "] x", "markdown"), ("[^" + "n" * 400 + "]: x", "markdown"), ("[" + "d " * 500 + "]: https://a.example", "markdown"), ("**" + LONG.strip() + "**", "markdown"), ("__" + LONG.strip() + "__", "markdown"),
+    ("it is \\(a = b\n + c\\) here", "latex"),
+]
+
+
+@pytest.mark.parametrize(("text", "markup"), CAPPED)
+def test_markup_of_any_length(text, markup):
+    assert syntaxes(text) == [markup]
+
+
+def test_lines_without_any_end_cost_no_more():
+    began = time.perf_counter()
+    for t in (" '''a", "\\( a", "$$ a", "\\[ a", "{{{a", "{code}\n", "<code>", "[^a", r"\textbf[", r"\textbf{a", " $a", "__a b ", r"\begin{x}[", "# a" + " " * 9, "= a" + " " * 9):
+        Stripper(t * 40000).text()
+        Stripper(t * 40000 + " x\\)").text()
+    Stripper("# a" + " " * 300000 + "b").text()
+    Stripper("== a" + " " * 300000 + "b").text()
+    assert time.perf_counter() - began < 60
+
+
+def test_paired():
+    mark = lambda x: "<" + x + ">" if x != "no" else None
+    assert paired("a (b) (c (d) e (no) (f", "(", ")", mark) == "a <b> (c <d> e (no) (f"
+    assert paired("$a$b$c$", "$", "$", mark) == "<a>b<c>" and paired("$no$x$", "$", "$", mark) in ("$no<x>", "$no$x$")
+    assert paired("()", "(", ")", mark) == "()" and paired("", "(", ")", mark) == ""
+
+
+def test_short_sentences_stay():
+    s = Stripper("Short note.\n\n\n\nA long line of prose that surely makes a surge here.\n\n\n\n\nShort\n\n\n\n")
+    assert s.text() == "Short note.\n\nA long line of prose that surely makes a surge here." and s.left_out == 5

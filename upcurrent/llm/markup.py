@@ -6,19 +6,20 @@ blocks: headings, list items, quotes, code, table rows, formulas and text.
 
 Which prose is content is then decided by line-block distribution: text lengths of the stripped lines are summed over a
 sliding window of WINDOW lines; where the sum rises from nothing to at least SURGE characters a part begins, where it
-falls back to nothing it ends, and text between is kept. Lines that carry structure are kept wherever they stand; lines
-that were nothing but markup have no text and leave. A text without any surge is kept whole.
+falls back to nothing it ends, and text between is kept. Lines that carry structure are kept wherever they stand, and so is a short
+line that is a whole sentence; lines that were nothing but markup have no text and leave. A text without any surge is kept whole. How much
+prose was left out is counted.
 
 Null and blank texts use no syntax and give an empty text. Markup cut off at the end of a text counts if its opening is
-unmistakable. Texts of any length are read whole; inline markup may span
-1,000 characters, formulas 2,000, a code element's text 5,000 between tags; blocks may have any length.
+unmistakable. Texts are read whole, and markup may have any length: patterns stop at what cannot stand inside them, and delimiters are paired by
+one scan (paired), so that a line without any end to its markup costs no more than one with it.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 from html.entities import html5
 
@@ -44,64 +45,145 @@ _TAG = re.compile(r"<(/?)(" + "|".join(sorted(TAGS, key=len, reverse=True)) + r"
 _OPEN_TAG_AT_END = re.compile(r"<(?:" + "|".join(sorted(TAGS, key=len, reverse=True)) + r")\s+[\w:-]+\s*=\s*[\"'][^<>\n]*\Z|</(?:" + "|".join(TAGS) + r")\Z", re.I)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _PRE = re.compile(r"<pre\b[^<>]*>(.*?)(?:</pre\s*>|\Z)", re.S | re.I)
-_INLINE_CODE_TAG = re.compile(r"<(code|kbd|samp|tt)\b[^<>]*>([^<]{0,5000}(?:<(?!/)[^<]{0,5000}){0,50})</\1\s*>", re.I)
+_CODE_TAG = re.compile(r"<(/?)(code|kbd|samp|tt)\b[^<>]*>", re.I)
 _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
 _WIKI_TAG = re.compile(r"<(nowiki|syntaxhighlight|source|ref|gallery|math)\b[^<>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
 _URL = re.compile(r"\b(?:https?|ftp|git|ssh)://[^\s<>\"'`\])}|]+[^\s<>\"'`\])}|.,;:!?]")
 
 _FENCE = re.compile(r"^\s{0,3}(?:>\s?)?(`{3,}|~{3,})\s*([\w+.#-]*)[^`]*$")
-_ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*?)(?:\s+#+)?\s*$")
+_ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*)$")
 _SETEXT = re.compile(r"^ {0,3}(=+|-{2,})\s*$")
 _RULE_ROW = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$|^\s*\|\s*:?-{3,}:?\s*\|\s*$")
 _LIST = re.compile(r"^(\s*)([-*+]|\d{1,3}[.)])[ \t]+(\[[ xX]\][ \t]+)?(\S.*)$")
 _QUOTE = re.compile(r"^ {0,3}>[ \t]?(.*)$")
-_NOTE = re.compile(r"^ {0,3}\[\^[^\]\s]{1,40}\]:\s*(.*)$")
-_DEFINITION = re.compile(r"^ {0,3}\[([^\]^\n]{1,80})\]:\s+<?(?:https?://|/|#|mailto:)\S*.*$")
+_NOTE = re.compile(r"^ {0,3}\[\^[^\]\s]+\]:\s*(.*)$")
+_DEFINITION = re.compile(r"^ {0,3}\[([^\]^\n]+)\]:\s+<?(?:https?://|/|#|mailto:)\S*.*$")
 _IMAGE = re.compile(r"!\[([^\]\n]*)\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\)")
 _LINK = re.compile(r"(?<![\]\\!A-Za-z0-9_])\[([^\[\]\n]+)\]\(([^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+\"[^\"\n]*\")?\)")
 _LINK_AT_END = re.compile(r"(?<![A-Za-z0-9_\]])!?\[([^\[\]\n]+)\]\((?:[a-z#/.][^\s()]*)?\Z")
 _REF_LINK = re.compile(r"(?<!\])\[([^\[\]\n]{2,})\]\[([^\[\]\n]*)\]")
 _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
-_NOTE_REF = re.compile(r"\[\^[^\]\s]{1,40}\]")
+_NOTE_REF = re.compile(r"\[\^[^\[\]\s]+\]")
 _TICKS = re.compile(r"(?<![`\\])(`{1,2})(?!`)([^`\n]+?)(?<!`)\1(?!`)")
-_STRONG = re.compile(r"(?<![\w*\\/])\*\*(?=[^\s*])([^*\n]+?)(?<=\S)\*\*(?![\w*])|(?<![\w_\\/])__(?=[^\s_])([^_\n]*[^\w\n][^_\n]*?)(?<=\S)__(?![\w_])")
+_STRONG = re.compile(r"(?<![\w*\\/])\*\*(?=[^\s*])([^*\n]+?)(?<=\S)\*\*(?![\w*])|(?<![\w_\\/])__(?=[^\s_])([^_\n]+)(?<=\S)__(?![\w_])")
+_NO_WORD = re.compile(r"\W")
 _STRIKE = re.compile(r"(?<![~\w])~~(?=\S)([^~\n]+?)(?<=\S)~~(?!~)")
 _EM = re.compile(r"(?<![\w*\\/.])\*(?=[\w\"'(])([^*\n]+?)(?<=[\w.!?\"')])\*(?![\w*/.])|(?<![\w\\/.])_(?=[\w\"'(])(?!_)([^_\n]+?)(?<=[\w.!?\"')])_(?![\w/.(])")
 
-_WIKI_HEAD = re.compile(r"^\s*(={1,6})\s*([^=\n].*?)\s*\1\s*$")
 _JIRA_HEAD = re.compile(r"^\s*h([1-6])\.[ \t]+(\S.*)$")
-_WIKI_BOLD = re.compile(r"'''(?=\S)(.{1,1000}?)(?<=\S)'''|(?<!['\w])''(?=[^\s'])([^'\n]+?)(?<=[^\s'])''(?!['\w])")
+_WIKI_ITALIC = re.compile(r"(?<!['\w])''(?=[^\s'])([^'\n]+?)(?<=[^\s'])''(?!['\w])")
 _WIKI_LINK = re.compile(r"\[\[([^\[\]\n|]+)(?:\|([^\[\]\n]*))?\]\]")
 _JIRA_LINK = re.compile(r"(?<![\[\w])\[([^\[\]|\n]+)\|((?:https?://|mailto:|#|\^|~)[^\[\]\n]*)\]")
 _SITE_LINK = re.compile(r"(?<![\[\w\]])\[(?:https?|ftp)://[^\s\]]+\s+([^\[\]\n]+)\](?!\()")
 _TEMPLATE = re.compile(r"\{\{(?:([A-Z#][^\s{}|][^{}|\n]*|[A-Z])(\|[^{}]*)?|([a-z][\w -]*)(\|[^{}]*))\}\}")
 _WIKI_CODE = re.compile(r"^\s*(\{\{\{|\{(?:code|noformat)(?::[^}\n]*)?\})")
-_WIKI_CODE_INLINE = re.compile(r"\{\{\{(.{1,1000}?)\}\}\}|\{(?:code|noformat)(?::[^}\n]{0,100})?\}(.{1,1000}?)\{(?:code|noformat)\}")
+_WIKI_CODE_MARK = re.compile(r"\{(?:code|noformat)(:[^{}\n]*)?\}")
 _JIRA_ROW = re.compile(r"^\s*\|\|.+\|\|\s*$")
 _CREOLE_ROW = re.compile(r"^\s*\|=.+")
 _PIPE_ROW = re.compile(r"^\s*\|.*\|\s*$")
 
 _SECTION = re.compile(r"\\((?:sub){0,2}section|chapter|paragraph|title)\*?\{([^{}\n]*)\}?")
-_BEGIN = re.compile(r"\\(begin|end)\{([a-zA-Z]+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
+_BEGIN = re.compile(r"\\(begin|end)\{([a-zA-Z]+\*?)\}(?:\[[^\[\]\n]*\])?(?:\{[^{}\n]*\})?")
 _BEGIN_AT_END = re.compile(r"\\(?:begin|end)\{[a-zA-Z]*\Z")
-_COMMAND = re.compile(r"\\(?:text(?:bf|it|tt|sc|rm|sf|sl|md|up)?|emph|underline|cite[pt]?|ref|eqref|label|footnote|href|url|caption|mbox|includegraphics|usepackage|documentclass|bf|it|tt|item)\b\*?(?:\[[^\]\n]{0,300}\])?(?:\{[^{}\n]{0,2000}\})*")
+_COMMAND = re.compile(r"\\(?:text(?:bf|it|tt|sc|rm|sf|sl|md|up)?|emph|underline|cite[pt]?|ref|eqref|label|footnote|href|url|caption|mbox|includegraphics|usepackage|documentclass|bf|it|tt|item)\b\*?(?:\[[^\[\]\n]*\])?(?:\{[^{}\n]*\})*")
 _COMMAND_ARGUMENT = re.compile(r"\{([^{}]*)\}")
-_DISPLAY = re.compile(r"\$\$(.{1,2000}?)\$\$|\\\[(.{1,2000}?)\\\]", re.S)
 #: Inside a line without a command: tight, or with blanks on both sides.
-_DOUBLE = re.compile(r"(?<![\\$\w])\$\$(?:(?![\s$])([^$\n]{1,2000}?)(?<![\s\\])|[ \t]([^$\n]{1,2000}?)[ \t])\$\$(?![\w$])")
+_DOUBLE = re.compile(r"(?<![\\$\w])\$\$(?:(?![\s$])([^$\n]+?)(?<![\s\\])|[ \t]([^$\n]+?)[ \t])\$\$(?![\w$])")
 _SPACED_SIGN = re.compile(r"[\\^]|_\{|\s=\s")
 _NO_FORMULA = re.compile(r"\\[dwsbDWSB][+*]?")
-_PAREN = re.compile(r"\\\((?=\s*\S)(.{1,1000}?)\\\)")
-_DOLLAR = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]{1,200}?)(?<![\s\\])\$(?![\w$])")
+_DOLLAR = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]+?)(?<![\s\\])\$(?![\w$])")
 _MATH_SIGN = re.compile(r"[\\^_{}=<>]|^[A-Za-z]'?$|^[A-Za-z]\([^()]*\)$|[A-Za-z]\s*[-+*/]\s*\w")
 _MATH_ENVS = {"equation", "align", "gather", "multline", "displaymath", "math", "eqnarray", "alignat", "flalign"}
 _CODE_ENVS = {"verbatim", "lstlisting", "minted", "Verbatim"}
 
 
+#: What a whole sentence looks like, however short it is.
+_SENTENCE = re.compile(r"^\W{0,3}\w.*\w\W{0,2}[.!?:。！？][\"')\]»”]{0,2}$")
+
+
 def _is_reference(name: str) -> bool:
     return name[1] == "#" or name[1:] in html5
 
 
+def paired(s: str, opening: str, closing: str, inside: Callable[[str], str | None], opens: Callable[[int], bool] = lambda i: True, closes: Callable[[int], bool] = lambda i: True) -> str:
+    """s with opening, text and closing replaced by inside(text); None leaves them. opens and closes tell by its place whether a delimiter may.
+
+    A closing one belongs to the last opening one before it, so no character is looked at more than a few times.
+    """
+    width, n = len(opening), len(closing)
+    out, at, i = [], 0, s.find(opening)
+    while i >= 0:
+        if not opens(i):
+            i = s.find(opening, i + 1)
+            continue
+        j, later = i + width + 1, s.find(opening, i + width)
+        while (j := s.find(closing, j)) >= 0 and not closes(j):
+            j += 1
+        if j < 0:
+            break
+        while 0 <= later < j - width and (opening != closing or later < j):
+            if opens(later):
+                i = later
+            later = s.find(opening, later + width)
+        if j > i + width and (got := inside(s[i + width : j])) is not None:
+            out += [s[at:i], got]
+            at = j + n
+        i = s.find(opening, max(j + (n if at == j + n else 0), i + 1))
+    return "".join(out) + s[at:] if out else s
+
+
+def one_line(formula: str) -> str | None:
+    """A formula in a paragraph that runs over several of its lines, with its delimiters."""
+    lines = formula.split("\n")
+    if len(lines) == 1 or not all(x.strip() for x in lines[1:-1]) or not _MATH_SIGN.search(formula) or _NO_FORMULA.search(formula):
+        return None
+    return "\\(" + " ".join(x.strip() for x in lines) + "\\)"
+
+
+def code_marks(s: str, keep: Callable[[str], str]) -> str:
+    """s with the code that stands between two marks on one line replaced by what keep gives."""
+    if "{{{" in s:
+        s = paired(s, "{{{", "}}}", lambda x: None if "\n" in x else keep(x))
+    if "{code" in s or "{noformat" in s:
+        out, at, first = [], 0, None
+        for m in _WIKI_CODE_MARK.finditer(s):
+            if first and not m[1] and m.start() > first.end() and "\n" not in s[first.end() : m.start()]:
+                out += [s[at : first.start()], keep(s[first.end() : m.start()])]
+                at, first = m.end(), None
+            else:
+                first = m
+        s = "".join(out) + s[at:] if out else s
+    return s
+
+
+def code_tags(s: str, keep: Callable[[str], str]) -> str:
+    """s with what stands between a code tag and the next end tag of its name replaced."""
+    out, at, first = [], 0, None
+    for m in _CODE_TAG.finditer(s):
+        if not first:
+            first = None if m[1] else m
+        elif m[1] and m[2].lower() == first[2].lower():
+            out += [s[at : first.start()], keep(s[first.end() : m.start()])]
+            at, first = m.end(), None
+    return "".join(out) + s[at:] if out else s
+
+
+def wiki_head(s: str) -> tuple[int, str] | None:
+    """Level and title of a heading between equal signs."""
+    level = len(s) - len(s.lstrip("="))
+    if not 1 <= level <= 6 or len(s) <= 2 * level or not s.endswith("=" * level):
+        return None
+    title = s[level:-level].strip()
+    return (level, title) if title and title[0] != "=" else None
+
+
+def atx_title(s: str) -> str:
+    """A heading's text without the signs behind it."""
+    s = s.rstrip()
+    bare = s.rstrip("#")
+    return bare.rstrip() if bare and bare[-1].isspace() else s
+
+
 class Stripper:
     """Strips one text: found is the set of syntaxes, blocks the list of (kind, text)."""
 
@@ -112,7 +194,10 @@ class Stripper:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
         if "\ue100" <= max(text, default="") :
             text = _OURS.sub(" ", text)
-        self.lines(self.code_blocks(text))
+        text = self.code_blocks(text)
+        if "\\(" in text and "\\)" in text:
+            text = paired(text, "\\(", "\\)", one_line)
+        self.lines(text)
 
     def keep_code(self, code: str, inline: bool = False) -> str:
         self.codes.append(code)
@@ -128,7 +213,7 @@ class Stripper:
                     if m := _FENCE.match(line):
                         kind, stop = "markdown", re.compile(rf"^\s*(?:>\s?)?{m[1][0]}{{{len(m[1])},}}\s*$")
                         code = []
-                    elif (m := _WIKI_CODE.match(line)) and not _WIKI_CODE_INLINE.search(line):
+                    elif (m := _WIKI_CODE.match(line)) and code_marks(line, lambda x: "") == line:
                         kind, stop = "wiki", re.compile(r"^.*\}\}\}\s*$" if m[1] == "{{{" else r"^.*\{(?:code|noformat)\}\s*$")
                         code = [line[m.end() :]] if line[m.end() :].strip() else []
                     elif (m := _BEGIN.search(line)) and m[1] == "begin" and m[2].rstrip("*") in _CODE_ENVS:
@@ -151,7 +236,7 @@ class Stripper:
         if "`" in text:
             text = _TICKS.sub(self.ticks, text)
         if "{" in text and ("{{{" in text or "{code" in text or "{noformat" in text):
-            text = _WIKI_CODE_INLINE.sub(lambda m: (self.found.add("wiki"), self.keep_code(m[1] or m[2], True))[1], text)
+            text = code_marks(text, lambda x: (self.found.add("wiki"), self.keep_code(x, True))[1])
         if "<" in text:
             text = self.html(text)
         return text
@@ -169,7 +254,7 @@ class Stripper:
         text = _WIKI_TAG.sub(lambda m: (self.found.add("wiki"), self.keep_code(m[2], True))[1], text)
         text = _AUTOLINK.sub(lambda m: (self.found.add("markdown"), m[1])[1], text)
         html = _COMMENT.sub("", text)
-        html = _INLINE_CODE_TAG.sub(lambda m: self.keep_code(unescape(m[2]), True), html)
+        html = code_tags(html, lambda x: self.keep_code(unescape(_TAG.sub("", x)), True))
         html = _TAG.sub(self.tag, html)
         html = _OPEN_TAG_AT_END.sub("", html)
         if html != text:
@@ -244,10 +329,9 @@ class Stripper:
                 self.found.add("wiki")
                 self.blocks.append(("table", " | ".join(self.inline(x.strip("= \t")) for x in s.strip("|").split("||" if "||" in s else "|"))))
                 continue
-            if c == "=" and (m := _WIKI_HEAD.match(line)) and not _SETEXT.match(line):
-                level, title = m[1], m[2]
+            if c == "=" and (head := wiki_head(s)) and not _SETEXT.match(line):
                 self.found.add("wiki")
-                self.blocks.append(("heading", "#" * len(level) + " " + self.inline(title)))
+                self.blocks.append(("heading", "#" * head[0] + " " + self.inline(head[1])))
                 continue
             if c == "h" and (m := _JIRA_HEAD.match(line)):
                 self.found.add("wiki")
@@ -301,7 +385,7 @@ class Stripper:
                 continue
             if c == "#" and (m := _ATX.match(line)):
                 self.found.add("markdown")
-                self.blocks.append(("heading", m[1] + " " + self.inline(m[2])))
+                self.blocks.append(("heading", m[1] + " " + self.inline(atx_title(m[2]))))
                 continue
             if c == ">" and (m := _QUOTE.match(line)) and not re.match(r"[=>\d]", m[1][:1] or " "):
                 self.found.add("markdown")
@@ -377,13 +461,15 @@ class Stripper:
                 found.add("wiki")
             s = t
         if "''" in s:
-            t = _WIKI_BOLD.sub(lambda m: m[1] or m[2], s)
+            t = paired(s, "'''", "'''", lambda x: x, lambda i: not s[i + 3 : i + 4].isspace() and i + 3 < len(s), lambda i: not s[i - 1].isspace()) if "'''" in s else s
+            t = _WIKI_ITALIC.sub(r"\1", t)
             if t != s:
                 found.add("wiki")
             s = t
         if "\\" in s:
-            t = _PAREN.sub(lambda m: m[1].strip() if _MATH_SIGN.search(m[1]) else m[0], s)
-            t = _DISPLAY.sub(lambda m: (m[1] or m[2]).strip() if m[1] or _MATH_SIGN.search(m[2].strip()) and not re.search(r"\\[dwsbDWSB][+*]?", m[2]) else m[0], t)
+            t = paired(s, "\\(", "\\)", lambda x: x.strip() if x.strip() and _MATH_SIGN.search(x) else None)
+            t = paired(t, "$$", "$$", str.strip)
+            t = paired(t, "\\[", "\\]", lambda x: x.strip() if _MATH_SIGN.search(x.strip()) and not _NO_FORMULA.search(x) else None)
             t = _SECTION.sub(r"\2", t)
             t = _BEGIN_AT_END.sub("", _BEGIN.sub("", t))
             t = _COMMAND.sub(lambda m: " ".join(_COMMAND_ARGUMENT.findall(m[0])) if "{" in m[0] else m[0], t)
@@ -399,7 +485,7 @@ class Stripper:
                 found.add("latex")
             s = t
         if "*" in s or "_" in s or "~~" in s:
-            t = _STRONG.sub(lambda m: m[1] or m[2], s)
+            t = _STRONG.sub(lambda m: m[1] or (m[2] if _NO_WORD.search(m[2]) else m[0]), s)
             t = _STRIKE.sub(r"\1", t)
             t = _EM.sub(lambda m: m[1] or m[2], t)
             if t != s:
@@ -425,9 +511,10 @@ class Stripper:
         return label or page
 
     def text(self) -> str:
-        """The blocks that line-block distribution keeps, as text."""
+        """The blocks that line-block distribution keeps, as text. Sets left_out, the characters of prose it does not keep."""
         lengths = [len(t) if kind != "blank" else 0 for kind, t in self.blocks]
         kept = keep(lengths)
+        self.left_out = 0
         out: list[str] = []
         for (kind, t), k in zip(self.blocks, kept):
             if kind == "blank":
@@ -439,8 +526,11 @@ class Stripper:
                 out.append("$$ " + t + " $$")
             elif kind == "quote":
                 out.append("> " + t)
-            elif t.strip() and (k or kind != "text"):
-                out.append(t)
+            elif t.strip():
+                if k or kind != "text" or _SENTENCE.match(t.strip()):
+                    out.append(t)
+                else:
+                    self.left_out += len(t)
         return "\n".join(out).strip("\n")
 
 
@@ -467,32 +557,33 @@ def syntaxes(text: str | None) -> list[str]:
     return sorted(Stripper(text).found) if text and not text.isspace() else []
 
 
-def used_markup(rows: DataFrame, row_id: str = "id", text: str = "body") -> DataFrame:
-    """row_id, markup: one row for each syntax a text uses."""
-    schema = pa.schema([("id", pa.int64()), ("markup", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(i, m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in syntaxes(t)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-
-    return spread(rows.where(F.col(text).isNotNull()).select(F.col(row_id).cast("bigint"), F.col(text))).mapInArrow(run, "id bigint, markup string")
+KINDS = ("heading", "list", "code", "table", "formula")
+CLEANED = "id bigint, markup array<string>, clean string, " + ", ".join(f"n_{k} int" for k in KINDS) + ", left_out bigint"
 
 
 def clean_text(rows: DataFrame, row_id: str = "id", text: str = "body") -> DataFrame:
-    """row_id, clean, n_headings, n_items, n_code, n_rows, n_formulas of every row; nulls give an empty text."""
-    kinds = ("heading", "list", "code", "table", "formula")
-    schema = pa.schema([("id", pa.int64()), ("clean", pa.string()), *((f"n_{k}", pa.int32()) for k in kinds)])
+    """CLEANED of every row: the syntaxes its text uses, the text without them, its structure counted, and the characters of prose left out; nulls give an empty text."""
+    schema = pa.schema([("id", pa.int64()), ("markup", pa.list_(pa.string())), ("clean", pa.string()), *((f"n_{k}", pa.int32()) for k in KINDS), ("left_out", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cleaned, counts = [], [[] for _ in kinds]
-            for t in batch.column(1).to_pylist():
-                s = Stripper(t) if t and not t.isspace() else None
-                cleaned.append(s.text() if s else "")
-                for c, k in zip(counts, kinds):
-                    c.append(sum(b[0] == k for b in s.blocks) if s else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cleaned, pa.string()), *(pa.array(c, pa.int32()) for c in counts)], schema=schema)
-
-    return spread(rows.select(F.col(row_id).cast("bigint"), F.col(text))).mapInArrow(run, "id bigint, clean string, n_heading int, n_list int, n_code int, n_table int, n_formula int")
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                found, cleaned, counts, lost = [], [], [[] for _ in KINDS], []
+                for t in batch.column(1).to_pylist():
+                    s = Stripper(t) if t and not t.isspace() else None
+                    cleaned.append(s.text() if s else "")
+                    found.append(sorted(s.found) if s else [])
+                    lost.append(s.left_out if s else 0)
+                    kinds = [b[0] for b in s.blocks] if s else []
+                    for c, k in zip(counts, KINDS):
+                        c.append(kinds.count(k))
+                columns = [batch.column(0), found, cleaned, *counts, lost]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(columns, schema.types)], schema=schema)
+
+    return spread(rows.select(F.col(row_id).cast("bigint"), F.col(text))).mapInArrow(run, CLEANED)
+
+
+def used_markup(rows: DataFrame, row_id: str = "id", text: str = "body") -> DataFrame:
+    """id, markup: one row for each syntax that had to be taken out of a text."""
+    return clean_text(rows.where(F.col(text).isNotNull()), row_id, text).select("id", F.explode("markup").alias("markup"))
