@@ -86,7 +86,11 @@ def test_over_tables(spark, rows, monkeypatch):
     expect = [(1, 3), (4, 3), (4, 3), (4, 5)]
     assert rows(leakage.leaks(docs, items)) == expect
     monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 4)
-    assert rows(leakage.leaks(docs, items)) == expect
+    one_pass = leakage.leaks(docs, items)
+    assert rows(one_pass) == expect and one_pass._jdf.queryExecution().toString().count("Physical Plan") == 1 and "Union" not in one_pass._jdf.queryExecution().toString()
+    monkeypatch.setattr(leakage, "ITEM_BYTES", 3000)
+    several = leakage.leaks(docs, items)
+    assert rows(several) == expect and "Union" in several._jdf.queryExecution().toString()
     assert rows(leakage.leaks(docs.limit(0), items)) == [] == rows(leakage.leaks(docs, items.limit(0)))
     report = rows(leakage.leak_report(leakage.leaks(docs, items), items))
     assert ("s", 3, 3) in report and len(report) == len(ITEMS) and ("s", 98, 0) in report

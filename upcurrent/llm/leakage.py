@@ -1,6 +1,7 @@
 """Evaluation texts that leaked into training text: size-partitioned MinHash containment search, then exact shingles.
 
-The short side are the evaluation items, a stated query set that is taken in blocks of ITEMS_PER_BLOCK. Each item is cut
+The short side are the evaluation items, a stated query set that is taken in blocks of ITEMS_PER_BLOCK; all blocks of up to
+ITEM_BYTES of item text go through a task together, so that the corpus is read and cut into words once for them. Each item is cut
 into overlapping pieces of PIECE words; each piece is a set of shingles. Documents are cut into overlapping windows that
 are long enough to hold any passage of the required length whole, and a window's set is cut down to the shingles any item
 has: the rest cannot be contained. Windows are put into partitions by the size of that set, as in LSH Ensemble: a partition's
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html import unescape
 
 import numpy as np
@@ -42,6 +44,8 @@ MISS = 1e-6
 #: Upper sizes of the partitions of windows, in shingles known to items.
 SIZES = (9, 12, 16, 22, 32, WINDOW)
 ITEMS_PER_BLOCK = 500
+#: Text of the items that is searched for in one pass over the corpus; the index takes some thirty times as much memory in a task.
+ITEM_BYTES = 16 << 20
 
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>", re.S)
 _LINK = re.compile(r"\]\([^()\s]*\)|\{\{|\}\}")
@@ -112,41 +116,40 @@ def longest(least: int = LEAST, slack: int = SLACK) -> int:
     return 2 * (least + least // (slack - 1)) - 1
 
 
-def _near(shingles: list[tuple[int, int]], p: int, span: int, most: int, kept: int) -> bool:
-    """Whether kept places from the p-th shingle (place, shift) on, within span, have shingles that are shifted alike up to most."""
-    i, d = shingles[p]
-    places = set()
-    for k in range(p, len(shingles)):
-        i2, d2 = shingles[k]
-        if i2 - i >= span:
-            return False
-        if abs(d2 - d) <= most:
-            places.add(i2)
-            if len(places) >= kept:
-                return True
-    return False
+def dense(doc: list[int], item: dict[int, list[int]], least: int, slack: int) -> list[tuple[int, int]]:
+    """The parts of doc that hold all passages: from known word to known word, so many that the unknown ones between are few enough.
+
+    A chain's words are known, and each unknown word between them is an error, so its own stretch is among those that are joined here.
+    """
+    known = np.array([w in item for w in doc], bool)
+    # A known word weighs 1, an unknown one as much as it takes away: a part's weight is not negative. This tells most documents that have none.
+    weight = np.concatenate([[0], np.cumsum(np.where(known, 1, 1 - slack))])
+    if len(doc) < least or (weight[least:] < np.minimum.accumulate(weight[:-least])).all():
+        return []
+    at = np.flatnonzero(known)
+    parts: list[tuple[int, int]] = []
+    for n in range(least, longest(least, slack) + 1):
+        if n > len(at):
+            break
+        first, last = at[: len(at) - n + 1], at[n - 1 :]
+        good = (last - first + 1 - n) * (slack - 1) <= n
+        parts += zip(first[good].tolist(), (last[good] + 1).tolist())
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def chained(doc: list[int], item: dict[int, list[int]], least: int, slack: int) -> bool:
     """Whether doc holds the passage. item: word -> its places in the item; words unknown to it are absent."""
-    span = longest(least, slack)
-    most = span // slack
-    ends: dict[int, int] = {}
-    shingles: list[tuple[int, int]] = []
-    for i, w in enumerate(doc):
-        ends = {j: ends.get(j - 1, 0) + 1 for j in item.get(w, ())}
-        for j, n in ends.items():
-            if n >= least:
-                return True
-            if n >= SHINGLE:
-                shingles.append((i, i - j))
-    # Only where enough shingles stand near one another, shifted by no more than the errors, a chain is worth looking for.
-    kept = min(t - SHINGLE + 1 - SHINGLE * (t // slack) for t in range(least, span + 1))
-    if kept > 0:
-        first = [i for p, (i, _) in enumerate(shingles) if _near(shingles, p, span, most, kept)]
-        if not first:
-            return False
-        doc = doc[max(0, first[0] - span) : first[-1] + span]
+    return any(_chain(doc[a:b], item, least, slack) for a, b in dense(doc, item, least, slack))
+
+
+def _chain(doc: list[int], item: dict[int, list[int]], least: int, slack: int) -> bool:
+    most = longest(least, slack) // slack
     # For each pair of equal words, the most words of a chain that ends there with 0, 1, ... errors. More of them than most are never needed.
     needed = [max(least, e * (slack - 1)) for e in range(most + 1)]
     before: list[dict[int, list[int]]] = [{} for _ in range(most + 1)]  # the latest words' pairs, the last word's first
@@ -193,20 +196,34 @@ class ItemIndex:
         #: Items that repeat shingles within a piece: the sets hold fewer than the words do, so their windows are counted without proposal.
         self.repeating = sorted({k for p, k in zip(pieces, owner) if len(np.unique(p)) < len(p)})
         self.universe = np.unique(np.concatenate(pieces)) if pieces else np.empty(0, np.int64)
-        self.contains = np.zeros((len(self.universe), len(texts)), bool)
-        for p, k in zip(pieces, owner):
-            self.contains[np.searchsorted(self.universe, p), k] = True
+        #: The items that hold each shingle of the universe.
+        held: list[set[int]] = [set() for _ in self.universe]
         rng = np.random.default_rng(20)
         n = max(rows_needed(s) for s in SIZES)
-        self.hashes = rng.integers(0, 2**32, (len(self.universe), n), np.uint64).astype(np.uint32)
-        signatures = np.array([self.hashes[np.searchsorted(self.universe, p)].min(0) for p in pieces]) if pieces else np.empty((0, n), np.uint32)
-        # One table for all rows: sorted distinct (row, value), and behind each the items that have it.
+        self.mixed = rng.integers(0, 2**63, len(self.universe), np.uint64)
+        self.factors = rng.integers(0, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
         self.row = np.arange(n, dtype=np.uint64) << np.uint64(32)
-        keys = (self.row + signatures).ravel()
-        order = np.argsort(keys, kind="stable")
-        self.keys, starts = np.unique(keys[order], return_index=True)
-        self.starts = np.append(starts, len(keys))
-        self.owners = np.repeat(np.array(owner, np.int64), n)[order] if pieces else np.empty(0, np.int64)
+        # One table for all rows: sorted distinct (row, value), and behind each the items that have it. Neighbouring pieces of an item mostly share theirs.
+        mine: dict[int, list[np.ndarray]] = {}
+        for p, k in zip(pieces, owner):
+            known = np.searchsorted(self.universe, p)
+            for u in known.tolist():
+                held[u].add(k)
+            if len(p):
+                mine.setdefault(k, []).append(self.row + self.signature(known, n))
+        keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for k, some in mine.items():
+            keys.append(np.unique(np.concatenate(some)))
+            owners.append(np.full(len(keys[-1]), k))
+        every, own = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(every, kind="stable")
+        self.keys, starts = np.unique(every[order], return_index=True)
+        self.starts, self.owners = np.append(starts, len(every)), own[order]
+        self.held = [np.array(sorted(x), np.int64) for x in held]
+
+    def signature(self, known: np.ndarray, rows: int) -> np.ndarray:
+        """The least hash of the shingles in each row."""
+        return ((self.mixed[known][:, None] * self.factors[:rows]) >> np.uint64(32)).min(0)
 
     def shingles(self, coded: np.ndarray) -> np.ndarray:
         """Codes of the shingles; those with a word no item has are left out."""
@@ -222,10 +239,14 @@ class ItemIndex:
 
     def find(self, text: str | None) -> list[int]:
         """Ids of the items that leaked into text."""
-        if not text or not self.ids:
+        return self.find_in(plain(text).split()) if text else []
+
+    def find_in(self, tokens: list[str]) -> list[int]:
+        """Ids of the items that leaked into the text of these tokens between blanks."""
+        if not self.ids:
             return []
         codes = self.codes
-        coded = [c for x in plain(text).split() if (c := codes[x]) >= 0]
+        coded = [c for x in tokens if (c := codes[x]) >= 0]
         n = len(coded) - SHINGLE + 1
         if n < least_overlap():
             return []
@@ -239,16 +260,16 @@ class ItemIndex:
         total = np.concatenate([[0], np.cumsum(hit)])
         regions: dict[int, list[tuple[int, int]]] = {}
         around = longest(self.least, self.slack)
-        for s in range(0, max(1, n - (WINDOW - SHINGLE + 1) + STRIDE), STRIDE):
-            e = min(n, s + WINDOW - SHINGLE + 1)
-            if total[e] - total[s] < least_overlap():
-                continue
+        starts = np.arange(0, max(1, n - (WINDOW - SHINGLE + 1) + STRIDE), STRIDE)
+        stops = np.minimum(n, starts + WINDOW - SHINGLE + 1)
+        kept = least_overlap()
+        full = total[stops] - total[starts] >= kept
+        for s, e in zip(starts[full].tolist(), stops[full].tolist()):
             known = np.unique(at[s:e][hit[s:e]])
             found = set(self.repeating)
-            if len(known) >= least_overlap():
+            if len(known) >= kept:
                 rows = ROWS[len(known)]
-                signature = self.hashes[known, :rows].min(0)
-                key = self.row[:rows] + signature
+                key = self.row[:rows] + self.signature(known, rows)
                 p = np.searchsorted(self.keys, key)
                 p = p[self.keys[np.minimum(p, len(self.keys) - 1)] == key]
                 for q in p.tolist():
@@ -256,9 +277,8 @@ class ItemIndex:
             if not found:
                 continue
             # Exact shingle containment of what the rows proposed.
-            found = np.array(sorted(found), np.int64)
-            overlap = self.contains[at[s:e][hit[s:e]]][:, found].sum(0)
-            for k in found[overlap >= least_overlap()].tolist():
+            overlap = np.bincount(np.concatenate([self.held[u] for u in at[s:e][hit[s:e]].tolist()]), minlength=len(self.ids))
+            for k in [k for k in found if overlap[k] >= kept]:
                 spans = regions.setdefault(k, [])
                 low, high = max(0, s - around), s + WINDOW + around
                 if spans and low <= spans[-1][1]:
@@ -271,25 +291,34 @@ class ItemIndex:
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, slack: int = SLACK) -> DataFrame:
     """doc_id, item_id: one row for each document and item that leaked into it."""
     rows = items.select(F.col(item_id).cast("bigint"), F.col(item_text)).where(F.col(item_text).isNotNull())
-    block, out = [], None
     docs = spread(documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint"), F.col(text)))
+    passes: list[list[ItemIndex]] = [[]]
+    block, size = [], 0
     for r in rows.toLocalIterator():
         block.append(tuple(r))
+        size += len(r[1])
         if len(block) == ITEMS_PER_BLOCK:
-            found = _search(docs, ItemIndex(block, least, slack))
-            out, block = found if out is None else out.union(found), []
-    if block or out is None:
-        found = _search(docs, ItemIndex(block, least, slack))
-        out = found if out is None else out.union(found)
-    return out
+            passes[-1].append(ItemIndex(block, least, slack))
+            block = []
+            if size >= ITEM_BYTES:
+                passes.append([])
+                size = 0
+    if block:
+        passes[-1].append(ItemIndex(block, least, slack))
+    return reduce(DataFrame.union, (_search(docs, blocks) for blocks in passes if blocks or len(passes) == 1))
 
 
-def _search(docs: DataFrame, index: ItemIndex) -> DataFrame:
+def _search(docs: DataFrame, blocks: list[ItemIndex]) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = shared.value
         for batch in batches:
-            found = [(i, k) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k in index.find(t)]
+            found = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = plain(t).split()
+                found += [(i, k) for index in indexes for k in index.find_in(tokens)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
 
