@@ -50,3 +50,13 @@ def test_over_a_table(spark, rows, exact, monkeypatch):
     df = spark.createDataFrame(data, "doc_id bigint, text string").selectExpr("*", "'x' AS ids")
     assert rows(tokens.encode(df, VOCABULARY)) == sorted(((i, exact.encode_ordinary(t) if t else []) for i, t in data), key=lambda r: (str(r[0]), str(r[1])))
     assert tokens.encode(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_pair_memory_is_bounded(exact, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_PAIRS", 50)
+    rng, small = random.Random(2), tokens.SpeculativeBpe(tokens.load_ranks(VOCABULARY))
+    for _ in range(20):
+        texts = ["".join(rng.choice("abcdefgh xyz") for _ in range(60)) for _ in range(5)]
+        before = len(small.pairs)
+        assert small.encode_batch(texts) == [exact.encode_ordinary(t) for t in texts]
+        assert (small.pairs[:-1] < small.pairs[1:]).all() and (before <= 50 or len(small.pairs) < before + 300)

@@ -27,6 +27,8 @@ from ..sources.tables import spread
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their ids in one task; the memory is emptied beyond that.
 CACHED_WORDS = 300_000
+#: Verdicts on pairs kept likewise.
+CACHED_PAIRS = 1_000_000
 #: Longer words are encoded, but not kept.
 CACHED_LENGTH = 64
 
@@ -88,6 +90,8 @@ class SpeculativeBpe:
 
     def compatible(self, pairs: np.ndarray) -> np.ndarray:
         """For codes first * size + second: whether the two tokens stay apart when merged together."""
+        if len(self.pairs) > CACHED_PAIRS:
+            self.pairs, self.fits = np.empty(0, np.int64), np.empty(0, bool)
         distinct, back = np.unique(pairs, return_inverse=True)
         at = np.searchsorted(self.pairs, distinct)
         known = at < len(self.pairs)
@@ -96,9 +100,8 @@ class SpeculativeBpe:
             new = distinct[~known]
             a, b = (new // self.size).tolist(), (new % self.size).tolist()
             verdict = np.fromiter((self.merge(self.token[x] + self.token[y]) == [x, y] for x, y in zip(a, b)), bool, len(new))
-            every, fits = np.concatenate([self.pairs, new]), np.concatenate([self.fits, verdict])
-            order = np.argsort(every, kind="stable")
-            self.pairs, self.fits = every[order], fits[order]
+            place = at[~known]  # both arrays are in order, so the new ones are put in between
+            self.pairs, self.fits = np.insert(self.pairs, place, new), np.insert(self.fits, place, verdict)
             at = np.searchsorted(self.pairs, distinct)
         return self.fits[at][back]
 
