@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ class Codes(dict):
 
     def __missing__(self, token: str) -> int:
         w = _NUMBER.sub("0", token.casefold()).encode("utf-8", "surrogatepass")
-        code = crc32(w) << 32 | crc32(w, 0x5BD1E995)
+        code = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
         if len(token) <= 64:
             if len(self) >= self.LIMIT:
                 self.clear()
