@@ -266,9 +266,16 @@ def _blocks(field: str, kind: str, counts: list[np.ndarray]) -> Iterator[tuple[s
                 yield field, kind, k, b // BLOCK, zlib.compress(part.astype(np.int64).tobytes(), 1)
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["data"])
-    return pdf.iloc[:1].assign(data=[zlib.compress(total.tobytes(), 1)])
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks of one partition, read one by one: what is kept is one table block for each key, however many tasks sent theirs."""
+    total: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        *key, data = (batch.column(k) for k in range(5))
+        for at, x in zip(zip(*(c.to_pylist() for c in key)), data):
+            part = np.frombuffer(zlib.decompress(x.as_buffer()), np.int64)
+            total[at] = total[at] + part if at in total else part
+    if total:
+        yield _batch([*zip(*total), [zlib.compress(x.tobytes(), 1) for x in total.values()]], _schema(_BLOCKS))
 
 
 def measure(rows: DataFrame, row_id: str, source: str, fields: tuple[str, ...], root: str, extra: int = 0) -> DataFrame:
@@ -359,8 +366,9 @@ def fit(measured: DataFrame, fields: tuple[str, ...] = FIELDS, extra: int = 0, l
                 if len(own):
                     mark = own["mark"].to_numpy(bool)
                     for k, cell in enumerate(end_cells(own["tail"].tolist(), extra)):
-                        np.add.at(counts[f, "ends"][k], cell, 1)
-                        np.add.at(counts[f, "marked"][k], cell[mark], 1)
+                        for kind, found in (("ends", cell), ("marked", cell[mark])):
+                            at, n = np.unique(found, return_counts=True)
+                            counts[f, kind][k][at] += n
         out = [b for (f, kind), c in counts.items() for b in _blocks(f, kind, c)]
         if out:
             yield _batch(zip(*out), _schema(_BLOCKS))
@@ -376,7 +384,7 @@ def fit(measured: DataFrame, fields: tuple[str, ...] = FIELDS, extra: int = 0, l
     distinct = values.mapInArrow(at_no_limit, "field string, key bigint, tail string, mark boolean").groupBy("field", "key", "tail").agg(F.min("mark").alias("mark"))
     parts = measured.where("kind = 'inside'").select("field", "kind", "tab", "block", "data").unionByName(distinct.select("field", "tail", "mark").mapInArrow(ends, _BLOCKS))
     got: dict = {f: {k: tables(extra) for k in ("inside", "ends", "marked")} for f in fields}
-    for r in parts.groupBy("field", "kind", "tab", "block").applyInPandas(_summed, _BLOCKS).toLocalIterator():  # a fixed number of blocks
+    for r in parts.repartition("field", "kind", "tab", "block").mapInArrow(_summed, _BLOCKS).toLocalIterator(prefetchPartitions=True):  # a fixed number of blocks
         data = np.frombuffer(zlib.decompress(bytes(r["data"])), np.int64)
         got[r["field"]][r["kind"]][r["tab"]][r["block"] * BLOCK : r["block"] * BLOCK + len(data)] = data
     of = measured.where("kind = 'value'").groupBy("field", "language").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).collect()  # one row a language
