@@ -386,7 +386,7 @@ def test_eager_counts_and_heavy_keys(spark, rows):
     change = spark.createDataFrame(change, "change_id bigint, pr_id bigint, ecosystem string, package string").withColumn("n", F.lit("clash"))
     out = skew.package_counts(change, pr)
     assert rows(out) == [("go", "m", 1, 1, 1), ("npm", "pkg", 62, 60, 2), (None, "x", 1, 1, 1)]
-    assert [r.package for r in skew.heavy_keys(out, 0.5).collect()] == ["pkg"]
+    assert [r.package for r in skew.heavy_keys(out, change, 0.5).collect()] == ["pkg"]
     assert skew.package_counts(change.limit(0), pr).count() == 0
     assert rows(skew.package_counts(change, pr.limit(0)).where("package = 'pkg'")) == [("npm", "pkg", 62, 0, 0)]
 

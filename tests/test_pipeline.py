@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from upcurrent import model
 from upcurrent.functions import classifiers, comments, paths, versions
 from upcurrent.operators import alignment as al, diagnose as dg, discovery, enrich, gold, labels as lb, stats, store
 from upcurrent.plans import pipeline_queries, reports
-from upcurrent.sources import jsonl
+from upcurrent.sources import diffs, jsonl
 from upcurrent.streaming.first_event import append_new, first_events_stream
 
 
@@ -229,7 +230,7 @@ def test_enrichment(spark, rows):
     def call(batch):
         if any(r["id"] == 60 for r in batch):
             raise OSError("down")
-        return [(None, "NOT_FOUND") if r["id"] == 3 else (json.dumps(PAYLOAD), None) for r in batch]
+        return [(None, "NOT_FOUND") if r["id"] == 3 else (json.dumps(PAYLOAD), None) for r in batch], None
 
     got = {r.id: r for r in enrich.fetch(spark.range(70).coalesce(1), call, ["id"], pause=0).collect()}
     assert got[1].status == "done" and (got[3].status, got[3].error) == ("failed", "NOT_FOUND") and got[60].status == "pending" and len(got) == 70 and not calls
@@ -238,6 +239,80 @@ def test_enrichment(spark, rows):
     assert enrich.filter_reason_of("NOT_FOUND") == "graphql_not_found"
 
 
+def page(paths, cursor=None):
+    return {"nodes": [{"path": p} for p in paths], "pageInfo": {"hasNextPage": cursor is not None, "endCursor": cursor}}
+
+
+def test_fetch_adds_pages_and_stops_at_the_rate(spark):
+    def call(batch):
+        return [(json.dumps(PAYLOAD | {"files": page(["go.mod"], "c1")}), None) for _ in batch], None
+
+    def more(row, cursor):
+        if row["id"] == 1:
+            raise OSError("down")
+        if row["id"] == 2:
+            return [(None, "BAD_CURSOR")], None
+        if row["id"] == 3:
+            return [(json.dumps({"files": page(["x"] * 300, "again")}), None)], None
+        return [(json.dumps({"files": page(["go.sum"], "c2") if cursor == "c1" else page(["a/go.mod"])}), None)], None
+
+    got = {r.id: r for r in enrich.fetch(spark.range(4).coalesce(1), call, ["id"], pause=0, more=more).collect()}
+    assert [n["path"] for n in json.loads(got[0].payload)["files"]["nodes"]] == ["go.mod", "go.sum", "a/go.mod"]
+    assert (got[1].status, got[1].error) == ("pending", "OSError") and (got[2].status, got[2].error) == ("pending", "BAD_CURSOR")
+    capped = json.loads(got[3].payload)["files"]
+    assert len(capped["nodes"]) == enrich.MAX_FILES and capped["pageInfo"] == {"hasNextPage": True, "capExceeded": True}
+
+    def limited(batch):
+        return [("{}", None)] * len(batch), 120 - 30 * (batch[0]["id"] // 25)
+
+    got = [r.status for r in enrich.fetch(spark.range(100).coalesce(1), limited, ["id"], pause=0).orderBy("id").collect()]
+    assert got == ["done"] * 50 + ["pending"] * 50  # the second answer leaves 90 calls
+
+
+def test_runs_leave_state_and_errors(spark, rows):
+    pr = model.reconcile(spark.createDataFrame([(i, "o", "r", i, None) for i in range(1, 5)], "id bigint, repo_owner string, repo_name string, pr_number bigint, enriched_at string"), "pr")
+    answers = spark.createDataFrame([(1, "o", "r", 1, json.dumps(PAYLOAD), None, "done"), (2, "o", "r", 2, None, "NOT_FOUND", "failed"), (3, "o", "r", 3, None, "OSError", "pending"), (4, "o", "r", 4, None, None, "pending")], "id bigint, repo_owner string, repo_name string, pr_number bigint, payload string, error string, status string")
+    after, errors = enrich.enrich_run(pr, model.empty(spark, "pipeline_error"), answers, "now", ["go"])
+    assert rows(after.select("id", "title", "manifest_filter_reason", "enriched_at")) == [(1, "x", "passed", "now"), (2, None, "graphql_not_found", "now"), (3, None, None, None), (4, None, None, None)]
+    assert rows(errors.select("stage", "pr_number", "error_type")) == [("enrich", 2, "NOT_FOUND"), ("enrich", 3, "network_or_http")]
+    change = spark.createDataFrame([], "change_id bigint, pr_id bigint, ecosystem string, package string, from_version string, to_version string, manifest_path string, is_lockfile boolean, group_size int")
+    parsed = diffs.diff_changes(spark.createDataFrame([(1, "--- a/go.mod\n+++ b/go.mod\n@@ -1 +1 @@\n-require a v1\n+require a v2\n"), (2, "@@ -1 +1 @@\n-a\n+b\n"), (3, "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n")], "pr_id bigint, diff string"))
+    earlier = spark.createDataFrame([("parse", "o", "r", 1, "x"), ("enrich", "o", "r", 1, "x")], "stage string, repo_owner string, repo_name string, pr_number bigint, error_type string")
+    p, c, e = enrich.parse_run(pr, change, earlier, parsed, "now")
+    assert rows(p.where("parse_attempted_at = 'now'").select("id")) == [(1,), (2,)]
+    assert rows(c.select("pr_id", "package", "to_version", "group_size")) == [(1, "a", "v2", 1)]
+    assert rows(e.select("stage", "pr_number", "error_type")) == [("enrich", 1, "x"), ("parse", 2, "ValueError")]
+
+
+def test_loop_stops_when_targets_are_met():
+    asked, said = [], []
+
+    def met():
+        asked.append(1)
+        return len(asked) == 3
+
+    assert enrich.until_met(iter([1000] * 20), lambda b: b, met, said=said.append) == 5000 and len(asked) == 3 and said == [1000, 2000, 3000, 4000, 5000]
+    assert enrich.until_met(iter([5] * 3), lambda b: b, lambda: False) == 15
+
+
+def test_percentages():
+    data = [{"d": "x", "n": 1}, {"d": "x", "n": 2}, {"d": "y", "n": 0}]
+    assert [r["n_percentage"] for r in reports.percentages(data, "n", ["d"])] == [33.3, 66.7, 0.0]
+
+
+def test_version_keys_follow_the_specification(spark):
+    packaging = pytest.importorskip("packaging.version")
+    good = ["1.0.dev1", "1.0a1", "1.0a2", "1.0b1", "1.0rc1", "1.0", "1.0.0", "1.0+abc", "1.0+abc.2", "1.0+5", "1.0.post1", "1.0-2", "1.0.post3.dev1", "1.0a1.dev2", "1.0a1.post1", "1.1.dev0", "v1.10", "1.9", "1!0.1", "2.0-preview_3", "1.0.0.1", "0"]
+    rng = random.Random(3)
+    rng.shuffle(good)
+    df = spark.createDataFrame([(v,) for v in good], "v string").orderBy(versions.version_key("v"), "v")
+    want = sorted(good, key=lambda v: (packaging.Version(v), v))
+    assert [r.v for r in df.collect()] == want
+    other = ["release-2", "release-10", "release-1b", "abc", "2024_01x", "==1.0", None]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in other], "v string").orderBy(versions.version_key("v")).collect()]
+    assert got == [None, "==1.0", "2024_01x", "abc", "release-1b", "release-2", "release-10"]
+
+
 def gold_row(**change):
     row = {
         "pr_id": 1, "pr_url": "u", "repo": "o/r", "pr_number": 1, "change_ids": [1, 2], "ecosystem_summary": ["npm"], "group_size": 2, "pr_labels": {"source": "human", "outcome": "open", "security": "security"},
@@ -259,7 +334,7 @@ def test_gold_set(spark, tmp_path):
     jsonl.append_jsonl(ok, str(tmp_path / "out"))
     jsonl.append_jsonl(ok, str(tmp_path / "out"))
     assert jsonl.read_jsonl(spark, str(tmp_path / "out")).count() == 2
-    with pytest.raises(ValueError, match="repo must"):
+    with pytest.raises(ValueError, match="repo:no_owner"):
         jsonl.append_jsonl(ok.withColumn("repo", F.lit("x")), str(tmp_path / "out"))
     made = gold.make_rows(ok.drop("unlabelled_change_ids", "change_label_scope", "labelled_at")).collect()[0]
     assert made.unlabelled_change_ids == [2] and made.change_label_scope == "all_changes"

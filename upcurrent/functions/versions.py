@@ -67,9 +67,37 @@ def semver_tier(old: Column | str, new: Column | str) -> Column:
     return F.when(col(old).isNull() | col(new).isNull(), "unknown").otherwise(let(let(pair, parts), tier))
 
 
+#: The same grammar with a group for each part.
+PEP_PARTS = (
+    r"^v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)"
+    r"(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?([0-9]*))?"
+    r"(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]*))?"
+    r"(?:[-_.]?(dev)[-_.]?([0-9]*))?"
+    r"(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?$"
+)
+_NUMBER = "decimal(38,0)"
+
+
 def version_key(c: Column | str) -> Column:
-    """A sort key: release numbers first, then the alternating numbers and words of what cannot be read as a version."""
-    v = F.lower(strip(c))
-    pieces = F.regexp_extract_all(v, F.lit(r"(\d+|[a-z]+)"), 1)
-    rank = lambda x: F.struct(F.when(x.rlike(r"^\d"), 1).otherwise(0).alias("numeric"), F.coalesce(x.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("number"), F.when(x.rlike(r"^\d"), "").otherwise(x).alias("word"))
-    return F.transform(pieces, rank)
+    """A sort key. Versions of PEP 440 come first, in its order; others by their alternating numbers and texts, then as they are.
+
+    Numbers of more than 38 digits count as null, which sorts first.
+    """
+    number = lambda x: F.when(x != "", x.try_cast(_NUMBER)).otherwise(F.lit(0).cast(_NUMBER))
+    none = lambda n: F.lit(n).cast(_NUMBER)
+    piece = lambda first, x: F.struct(F.when(x.rlike("^[0-9]+$"), first).otherwise(1 - first).alias("kind"), F.when(x.rlike("^[0-9]+$"), x.try_cast(_NUMBER)).alias("number"), F.when(~x.rlike("^[0-9]+$"), x).alias("text"))
+
+    def pep(v: Column) -> Column:
+        g = lambda i: F.regexp_extract(v, PEP_PARTS, i)
+        pre, is_dev = g(3), g(8) != ""
+        post = F.when(g(5) != "", number(g(5))).when(g(6) != "", number(g(7))).otherwise(none(-1))
+        rank = F.when(pre.isin("a", "alpha"), 1).when(pre.isin("b", "beta"), 2).when(pre != "", 3).when((g(5) == "") & (g(6) == "") & is_dev, 0).otherwise(4)
+        local = F.transform(F.filter(F.split(g(10), "[-_.]"), lambda x: x != ""), lambda x: piece(1, x))
+        release = F.transform(F.split(F.regexp_replace(g(2), r"(\.0+)+$", ""), r"\."), number)
+        return F.struct(none(0).alias("other"), number(g(1)).alias("epoch"), release.alias("release"), rank.alias("pre"), number(g(4)).alias("pre_no"), post.alias("post"), F.when(is_dev, number(g(9))).otherwise(none(str(10**37))).alias("dev"), local.alias("local"), F.lit("").alias("text"))
+
+    def other(v: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(v, F.lit("([0-9]+|[^0-9]+)"), 1), lambda x: piece(0, x))
+        return F.struct(none(1).alias("other"), none(0).alias("epoch"), F.array().cast(f"array<{_NUMBER}>").alias("release"), F.lit(0).alias("pre"), none(0).alias("pre_no"), none(0).alias("post"), none(0).alias("dev"), parts.alias("local"), v.alias("text"))
+
+    return let(F.lower(normalise_version(c)), lambda v: F.when(v.rlike(PEP_PARTS), pep(v)).when(v.isNotNull(), other(v)))

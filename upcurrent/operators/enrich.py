@@ -6,6 +6,8 @@ payload texts; it runs on the executors with retry and a budget per task.
 
 from __future__ import annotations
 
+import json
+import os
 import time
 from collections.abc import Callable, Iterator
 
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
 from ..functions.text import col
+from .discovery import KEY
+from .store import append_errors, delete_parse_errors, mark, update_enrichment
 
 MAX_FILES, PAGE_FILES, BATCH, COMMENTS = 500, 100, 25, 15
 _PAGE = "pageInfo:struct<hasNextPage:boolean,endCursor:string,capExceeded:boolean>"
@@ -90,42 +94,141 @@ class Budget:
         return (self.calls is not None and self.calls < self.keep) or (self.seconds is not None and time.monotonic() - self.began >= self.seconds)
 
 
+#: What an answer's error of this kind leaves as the filter's reason.
+REASONS = {"NOT_FOUND": "graphql_not_found"}
+OTHER_REASON = "graphql_error"
+
+
 def filter_reason_of(error: str) -> str:
-    return "graphql_not_found" if error == "NOT_FOUND" else "graphql_error"
+    return REASONS.get(error, OTHER_REASON)
+
+
+#: What a call gives for a batch of key rows: for each its payload and the answer's error type, and the calls that remain, where it knows.
+Answer = tuple[list[tuple[str | None, str | None]], int | None]
 
 
-def fetch(rows: DataFrame, call: Callable[[list[dict]], list[tuple[str | None, str | None]]], keys: list[str], seconds: float | None = None, pause: float = 5.0) -> DataFrame:
-    """keys, payload, error, status. call maps at most BATCH key rows to (payload, error type) each.
+def fetch(rows: DataFrame, call: Callable[[list[dict]], Answer], keys: list[str], seconds: float | None = None, pause: float = 5.0, keep: int = 100, more: Callable[[dict, str], Answer] | None = None) -> DataFrame:
+    """keys, payload, error, status. call maps at most BATCH key rows to their answers.
 
-    A call that raises is tried once more after a pause, then its rows stay pending; rows an answer calls wrong are failed and
-    count as attempted; rows after the budget ran out are pending too.
+    A call that raises is tried once more after a pause, then its rows stay pending with the kind of failure; rows an answer calls
+    wrong are failed and count as attempted; rows after the budget ran out, by time or by fewer than keep remaining calls, are pending without an
+    error. more(row, cursor) gives a further page of files of one row: pages are added until there are no more or MAX_FILES are reached, and a row
+    whose page fails stays pending.
     """
     types = dict(rows.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", payload string, error string, status string"
 
+    def twice(f: Callable[[], Answer]) -> Answer:
+        try:
+            return f()
+        except Exception:  # noqa: BLE001 - the network may fail in any way
+            time.sleep(pause)
+            return f()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        budget = Budget(seconds=seconds)
+        budget = Budget(seconds=seconds, keep=keep)
         for pdf in batches:
             for k in range(0, len(pdf), BATCH):
                 part = pdf.iloc[k : k + BATCH].reset_index(drop=True)
-                answers: list = [(None, None)] * len(part)
-                status = "pending"
+                records = part.to_dict("records")
+                out: list[tuple[str | None, str | None, str]] = [(None, None, "pending")] * len(part)
                 if not budget.spent():
-                    for again in (False, True):
-                        try:
-                            answers, status = call(part.to_dict("records")), "done"
-                            break
-                        except Exception as e:  # noqa: BLE001 - the network may fail in any way
-                            answers = [(None, type(e).__name__)] * len(part)
-                            if not again:
-                                time.sleep(pause)
-                payload, error = zip(*answers)
-                state = [status if status == "pending" else "failed" if e else "done" for e in error]
-                yield part.assign(payload=list(payload), error=list(error), status=state)
+                    try:
+                        answers, left = twice(lambda: call(records))
+                        budget.spent(left)
+                        out = [(p, e, "failed" if e else "done") for p, e in answers]
+                        if more:
+                            out = [_all_files(r, *x, more, twice, budget) if x[2] == "done" else x for r, x in zip(records, out)]
+                    except Exception as e:  # noqa: BLE001
+                        out = [(None, type(e).__name__, "pending")] * len(part)
+                payload, error, status = zip(*out)
+                yield part.assign(payload=list(payload), error=list(error), status=list(status))
 
     return rows.select(*keys).mapInPandas(run, schema)
 
 
+def _all_files(row: dict, payload: str | None, error: str | None, status: str, more: Callable[[dict, str], Answer], twice: Callable, budget: Budget) -> tuple[str | None, str | None, str]:
+    """The answer with all pages of its files; pending where a page fails or the budget ends before the last one."""
+    doc = json.loads(payload) if payload else {}
+    files = doc.get("files") or {}
+    info, pages = files.get("pageInfo") or {}, [files.get("nodes") or []]
+    while info.get("hasNextPage") and sum(map(len, pages)) < MAX_FILES:
+        if budget.spent():
+            return None, None, "pending"
+        try:
+            (answer,), left = twice(lambda: more(row, info.get("endCursor")))  # noqa: B023
+        except Exception as e:  # noqa: BLE001
+            return None, type(e).__name__, "pending"
+        budget.spent(left)
+        if answer[1]:
+            return None, answer[1], "pending"
+        page = (json.loads(answer[0]) or {}).get("files") or {}
+        pages.append(page.get("nodes") or [])
+        info = page.get("pageInfo") or {}
+    if len(pages) == 1 and not info.get("hasNextPage"):
+        return payload, error, status
+    nodes, next_page, capped = merge_pages(pages, bool(info.get("hasNextPage")))
+    doc["files"] = {"nodes": nodes, "pageInfo": {"hasNextPage": next_page, "capExceeded": capped}}
+    return json.dumps(doc), error, status
+
+
+def recorded(folder: str, name: Callable[[dict], str]) -> Callable[[list[dict]], Answer]:
+    """A call that answers from recorded payloads, one JSON file a row; a row without one is not found."""
+
+    def call(rows: list[dict]) -> Answer:
+        out: list[tuple[str | None, str | None]] = []
+        for r in rows:
+            path = os.path.join(folder, name(r) + ".json")
+            out.append((open(path, encoding="utf-8").read(), None) if os.path.exists(path) else (None, "NOT_FOUND"))
+        return out, None
+
+    return call
+
+
+def enrich_run(pr: DataFrame, errors: DataFrame, answers: DataFrame, at: str, targets: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pull-request and error tables after a run. answers: what fetch gave for id and the natural key, written down first.
+
+    Done rows get their columns and enriched_at, failed ones the reason and enriched_at, as they were attempted; pending ones stay, those
+    with a failure leave an error each.
+    """
+    done = flatten_payload(answers.where("status = 'done'").select("id", "payload"), targets=targets).withColumn("enriched_at", F.lit(at))
+    failed = answers.where("status = 'failed'").select("id", F.when(F.col("error").isin(*REASONS), F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv))[F.col("error")]).otherwise(OTHER_REASON).alias("manifest_filter_reason"), F.lit(False).alias("passes_manifest_only_filter"), F.lit(at).alias("enriched_at"))
+    after = update_enrichment(update_enrichment(pr, done), failed)
+    wrong = answers.where("error IS NOT NULL").select(F.lit("enrich").alias("stage"), *KEY, F.when(F.col("status") == "failed", F.col("error")).otherwise("network_or_http").alias("error_type"), F.col("error").alias("message"), F.lit(at).alias("created_at"))
+    return after, append_errors(errors, wrong)
+
+
+def parse_run(pr: DataFrame, change: DataFrame, errors: DataFrame, parsed: DataFrame, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of pull requests, changes and errors after parsed, what diffs.diff_changes gave for a run's diffs, with pr_id being id.
+
+    Each pull request counts as attempted. One whose diff failed leaves an error and no change; one that succeeded loses its earlier errors.
+    """
+    bad, good = parsed.where("error IS NOT NULL"), parsed.where("error IS NULL")
+    named = pr.select(F.col("id").alias("pr_id"), *KEY)
+    after = mark(pr, parsed.select(F.col("pr_id").alias("id")), "parse_attempted_at", at)
+    columns = [c for c in change.columns if c in parsed.columns]
+    rest = delete_parse_errors(errors, named.join(good.select("pr_id").distinct(), "pr_id", "left_semi"))
+    new = bad.join(named, "pr_id").select(F.lit("parse").alias("stage"), *KEY, F.substring_index("error", ":", 1).alias("error_type"), F.col("error").alias("message"), F.lit(at).alias("created_at"))
+    return after, change.unionByName(good.select(*columns), allowMissingColumns=True), append_errors(rest, new)
+
+
+def until_met(batches: Iterator[DataFrame], step: Callable[[DataFrame], int], met: Callable[[], bool], every: int = 2000, said: Callable[[int], None] | None = None) -> int:
+    """Runs step on batches of pending rows until met, which is asked after the first batch and then for every so many rows; the rows processed.
+
+    step returns how many rows it processed, said hears of the progress.
+    """
+    n, next_check = 0, 0
+    for batch in batches:
+        n += step(batch)
+        if said:
+            said(n)
+        if n >= next_check:
+            if met():
+                break
+            next_check = n + every
+    return n
+
+
 COMMENTS_PAYLOAD = "comments struct<nodes:array<struct<author:struct<login:string,__typename:string>,body:string,createdAt:string>>>"
 
 

@@ -40,16 +40,6 @@ def missing_labels(change: DataFrame, classification: DataFrame, dimensions: lis
     return change.join(have.where(F.col("n") == len(dimensions)).select("change_id"), "change_id", "left_anti")
 
 
-def with_sibling(change: DataFrame) -> DataFrame:
-    """change with sibling: whether the same pull request changes the package in a manifest too. Null keys have none.
-
-    Done by aggregation and join, not a window, so that a pull request with very many changes stays in no single task's window.
-    """
-    keys = ["pr_id", "ecosystem", "package"]
-    direct = change.where(~F.coalesce(F.col("is_lockfile"), F.lit(False))).select(*keys).distinct().withColumn("sibling", F.lit(True))
-    return change.join(direct, keys, "left").withColumn("sibling", F.coalesce("sibling", F.lit(False)))
-
-
 def ordered_comments(comment: DataFrame) -> DataFrame:
     """pr_id, comments: each pull request's comments in order of time, null times first, then of id.
 
@@ -75,25 +65,36 @@ def supersessions(comment: DataFrame) -> DataFrame:
 def classify(change: DataFrame, pr: DataFrame, comment: DataFrame | None = None, dimensions: list[str] | None = None) -> DataFrame:
     """change_id, pr_id, labels and the superseded reason, a column per dimension. pr: with an array of structs `files`.
 
-    Changes whose pull request is missing get no row, like in an inner join.
+    What depends on the pull request alone is computed once for each, before the join, so that its changes get labels and no texts. Only
+    lockfile rows whose package no manifest row of the same pull request changes are joined with title, body and files: manifest
+    rows are direct as they are, and the others by a semi-join. Null keys have no such manifest row. Changes whose pull request is
+    missing get no row, like in an inner join.
     """
     want = selected_dimensions(dimensions)
     p = pr.select(F.col("id").alias("pr_id"), "actor_login", "author_login", "author_type", "title", "body", "commit_messages_concat", "state", "merged", "files")
-    rows = with_sibling(change).join(p, "pr_id")
     if comment is not None:
-        rows = rows.join(supersessions(comment).select("pr_id", F.col("reason").alias("__reason")), "pr_id", "left")
+        p = p.join(supersessions(comment).select("pr_id", F.col("reason").alias("__reason")), "pr_id", "left")
     else:
-        rows = rows.withColumn("__reason", F.lit(None).cast("string"))
+        p = p.withColumn("__reason", F.lit(None).cast("string"))
     done = classifiers.outcome("state", "merged", "title", "body", "__reason")
-    label = {
-        "source": classifiers.source("actor_login", "author_login", "author_type"),
-        "semver_tier": versions.semver_tier("from_version", "to_version"),
-        "security": classifiers.security("title", "body", "commit_messages_concat"),
-        "direct_transitive": classifiers.direct_transitive("is_lockfile", "sibling", "package", "title", "body", "manifest_path", "files", "ecosystem"),
-        "outcome": done["label"],
-    }
-    reason = [done["reason"].alias("superseded_reason")] if "outcome" in want else []
-    return rows.select("change_id", "pr_id", *(label[d].alias(d) for d in want), *reason)
+    of_pr = {"source": classifiers.source("actor_login", "author_login", "author_type"), "security": classifiers.security("title", "body", "commit_messages_concat"), "outcome": done["label"]}
+    texts = ["title", "body", "files"]
+    p = p.select("pr_id", *(c.alias(d) for d, c in of_pr.items() if d in want), *([done["reason"].alias("superseded_reason")] if "outcome" in want else []), *texts)
+    c = change.select("change_id", "pr_id", "ecosystem", "package", "from_version", "to_version", "manifest_path", F.coalesce("is_lockfile", F.lit(False)).alias("is_lockfile"))
+
+    def labelled(rows: DataFrame, direct) -> DataFrame:
+        own = {"semver_tier": versions.semver_tier("from_version", "to_version"), "direct_transitive": direct}
+        return rows.select("change_id", "pr_id", *((own[d].alias(d) if d in own else F.col(d)) for d in want), *(["superseded_reason"] if "outcome" in want else []))
+
+    if "direct_transitive" not in want:
+        return labelled(c.join(p.drop(*texts), "pr_id"), None)
+    keys = ["pr_id", "ecosystem", "package"]
+    manifest, lock = c.where(~F.col("is_lockfile")), c.where("is_lockfile")
+    siblings = manifest.select(*keys).distinct()
+    plain = manifest.unionByName(lock.join(siblings, keys, "left_semi").select(*c.columns)).join(p.drop(*texts), "pr_id")
+    told = lock.join(siblings, keys, "left_anti").select(*c.columns).join(p, "pr_id")
+    direct = classifiers.direct_transitive("is_lockfile", F.lit(False), "package", "title", "body", "manifest_path", "files", "ecosystem")
+    return labelled(plain, F.lit("direct")).unionByName(labelled(told, direct))
 
 
 def long_labels(wide: DataFrame, dimensions: list[str], version: int = 1) -> DataFrame:
@@ -109,6 +110,19 @@ def label_flips(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, ["change_id", "dimension"]).where("old_label <> new_label").groupBy("dimension", "old_label", "new_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def relabel(change: DataFrame, pr: DataFrame, classification: DataFrame, dimensions: list[str], version: int = 1, comment: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A forced run: the labels that stand after it, and the flips. Labels of these dimensions and version are deleted and computed anew for all changes."""
+    from .store import LABEL_KEY, delete_labels, insert_labels
+
+    want = selected_dimensions(dimensions)
+    columns = [*LABEL_KEY, "label"]
+    stored = stored_labels(classification).select(*columns)
+    old = stored.where((F.col("classifier_version") == version) & F.col("dimension").isin(want))
+    new = long_labels(classify(change, pr, comment, want), want, version).select(*columns)
+    kept = delete_labels(stored, want, version)
+    return kept.unionByName(insert_labels(kept, new)), label_flips(old, new)
+
+
 def label_distribution(long: DataFrame) -> DataFrame:
     return long.groupBy("dimension", "label").agg(F.count(F.lit(1)).alias("n"))
 

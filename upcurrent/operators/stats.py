@@ -88,6 +88,11 @@ def pairwise_v(cell: DataFrame, least: int = LEAST_N) -> DataFrame:
     return v.withColumn("substantive", F.col("v") >= SUBSTANTIVE)
 
 
+def strongest_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """The pairs of levels with the largest v, ties in the order of their names; the order and the limit meet in each task's own top rows."""
+    return pairs.orderBy(F.desc("v"), "a", "b", "dimension", "stratifier", "unit").limit(most).select("dimension", "stratifier", "unit", "a", "b", "v")
+
+
 def excluded_levels(cell: DataFrame, least: int = LEAST_N) -> DataFrame:
     """dimension, stratifier, unit, level, n of the levels too rare for pairs."""
     return cell.groupBy("dimension", "stratifier", "unit", F.col("row").alias("level")).agg(F.sum("n").alias("n")).where(F.col("n") < least)

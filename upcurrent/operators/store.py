@@ -1,6 +1,6 @@
 """Inserts, updates and deletes as functions from tables to tables.
 
-Files are immutable, so every write gives the table's next version; sources.snapshots keeps the versions. Keys that may be null are compared null-safely.
+Files are immutable, so every write gives the table's next version; increments.VersionedTable keeps versions. Keys that may be null are compared null-safely.
 """
 
 from __future__ import annotations

@@ -70,7 +70,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.heavy_keys(p6_counts(spark, d), HEAVY_SHARE).select("ecosystem", "package")
+    return skew.heavy_keys(p6_counts(spark, d), table(spark, d, "pr_change"), HEAVY_SHARE).select("ecosystem", "package")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import classifiers, comments, paths, versions
 from ..functions.text import utc_text
 from ..operators import alignment as al, diagnose as dg, discovery, labels as lb, stats
-from ..operators import enrich, gold, store
+from ..operators import enrich, store
 from ..sources import diffs
 from ..sources.tables import table
 
@@ -58,19 +58,18 @@ def archive_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
-    """Messages delivered with even batch hours as the table, the others as the insert."""
+    """Messages with even ids as the table, the others as the insert."""
     p = pr(spark, d).select("id", *discovery.KEY, "event_created_at")
     old = F.col("id") % 2 == 0
     return discovery.insert_ignore(p.where(old), p.where(~old), discovery.KEY, ["id"]).select("id", *discovery.KEY)
 
 
 def needs_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    return pr(spark, d).where("enriched_at IS NULL").select("id")
+    return store.needs_enrichment(pr(spark, d)).select("id")
 
 
 def needs_parsing(spark: SparkSession, d: str) -> DataFrame:
-    p = pr(spark, d).where("passes_manifest_only_filter AND parse_attempted_at IS NULL AND coalesce(parse_priority, '') <> 'deferred_non_priority'")
-    return p.join(change(spark, d).select(F.col("pr_id").alias("id")), "id", "left_anti").select("id")
+    return store.needs_parsing(pr(spark, d), change(spark, d)).select("id")
 
 
 def wide_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +131,7 @@ def comment_table(spark: SparkSession, d: str) -> DataFrame:
     login = F.when(F.col("source") == "bot_comment", F.when(F.col("doc_id") % 3 == 0, "renovate[bot]").otherwise("dependabot[bot]")).otherwise("reviewer")
     # No text speaks of superseded pull requests, so every fifth comment gets a closing phrase.
     said = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Superseded by #"), F.col("doc_id").cast("string"))).otherwise(F.coalesce("text", F.lit("")))
-    return c.select(F.col("doc_id").alias("id"), F.expr("doc_id div 4").alias("pr_id"), login.alias("author_login"), F.lit(None).cast("string").alias("author_type"), said.alias("body"), utc_text("collected_at").alias("created_at"))
+    return c.select(F.col("doc_id").alias("id"), F.expr("1000 + doc_id div 3").alias("pr_id"), login.alias("author_login"), F.lit(None).cast("string").alias("author_type"), said.alias("body"), utc_text("collected_at").alias("created_at"))
 
 
 def ordered_comments(spark: SparkSession, d: str) -> DataFrame:
@@ -197,26 +196,12 @@ def group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return store.with_group_size(change(spark, d).select("change_id", "pr_id")).select("change_id", F.col("group_size").cast("bigint").alias("n"))
 
 
-def gold_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Rows for the hand-labelled set made of labelled pull requests, every seventh of them broken, with what is wrong."""
-    c = change(spark, d).join(wide(spark, d), "change_id").select("pr_id", "change_id", "package", "from_version", "to_version", "manifest_path", "semver_tier", F.col("direct_transitive").alias("direct_or_transitive"), "ecosystem", "source", "outcome", "security")
-    labels = F.sort_array(F.collect_list(F.struct("change_id", "package", "from_version", "to_version", "manifest_path", "semver_tier", "direct_or_transitive")))
-    g = c.groupBy("pr_id").agg(labels.alias("change_labels"), F.sort_array(F.collect_set("ecosystem")).alias("ecosystem_summary"), F.struct(F.min("source").alias("source"), F.min("outcome").alias("outcome"), F.min("security").alias("security")).alias("pr_labels"))
-    g = g.join(pr(spark, d).select(F.col("id").alias("pr_id"), F.concat_ws("/", "repo_owner", "repo_name").alias("repo"), "pr_number"), "pr_id")
-    bad = F.col("pr_id") % 7 == 0
-    rows = g.select("*", F.transform("change_labels", lambda x: x["change_id"]).alias("change_ids"), F.size("change_labels").cast("bigint").alias("group_size"), F.lit("https://code.example/pr").alias("pr_url"), F.col("pr_labels").alias("heuristic_pr_labels"), F.transform("change_labels", lambda x: F.struct(x["change_id"].alias("change_id"), x["semver_tier"].alias("semver_tier"), x["direct_or_transitive"].alias("direct_or_transitive"))).alias("heuristic_change_labels"), F.when(bad, "someday").otherwise("human_verified").alias("label_status"), F.lit("manual").alias("label_source"), F.lit(True).alias("reviewed_by_human"), F.lit("high").alias("confidence"))
-    return gold.validate(gold.make_rows(rows)).select("pr_id", F.array_join("errors", "; ").alias("errors"))
-
-
 def cells(spark: SparkSession, d: str) -> DataFrame:
     w = wide(spark, d, complete=False)
     return stats.cells(stats.pr_records(change(spark, d), pr(spark, d), w), stats.change_records(change(spark, d), w))
 
 
 TABLE_KEYS = ["dimension", "stratifier", "unit"]
-
-
-
 LEAST_PROJECTS = 3
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -250,7 +235,6 @@ QUERIES: dict[str, Q] = {
     "file_bins": lambda s, d: dg.file_bins(pr(s, d)),
     "next_page_fraction": lambda s, d: dg.next_page_fraction(pr(s, d)),
     "action_counts": lambda s, d: dg.action_counts(pr(s, d)),
-    "stage_counts": lambda s, d: dg.stage_counts(pr(s, d), change(s, d), classification(s, d)),
     "repeated_triples": lambda s, d: dg.repeated_triples(change(s, d), pr(s, d), LEAST_PROJECTS),
     "pr_and_change_weighted": lambda s, d: dg.pr_and_change_weighted(change(s, d), pr(s, d), classification(s, d), VERSION),
     "pr_weighted_by_ecosystem": lambda s, d: dg.pr_weighted_by_ecosystem(change(s, d), pr(s, d), classification(s, d), VERSION),
@@ -262,8 +246,6 @@ QUERIES: dict[str, Q] = {
     "updated_labels": updated_labels,
     "manifest_filter": manifest_filter,
     "group_sizes": group_sizes,
-    "gold_validation": gold_validation,
-    "unmatched_comments": lambda s, d: lb.unmatched_bot_comments(change(s, d), classification(s, d), lb.ordered_comments(comment_table(s, d).withColumn("pr_id", F.col("pr_id") + 1000))).select("bot_family", "n", F.size("samples").alias("n_samples")),
     "contingency": cells,
     "cramers_v": lambda s, d: stats.cramers_v(cells(s, d), TABLE_KEYS),
     "pairwise_cramers_v": lambda s, d: stats.pairwise_v(cells(s, d)),
@@ -370,7 +352,7 @@ matched AS (SELECT *, CASE WHEN len(found) > 0 THEN found ELSE ['unmatched'] END
 _CLASSIFIED = f"stored AS ({_FIRST}), cl AS (SELECT c.change_id, c.pr_id, c.ecosystem, c.group_size, s.dimension, s.label FROM pr_change c JOIN stored s USING (change_id) WHERE s.classifier_version = {VERSION} AND EXISTS (SELECT 1 FROM pr p WHERE p.id = c.pr_id))"
 _MODAL = "modal AS (SELECT dimension, pr_id, label FROM cl WHERE dimension IN ('source', 'outcome', 'security') GROUP BY dimension, pr_id, label QUALIFY row_number() OVER (PARTITION BY dimension, pr_id ORDER BY count(*) DESC, label) = 1)"
 _COMMENTS = """cm AS (
-  SELECT doc_id AS id, doc_id // 4 AS pr_id, CASE WHEN source = 'bot_comment' THEN CASE WHEN doc_id % 3 = 0 THEN 'renovate' ELSE 'dependabot' END ELSE 'human' END AS family,
+  SELECT doc_id AS id, 1000 + doc_id // 3 AS pr_id, CASE WHEN source = 'bot_comment' THEN CASE WHEN doc_id % 3 = 0 THEN 'renovate' ELSE 'dependabot' END ELSE 'human' END AS family,
     CASE WHEN doc_id % 5 = 0 THEN 'Superseded by #' || doc_id ELSE coalesce(text, '') END AS body, strftime(make_timestamp(epoch_us(collected_at)), '%Y-%m-%dT%H:%M:%S') AS created_at
   FROM documents WHERE source IN ('bot_comment', 'review_thread'))"""
 _ERRORS = """err AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'enrich' ELSE 'parse' END AS stage, split_part(repo, '/', 1) AS repo_owner, split_part(repo, '/', -1) AS repo_name, doc_id % 5 + 1 AS pr_number,
@@ -433,7 +415,7 @@ SQL: dict[str, str] = {
 SELECT * FROM e WHERE pr_action <> 'closed' QUALIFY row_number() OVER (PARTITION BY repo_owner, repo_name, pr_number ORDER BY event_created_at, event_id) = 1""",
     "insert_ignore": "SELECT id, repo_owner, repo_name, pr_number FROM (SELECT * FROM pr WHERE id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY repo_owner, repo_name, pr_number ORDER BY id) = 1) n WHERE NOT EXISTS (SELECT 1 FROM pr o WHERE o.id % 2 = 0 AND o.repo_owner = n.repo_owner AND o.repo_name = n.repo_name AND o.pr_number = n.pr_number)",
     "needs_enrichment": "SELECT id FROM pr WHERE enriched_at IS NULL",
-    "needs_parsing": "SELECT id FROM pr WHERE passes_manifest_only_filter AND parse_attempted_at IS NULL AND coalesce(parse_priority, '') <> 'deferred_non_priority' AND NOT EXISTS (SELECT 1 FROM pr_change c WHERE c.pr_id = pr.id)",
+    "needs_parsing": "SELECT id FROM pr WHERE passes_manifest_only_filter AND parse_attempted_at IS NULL AND (parse_priority IS NULL OR parse_priority = 'priority') AND NOT EXISTS (SELECT 1 FROM pr_change c WHERE c.pr_id = pr.id)",
     "wide_labels": f"WITH {_WIDE} SELECT * FROM wide",
     "missing_labels": "SELECT change_id FROM pr_change c WHERE (SELECT count(DISTINCT dimension) FROM classification l WHERE l.change_id = c.change_id AND classifier_version = 2 AND dimension IN ('source', 'outcome')) < 2",
     "classify_source": f"SELECT id, CASE WHEN coalesce(author_login, '') <> '' THEN {_who('author_login', 'author_type')} WHEN coalesce(actor_login, '') <> '' THEN {_who('actor_login', None)} ELSE 'human' END AS label FROM pr",
@@ -512,8 +494,6 @@ h AS (SELECT *, len(ecos) AS m, len(ecos) > 0 AND len(ecos) = n AND NOT more AS
 SELECT id, passes, CASE WHEN passes THEN 'passed' WHEN more THEN 'too_many_files' WHEN m = 0 THEN 'no_manifest_files' WHEN m < n THEN 'mixed_manifest_and_non_manifest_files' ELSE 'other' END AS reason, n AS n_files, m AS n_manifests,
   CASE WHEN passes THEN CASE WHEN list_has_any(ecos, ['npm', 'go']) THEN 'priority' ELSE 'deferred_non_priority' END END AS priority FROM h""",
     "group_sizes": "SELECT change_id, count(*) OVER (PARTITION BY pr_id) AS n FROM pr_change WHERE pr_id IS NOT NULL",
-    "gold_validation": f"""WITH {_WIDE} SELECT DISTINCT c.pr_id, CASE WHEN c.pr_id % 7 = 0 THEN 'invalid label_status' ELSE '' END AS errors FROM pr_change c JOIN wide w USING (change_id) JOIN pr p ON p.id = c.pr_id
-WHERE source IS NOT NULL AND semver_tier IS NOT NULL AND security IS NOT NULL AND direct_transitive IS NOT NULL AND outcome IS NOT NULL""",
     "contingency": f"WITH {_RECORDS} SELECT * FROM cell",
     "cramers_v": f"WITH {_RECORDS}, {_v('cell', 'dimension, stratifier, unit')}",
     "pairwise_cramers_v": f"""WITH {_RECORDS}, lv AS (SELECT dimension, stratifier, unit, "row" AS lv, sum(n) AS n, {_LEVEL_ORDER.replace('lv ', '"row" ', 1)} AS o FROM cell GROUP BY ALL HAVING sum(n) >= 30),

@@ -14,6 +14,16 @@ def _table(head: list[str], numeric: int, rows: list[list[object]]) -> str:
     return "\n".join("| " + " | ".join(map(str, r)) + " |" for r in (head, rule, *rows))
 
 
+def percentages(rows: list[dict], count: str, of: list[str]) -> list[dict]:
+    """rows with <count>_percentage, of all counts with the same values in of, rounded to one digit as Python does; 0.0 where there are none."""
+    totals: dict[tuple, int] = {}
+    for r in rows:
+        key = tuple(r[c] for c in of)
+        totals[key] = totals.get(key, 0) + r[count]
+    share = lambda r: round(r[count] / t * 100, 1) if (t := totals[tuple(r[c] for c in of)]) else 0.0
+    return [r | {f"{count}_percentage": share(r)} for r in rows]
+
+
 def effects_markdown(overall: list[dict], intervals: list[dict], pairs: list[dict]) -> str:
     """overall: cramers_v rows; intervals: bootstrap_v rows; pairs: pairwise_v rows."""
     key = lambda r: (r["dimension"], r["stratifier"], r["unit"])

@@ -27,10 +27,27 @@ def broadcast_within(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def row_groups(df: DataFrame, most: int) -> int | None:
+    """Row groups of the Parquet files df is read from, where these are fewer than most; None for more files or other sources."""
+    files = df.inputFiles()
+    if not 0 < len(files) < most or not all(f.endswith(".parquet") for f in files):
+        return None
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+        n += reader.getRowGroups().size()
+        reader.close()
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores, for maps that spend their time in Python.
+    """df in at least as many partitions with rows as there are cores, for maps that spend their time in Python.
 
-    A file of few row groups is read by few tasks however many cores are free. Inputs with a split for each core, as all large ones have, stay as they are.
+    A row group is read by one task however many splits its file has, so a few small files would leave most cores idle. Inputs of as many files as
+    there are cores, as all large ones are, stay as they are: nothing of theirs is looked at or shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    n = row_groups(df, cores)
+    return df if (df.rdd.getNumPartitions() if n is None else n) >= cores else df.repartition(cores)
