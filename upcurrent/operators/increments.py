@@ -29,6 +29,7 @@ from ..functions.text import blank, instant
 from ..sources.tables import broadcast_within
 
 FILE, POS, WORD = "__row_file", "__row_pos", "__row_word"
+WORDS = f"{FILE} bigint, {WORD} bigint, bits bigint"
 
 
 def positions(rows: DataFrame, *columns: str | Column) -> DataFrame:
@@ -69,9 +70,9 @@ class Conflict(RuntimeError):
 class VersionedTable:
     """A folder of immutable data files with numbered manifests.
 
-    Layout: data/<name> and vectors/<name> hold Parquet files, _versions/<n>.json one manifest each: {"schema", "files": [{"path",
-    "rows", "vector", "hidden"}], "processed": {source: version}}. vector names the folder that holds the file's words, hidden counts
-    its bits. A manifest is written aside and then put under its number in one step that fails if the number is taken; readers see it
+    Layout: data/<name> and vectors/<name> hold Parquet files, _versions/<n>.json one manifest each: {"schema", "files": [{"path", "id",
+    "rows", "vector", "hidden"}], "processed": {source: version}}. id is what rows have as FILE, vector names the folder that holds the file's
+    words, hidden counts its bits. A manifest is written aside and then put under its number in one step that fails if the number is taken; readers see it
     whole or not at all, and of two writers one gets a Conflict. Manifests list files, so their size follows the number of files, not of
     rows. Data and vectors of a run that failed or lost lie in folders of their own, which vacuum removes.
     """
@@ -159,7 +160,7 @@ class VersionedTable:
         found = [r.asDict() for r in files(rows).collect()]
         if len({r[FILE] for r in found}) < len(found):
             raise RuntimeError("two files share an id; rename one of them")
-        return [{"path": r["path"], "rows": r["rows"], "vector": None, "hidden": 0} for r in found]
+        return [{"path": r["path"], "id": r[FILE], "rows": r["rows"], "vector": None, "hidden": 0} for r in found]
 
     def append(self, df: DataFrame, processed: dict[str, int] | None = None, base: int | None = None) -> int:
         base = self.latest() if base is None else base
@@ -171,23 +172,20 @@ class VersionedTable:
         each = F.explode(F.array(*(F.struct(F.lit(n).alias("v"), F.col(n).alias("bits")) for n in names)))
         words.select(FILE, WORD, each.alias("x")).select(FILE, WORD, "x.v", "x.bits").where("bits <> 0").write.partitionBy("v").parquet(f"{self.root}/{at}")
         out: dict[str, tuple[str, dict[int, int]]] = {n: (f"{at}/v={n}", {}) for n in names}
-        for n, (folder, hidden) in out.items():
-            if self._fs.exists(self._path(folder)):
-                for r in self._words([folder]).groupBy(FILE).agg(F.sum(F.bit_count("bits")).alias("n")).collect():
-                    hidden[r[FILE]] = r["n"]
+        counts = self.spark.read.schema(f"{WORDS}, v string").parquet(f"{self.root}/{at}").groupBy("v", FILE).agg(F.sum(F.bit_count("bits")).alias("n"))
+        for r in counts.collect():  # at most one row a file and name
+            out[r["v"]][1][r[FILE]] = r["n"]
         return out
 
     def _words(self, folders: list[str]) -> DataFrame:
-        schema = f"{FILE} bigint, {WORD} bigint, bits bigint"
         if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{f}" for f in folders))
+            return self.spark.createDataFrame([], WORDS)
+        return self.spark.read.schema(WORDS).parquet(*(f"{self.root}/{f}" for f in folders))
 
     def hide(self, entries: list[dict], stored: tuple[str, dict[int, int]]) -> list[dict]:
         """entries with the vectors of write_vectors; files without a hidden row have none."""
         folder, hidden = stored
-        ids = self._ids([e["path"] for e in entries])
-        return [e | ({"vector": folder, "hidden": n} if (n := hidden.get(ids[e["path"]], 0)) else {"vector": None, "hidden": 0}) for e in entries]
+        return [e | ({"vector": folder, "hidden": n} if (n := hidden.get(e["id"], 0)) else {"vector": None, "hidden": 0}) for e in entries]
 
     def delete(self, condition: Column) -> int:
         """A version whose deletion vectors hide the rows that meet the condition too."""
@@ -195,26 +193,15 @@ class VersionedTable:
         now = self.manifest(base)["files"]
         new = vectors(positions(self._read(now, base).where(condition)), bits=F.lit(True))
         touched = {r[FILE] for r in new.select(FILE).distinct().collect()}  # at most one row a file
-        ids = self._ids([e["path"] for e in now])
-        hit = [e for e in now if ids[e["path"]] in touched]
-        old = self._vectors_of(hit)
+        hit = [e for e in now if e["id"] in touched]
+        old = self._vectors_of(hit).join(new.select(FILE).distinct(), FILE, "left_semi")
         stored = self.write_vectors(new.unionByName(old).groupBy(FILE, WORD).agg(F.bit_or("bits").alias("bits")), ["bits"])["bits"]
         changed = {e["path"]: e for e in self.hide(hit, stored)}
         return self.commit([changed.get(e["path"], e) for e in now], base=base)
 
-    def _ids(self, paths: list[str]) -> dict[str, int]:
-        if not paths:
-            return {}
-        got = self.spark.createDataFrame([(p,) for p in paths], "path string").select("path", F.xxhash64("path").alias("i")).collect()
-        if len({r["i"] for r in got}) < len(set(paths)):
-            raise RuntimeError("two files share an id; rename one of them")
-        return {r["path"]: r["i"] for r in got}
-
     def _vectors_of(self, entries: list[dict]) -> DataFrame:
-        """FILE, WORD, bits of the entries; a folder may hold words of other files, which are left out."""
-        folders = sorted({e["vector"] for e in entries if e["vector"]})
-        wanted = self.spark.createDataFrame([(e["path"],) for e in entries if e["vector"]], "path string").select(F.xxhash64("path").alias(FILE))
-        return self._words(folders).join(wanted, FILE, "left_semi") if folders else self._words([])
+        """FILE, WORD, bits of the folders the entries name; they may hold words of other files too."""
+        return self._words(sorted({e["vector"] for e in entries if e["vector"]}))
 
     def _read(self, entries: list[dict], version: int) -> DataFrame:
         schema = StructType.fromJson(self.manifest(version)["schema"])
@@ -283,7 +270,7 @@ def run_increment(source: VersionedTable, name: str, sink: VersionedTable, proce
 
 # --- The next parse run ---
 
-#: Runs up to which their log, one row a run and day, is sent to all tasks; a longer one is joined as the planner sees fit.
+#: Rows of the run log up to which it is sent to all tasks, as one row a run and day; a longer one is joined as the planner sees fit.
 MOST_RUNS = 200_000
 
 
@@ -309,7 +296,7 @@ def parse_state(pr: DataFrame, pipeline_run: DataFrame) -> DataFrame:
     rows = positions(pr, (~blank("enriched_at")).alias("ready"), instant("enriched_at").alias("enriched"), instant("parse_attempted_at").alias("attempted"))
     rows = rows.withColumn("day", F.least(F.to_date("attempted"), last))
     hit = (rows["day"] == runs["day"]) & (rows["attempted"] >= runs["starts"]) & F.coalesce(rows["attempted"] < runs["ends"], F.lit(True))
-    rows = rows.join(broadcast_within(runs, MOST_RUNS), hit, "left")
+    rows = rows.join(broadcast_within(runs, MOST_RUNS, pipeline_run), hit, "left")
     done = F.coalesce((F.col("attempted") >= F.col("enriched")) & F.coalesce(F.col("ok"), F.lit(True)), F.lit(False))
     return rows.select(FILE, POS, "ready", done.alias("done"))
 

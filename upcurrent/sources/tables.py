@@ -22,9 +22,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/upcurrent-{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_within(df: DataFrame, most: int) -> DataFrame:
-    """df marked to be broadcast if it has at most that many rows, which are counted; a larger one is left to the planner."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def broadcast_within(df: DataFrame, most: int, source: DataFrame | None = None) -> DataFrame:
+    """df marked to be broadcast if it, or the table that bounds it, has at most that many rows, which are counted; a larger one is left to the planner."""
+    return F.broadcast(df) if (df if source is None else source).limit(most + 1).count() <= most else df
 
 
 def row_groups(df: DataFrame, most: int) -> int | None:
