@@ -136,7 +136,10 @@ def comment_table(spark: SparkSession, d: str) -> DataFrame:
 
 def ordered_comments(spark: SparkSession, d: str) -> DataFrame:
     o = lb.ordered_comments(comment_table(spark, d))
-    return o.select("pr_id", F.size("comments").alias("n"), F.array_join(F.transform("comments", lambda c: c["id"].cast("string")), ",").alias("ids"))
+    ids = F.array_join(F.transform("comments", lambda c: c["id"].cast("string")), ",")
+    stored = comments.parse_comments(F.to_json("comments"))  # as the text a table would hold
+    said = F.md5(F.array_join(F.transform(stored, lambda c: F.concat_ws(":", c["author_login"], c["body"])), "|"))
+    return o.select("pr_id", F.size("comments").alias("n"), ids.alias("ids"), said.alias("said"))
 
 
 def supersession_match(spark: SparkSession, d: str) -> DataFrame:
@@ -168,10 +171,10 @@ def with_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def errors(spark: SparkSession, d: str) -> DataFrame:
-    """Parse errors made of failed bot comments: every message of a repository named in one."""
-    e = documents(spark, d).where("source = 'bot_comment' AND repo IS NOT NULL")
-    kind = F.when(F.col("doc_id") % 4 == 0, F.lit(None)).when(F.col("doc_id") % 4 == 1, "timeout").otherwise("bad_diff")
-    return e.select(F.when(F.col("doc_id") % 3 == 0, "enrich").otherwise("parse").alias("stage"), F.substring_index("repo", "/", 1).alias("repo_owner"), F.substring_index("repo", "/", -1).alias("repo_name"), (F.col("doc_id") % 5 + 1).alias("pr_number"), kind.alias("error_type"))
+    """Errors as earlier runs would have left them: of messages by their ids, several for some pull requests."""
+    i = F.col("id")
+    kind = F.when(i % 4 == 0, F.lit(None)).when(i % 4 == 1, "timeout").otherwise("bad_diff")
+    return pr(spark, d).where(i % 5 != 0).select(F.when(i % 3 == 0, "enrich").otherwise("parse").alias("stage"), "repo_owner", "repo_name", "pr_number", kind.alias("error_type"))
 
 
 def parse_retry(spark: SparkSession, d: str) -> DataFrame:
@@ -203,6 +206,8 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 
 TABLE_KEYS = ["dimension", "stratifier", "unit"]
 LEAST_PROJECTS = 3
+#: A threshold under which some levels of the test tables lie.
+RARE = 400
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {
@@ -250,6 +255,7 @@ QUERIES: dict[str, Q] = {
     "cramers_v": lambda s, d: stats.cramers_v(cells(s, d), TABLE_KEYS),
     "pairwise_cramers_v": lambda s, d: stats.pairwise_v(cells(s, d)),
     "excluded_levels": lambda s, d: stats.excluded_levels(cells(s, d)),
+    "rare_levels": lambda s, d: stats.excluded_levels(cells(s, d), RARE),
     "cramers_v_intervals": lambda s, d: stats.bootstrap_v(cells(s, d), TABLE_KEYS),
     "strata": lambda s, d: stats.strata(alignment(s, d), LEAST_PROJECTS),
     "strata_intervals": lambda s, d: stats.strata_intervals(alignment(s, d), LEAST_PROJECTS),
@@ -355,8 +361,8 @@ _COMMENTS = """cm AS (
   SELECT doc_id AS id, 1000 + doc_id // 3 AS pr_id, CASE WHEN source = 'bot_comment' THEN CASE WHEN doc_id % 3 = 0 THEN 'renovate' ELSE 'dependabot' END ELSE 'human' END AS family,
     CASE WHEN doc_id % 5 = 0 THEN 'Superseded by #' || doc_id ELSE coalesce(text, '') END AS body, strftime(make_timestamp(epoch_us(collected_at)), '%Y-%m-%dT%H:%M:%S') AS created_at
   FROM documents WHERE source IN ('bot_comment', 'review_thread'))"""
-_ERRORS = """err AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'enrich' ELSE 'parse' END AS stage, split_part(repo, '/', 1) AS repo_owner, split_part(repo, '/', -1) AS repo_name, doc_id % 5 + 1 AS pr_number,
-  CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'timeout' ELSE 'bad_diff' END AS error_type FROM documents WHERE source = 'bot_comment' AND repo IS NOT NULL)"""
+_ERRORS = """err AS (SELECT CASE WHEN id % 3 = 0 THEN 'enrich' ELSE 'parse' END AS stage, repo_owner, repo_name, pr_number,
+  CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'timeout' ELSE 'bad_diff' END AS error_type FROM pr WHERE id % 5 <> 0)"""
 _RECORDS = (
     _WIDE
     + """,
@@ -440,7 +446,8 @@ SELECT change_id, CASE WHEN NOT coalesce(is_lockfile, false) OR sibling THEN 'di
     "label_distribution": f"SELECT dimension, label, count(*) AS n FROM ({_FIRST}) WHERE classifier_version = {VERSION} GROUP BY ALL",
     "label_flips": f"WITH s AS ({_FIRST}) SELECT o.dimension, o.label AS old_label, n.label AS new_label, count(*) AS n FROM s o JOIN s n USING (change_id, dimension) WHERE o.classifier_version = 1 AND n.classifier_version = 2 AND o.label <> n.label GROUP BY ALL",
     "path_ecosystems": f"SELECT DISTINCT manifest_path, {_eco('manifest_path')} AS ecosystem, {_LOCK('manifest_path')} AS is_lockfile, {_DIR('manifest_path')} AS folder FROM pr_change",
-    "ordered_comments": f"WITH {_COMMENTS} SELECT pr_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at NULLS FIRST, id) AS ids FROM cm GROUP BY pr_id",
+    "ordered_comments": f"WITH {_COMMENTS} SELECT pr_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at NULLS FIRST, id) AS ids,
+  md5(string_agg(CASE family WHEN 'human' THEN 'reviewer' ELSE family || '[bot]' END || ':' || body, '|' ORDER BY created_at NULLS FIRST, id)) AS said FROM cm GROUP BY pr_id",
     "supersession_match": f"""WITH {_COMMENTS}, m AS (SELECT *, CASE
     WHEN body = '' OR regexp_matches(body, '{comments.EXCLUDED}') THEN NULL
     {" ".join(f"WHEN family = '{f}' AND regexp_matches(body, '{p}') THEN '{i:02d}'" for i, (f, p, _, _) in enumerate(comments.PATTERNS))} END AS hit FROM cm)
@@ -501,6 +508,7 @@ pair AS (SELECT x.dimension, x.stratifier, x.unit, x.lv AS a, y.lv AS b, CAST(x.
 pc AS (SELECT c.*, a, b, n_a, n_b FROM cell c JOIN pair p USING (dimension, stratifier, unit) WHERE c."row" IN (a, b)),
 res AS (WITH {_v('pc', 'dimension, stratifier, unit, a, b, n_a, n_b')}) SELECT * EXCLUDE (n), v >= 0.1 AS substantive FROM res""",
     "excluded_levels": f'WITH {_RECORDS} SELECT dimension, stratifier, unit, "row" AS level, CAST(sum(n) AS BIGINT) AS n FROM cell GROUP BY ALL HAVING sum(n) < 30',
+    "rare_levels": f'WITH {_RECORDS} SELECT dimension, stratifier, unit, "row" AS level, CAST(sum(n) AS BIGINT) AS n FROM cell GROUP BY ALL HAVING sum(n) < {RARE}',
     "strata": f"WITH {_ROWS.replace('WHERE k_projects_decided >= 1)', 'WHERE k_projects_decided >= 2)')}, res AS ({_STRATA}) SELECT * FROM res",
     "correlations": f"""WITH {_ROWS}, x AS (SELECT unnest(['all', ecosystem]) AS scope, mean_group_size AS x, alignment AS y FROM alignment WHERE k_projects_decided >= 2),
 rk AS (SELECT *, rank() OVER (PARTITION BY scope ORDER BY x) + (count(*) OVER (PARTITION BY scope, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY scope ORDER BY y) + (count(*) OVER (PARTITION BY scope, y) - 1) / 2 AS ry FROM x)
