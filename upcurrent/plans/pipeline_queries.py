@@ -446,8 +446,8 @@ SELECT change_id, CASE WHEN NOT coalesce(is_lockfile, false) OR sibling THEN 'di
     "label_distribution": f"SELECT dimension, label, count(*) AS n FROM ({_FIRST}) WHERE classifier_version = {VERSION} GROUP BY ALL",
     "label_flips": f"WITH s AS ({_FIRST}) SELECT o.dimension, o.label AS old_label, n.label AS new_label, count(*) AS n FROM s o JOIN s n USING (change_id, dimension) WHERE o.classifier_version = 1 AND n.classifier_version = 2 AND o.label <> n.label GROUP BY ALL",
     "path_ecosystems": f"SELECT DISTINCT manifest_path, {_eco('manifest_path')} AS ecosystem, {_LOCK('manifest_path')} AS is_lockfile, {_DIR('manifest_path')} AS folder FROM pr_change",
-    "ordered_comments": f"WITH {_COMMENTS} SELECT pr_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at NULLS FIRST, id) AS ids,
-  md5(string_agg(CASE family WHEN 'human' THEN 'reviewer' ELSE family || '[bot]' END || ':' || body, '|' ORDER BY created_at NULLS FIRST, id)) AS said FROM cm GROUP BY pr_id",
+    "ordered_comments": f"""WITH {_COMMENTS} SELECT pr_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at NULLS FIRST, id) AS ids,
+  md5(string_agg(CASE family WHEN 'human' THEN 'reviewer' ELSE family || '[bot]' END || ':' || body, '|' ORDER BY created_at NULLS FIRST, id)) AS said FROM cm GROUP BY pr_id""",
     "supersession_match": f"""WITH {_COMMENTS}, m AS (SELECT *, CASE
     WHEN body = '' OR regexp_matches(body, '{comments.EXCLUDED}') THEN NULL
     {" ".join(f"WHEN family = '{f}' AND regexp_matches(body, '{p}') THEN '{i:02d}'" for i, (f, p, _, _) in enumerate(comments.PATTERNS))} END AS hit FROM cm)
