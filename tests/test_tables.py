@@ -35,11 +35,11 @@ def session(folder, master):
     return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master=master))
 
 
-def test_scratch_is_the_shared_folder(spark):
+def test_scratch_is_the_shared_folder():
     shared = session("hdfs://shared/x/", "spark://cluster:7077")
     a, b = tables.scratch(shared, "n"), tables.scratch(shared, "n")
     assert a != b and a.startswith("hdfs://shared/x/upcurrent-n-")
-    assert tables.scratch(spark, "n").startswith("file://")
+    assert tables.scratch(session(None, "local[4]"), "n").startswith("file://")
     for master in ("spark://cluster:7077", "local-cluster[3,2,3000]"):
         with pytest.raises(ValueError):
             tables.scratch(session(None, master), "n")
