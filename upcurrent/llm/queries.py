@@ -1,4 +1,4 @@
-"""Queries of the text problems over the whole tables. None can be put in SQL; tests compare them with brute force."""
+"""Queries of the text problems over the whole tables. Only repetition can be put in SQL; tests compare the others with brute force."""
 
 from __future__ import annotations
 
@@ -50,6 +50,10 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"))
 
 
+def p10_repeated(spark: SparkSession, d: str) -> DataFrame:
+    return p10_share(spark, d).select("doc_id", F.round("share", 6).alias("share"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_share(spark, d).where(F.col("share") >= repetition.CASE_SHARE).select("doc_id")
 
@@ -65,5 +69,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_report": p9_report,
     "p10_found": p10_found,
     "p10_share": p10_share,
+    "p10_repeated": p10_repeated,
+}
+#: Tokens as of repetition: characters of scripts without blanks stand alone, numbers are all alike.
+_W = r"[\p{L}\p{N}_]"
+_SHARES = rf"""
+t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([{repetition.WIDE}])', ' \1 ', 'g'), '{_W}+(?:[.-][0-9]{_W}*)*') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+n AS (SELECT *, regexp_replace(lower(w), '[0-9]+(?:(?:{_W}|[.-])*[0-9])?', '0', 'g') AS x FROM u),
+g AS (SELECT *, {" || chr(1) || ".join(["x"] + [f"lead(x, {k}) OVER (PARTITION BY doc_id ORDER BY i)" for k in range(1, repetition.NGRAM)])} AS gram FROM n),
+a AS (SELECT *, CAST(gram IS NOT NULL AND i > min(i) OVER (PARTITION BY doc_id, gram) AS INT) AS again FROM g),
+c AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {repetition.NGRAM - 1} PRECEDING AND CURRENT ROW) AS covered FROM a),
+shares AS (SELECT doc_id, sum(length(w) * covered) / sum(length(w)) AS share FROM c GROUP BY doc_id)"""
+SQL: dict[str, str] = {
+    "p10_repeated": f"WITH {_SHARES} SELECT doc_id, round(coalesce(share, 0.0), 6) AS share FROM documents LEFT JOIN shares USING (doc_id)",
+    "p10_found": f"WITH {_SHARES} SELECT doc_id FROM shares WHERE share >= {repetition.CASE_SHARE}",
 }
-SQL: dict[str, str] = {}

@@ -32,8 +32,8 @@ TRUSTED = 0.1
 CASE_SHARE = 0.4
 
 #: Scripts without blanks between words.
-_WIDE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af"
-_TOKEN = re.compile(rf"[{_WIDE}]|[^\W{_WIDE}]+(?:[.-]\d\w*)*")
+WIDE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af"
+_TOKEN = re.compile(rf"[{WIDE}]|[^\W{WIDE}]+(?:[.-]\d\w*)*")
 _NUMBER = re.compile(r"\d+(?:[.\-\w]*\d)?")
 
 
